@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bwt_dedup, metric_join, relative_parse
+from . import bwt_dedup, metric_join, mixing, relative_parse
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,16 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = mixing.mix(table(spark, sf_dir, "documents"))
+    once = copies.groupBy("doc_id", "source", "size", "source_size", "target")
+    return once.agg(F.sum("words").alias("taken"), F.min("position").alias("position")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op10_source_mixing": op10_source_mixing,
     "op3_substring_dedup": op3_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
