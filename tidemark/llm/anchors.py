@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
 from .text import RangeHash
 
 LOW = np.uint64((1 << 24) - 1)
@@ -104,7 +105,11 @@ def repeated_blocks(occurrences: DataFrame) -> DataFrame:
 
 def judged_blocks(rows: DataFrame) -> DataFrame:
     """rows (anchor, content, doc_id, start, n) -> the same with `first` (smallest doc_id with this
-    content) and `mixed` (the anchor has other contents too, so windows may repeat across them)."""
-    contents = rows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
-    mixed = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"))
-    return rows.join(contents, ["anchor", "content"]).join(mixed, "anchor")
+    content) and `contents` (how many the anchor has: with two, windows may repeat across them).
+
+    The contents are judged and written first; the rows then meet them in a plain join, whose large
+    partitions can be split.
+    """
+    firsts = rows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
+    counts = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"))
+    return rows.join(materialize(firsts.join(counts, "anchor"), "contents"), ["anchor", "content"])
