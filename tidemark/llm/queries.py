@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, metric_join, mixing, quality, relative_parse
+from . import bwt_dedup, metric_join, mixing, quality, relative_parse, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_parse.parse(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_codec.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_codec.digest(token_codec.read(spark, files))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -40,6 +46,7 @@ QUERIES = {
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op4_token_output": op4_token_output,
     "op3_substring_dedup": op3_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
