@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, metric_join, mixing, quality, relative_parse, token_codec
+from . import bwt_dedup, metric_join, mixing, quality, relative_parse, secrets, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.digest(token_codec.read(spark, files))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op4_token_output": op4_token_output,
+    "op5_secret_scan": op5_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
