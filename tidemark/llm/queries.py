@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, metric_join, mixing, quality, relative_parse, secrets, token_codec
+from . import bwt_dedup, decontamination, metric_join, mixing, quality, relative_parse, secrets, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -52,6 +56,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op4_token_output": op4_token_output,
     "op5_secret_scan": op5_secret_scan,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
