@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontamination, metric_join, mixing, quality, relative_parse, secrets, token_codec
+from . import bwt_dedup, decontamination, metric_join, mixing, quality, relative_parse, secrets, token_codec, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.join(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_parse.parse(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_token_output": op4_token_output,
     "op5_secret_scan": op5_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
