@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontamination, metric_join, mixing, quality, relative_parse, secrets, token_codec, toxicity
+from . import bwt_dedup, decontamination, metric_join, mixing, ppm, quality, relative_parse, secrets, token_codec, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mixing.mix(table(spark, sf_dir, "documents"))
     once = copies.groupBy("doc_id", "source", "size", "source_size", "target")
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op9_ppm_scoring": op9_ppm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
