@@ -1,4 +1,4 @@
 """Registered queries and their SQL checks."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.oracles import ORACLES as ORACLES
+from .plans.queries import QUERIES as QUERIES
