@@ -68,7 +68,7 @@ def severity(spills: DataFrame) -> DataFrame:
     parts = {
         "size": clamp(F.log10(km2 / 0.05) / math.log10(100 / 0.05)),
         "coast": F.coalesce(F.exp(-F.col("coast_km") / 25), F.lit(0.0)),
-        "beaching": F.coalesce(F.when(F.col("modelled"), 1.0).otherwise(0.85) * F.exp(-F.greatest(F.lit(0.0), F.col("beach_eta_h") - 24) / 72), F.lit(0.0)),
+        "beaching": F.when(F.col("beach_eta_h").isNull(), 0.0).otherwise(F.when(F.col("modelled"), 1.0).otherwise(0.85) * F.exp(-F.greatest(F.lit(0.0), F.col("beach_eta_h") - 24) / 72)),
         "sensitivity": F.when(F.col("n_threatened") > 0, F.least(F.lit(1.0), F.col("exposure") + 0.05 * (F.col("n_threatened") - 1))).otherwise(0.0),
         "persistence": persistence(F.col("oil_type"), F.col("wind_ms")),
     }

@@ -64,7 +64,7 @@ def factor_scores(features: DataFrame) -> DataFrame:
     parts = {
         "spatial": F.exp(-F.greatest("d_source_km", F.lit(0.0)) / 5),
         "temporal": F.coalesce(F.exp(-F.col("dt_hours") / 4), F.lit(0.0)),
-        "trajectory": F.coalesce(F.exp(-F.greatest(F.col("d_st_km"), F.lit(0.0)) / 3), F.lit(0.0)),
+        "trajectory": F.when(F.col("d_st_km").isNull(), 0.0).otherwise(F.exp(-F.greatest(F.col("d_st_km"), F.lit(0.0)) / 3)),
         "sar_attached": F.coalesce(F.col("sar_attached").cast("double"), F.lit(0.0)),
         "vessel_type": type_relevance(F.col("kind")),
         "behavior": F.least(F.lit(1.0), 0.6 * slow + 0.25 * turn + 0.15 * stop),

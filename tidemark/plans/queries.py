@@ -251,7 +251,7 @@ def field_sample(s, d):
     f = s.range(6 * 11 * 11).select((F.col("id") / 121).cast("int").alias("it"), (F.col("id") / 11 % 11).cast("int").alias("iy"), (F.col("id") % 11).cast("int").alias("ix"))
     f = f.withColumns({"u": 0.1 * F.col("it") + 0.3 * F.col("iy") * F.col("ix"), "v": 1.0 * F.col("it") - 0.2 * F.col("ix")})
     n = F.col("id")
-    pts = s.range(500).select(n.alias("id"), (n % 40 / 8.0).alias("ft"), (n * 7 % 80 / 8.0).alias("fy"), (n * 11 % 80 / 8.0).alias("fx"))
+    pts = s.range(500).select(n.alias("id"), (n % 40 / 9.0).alias("ft"), (n * 7 % 80 / 9.0).alias("fy"), (n * 11 % 80 / 9.0).alias("fx"))
     return rounded(surface.sampled_field(pts, f, (1.0, 1.0, 1.0)))
 
 
