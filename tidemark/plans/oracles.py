@@ -113,7 +113,7 @@ PORT = "ports(port, lon, lat) AS (VALUES " + ", ".join(f"('{n}', {x}e0, {y}e0)"
 SITE = "sites(site, kind, lon, lat, radius_km, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', {x}e0, {y}e0, {r}e0, {w})" for a, b, x, y, r, w in SITES) + ")"
 SLICK = "slicks AS (SELECT i AS spill_id, CAST(8 + (i * 5 % 14) AS DOUBLE) AS lat, CAST(70 + (i * 7 % 22) AS DOUBLE) AS lon, CAST(1 + i % 5 AS DOUBLE) AS radius_km, (i % 6) * 0.5e0 AS speed_kmh, CAST(i * 47 % 360 AS DOUBLE) AS bearing_deg FROM range(40) r(i))"
 BASIN = lambda x, y: f"CASE WHEN {x} >= 91 THEN 'AN' WHEN {y} < 8 AND {x} < 82.5 THEN 'S' WHEN {x} < 77.8 THEN 'W' ELSE 'E' END"
-SPILL = """sp AS (SELECT o_orderkey AS spill_id, o_totalprice * 300e0 AS area_m2, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 70 AS DOUBLE) END AS coast_km, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 120 AS DOUBLE) END AS eta,
+SPILL = """sp AS (SELECT o_orderkey AS spill_id, o_totalprice * 300.1234567e0 AS area_m2, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 70 AS DOUBLE) END AS coast_km, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 120 AS DOUBLE) END AS eta,
   o_orderkey % 2 = 0 AS modelled, (o_orderkey % 9) / 10e0 AS exposure, o_orderkey % 4 AS nt, ['Heavy fuel oil', 'Marine diesel', 'UNKNOWN', 'medium crude'][o_orderkey % 4 + 1] AS oil, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 16 AS DOUBLE) END AS wind FROM orders WHERE o_orderkey < 400),
 sv0 AS (SELECT spill_id, area_m2, greatest(0e0, least(1e0, log10(greatest(1e-6, area_m2 / 1e6) / 0.05e0) / log10(100 / 0.05e0))) AS size, coalesce(exp(-coast_km / 25), 0e0) AS coast,
   coalesce(CASE WHEN modelled THEN 1e0 ELSE 0.85e0 END * exp(-CASE WHEN eta IS NULL THEN NULL ELSE greatest(0e0, eta - 24) END / 72), 0e0) AS beaching, CASE WHEN nt > 0 THEN least(1e0, exposure + 0.05e0 * (nt - 1)) ELSE 0e0 END AS sensitivity,

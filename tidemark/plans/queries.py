@@ -269,7 +269,7 @@ def coverage(s, d):
 def _spills(s, d):
     k = F.col("o_orderkey")
     rows = tables.table(s, d, "orders").filter("o_orderkey < 400")
-    return rows.select(k.alias("spill_id"), (F.col("o_totalprice") * 300.0).alias("area_m2"), F.when(k % 11 != 0, (k % 70).cast("double")).alias("coast_km"), F.when(k % 3 != 0, (k % 120).cast("double")).alias("beach_eta_h"), (k % 2 == 0).alias("modelled"), ((k % 9) / 10.0).alias("exposure"), (k % 4).alias("n_threatened"), F.element_at(F.array(*map(F.lit, ("Heavy fuel oil", "Marine diesel", "UNKNOWN", "medium crude"))), (k % 4 + 1).cast("int")).alias("oil_type"), F.when(k % 5 != 0, (k % 16).cast("double")).alias("wind_ms"))
+    return rows.select(k.alias("spill_id"), (F.col("o_totalprice") * 300.1234567).alias("area_m2"), F.when(k % 11 != 0, (k % 70).cast("double")).alias("coast_km"), F.when(k % 3 != 0, (k % 120).cast("double")).alias("beach_eta_h"), (k % 2 == 0).alias("modelled"), ((k % 9) / 10.0).alias("exposure"), (k % 4).alias("n_threatened"), F.element_at(F.array(*map(F.lit, ("Heavy fuel oil", "Marine diesel", "UNKNOWN", "medium crude"))), (k % 4 + 1).cast("int")).alias("oil_type"), F.when(k % 5 != 0, (k % 16).cast("double")).alias("wind_ms"))
 
 
 def severity(s, d):
