@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..checkpoint import written
 from ..functions.geo import KM_PER_DEGREE, KM_PER_NM, bearing_deg, haversine_km
 
-BY_TIME = Window.partitionBy("mmsi").orderBy("t")
 MAX_KNOTS = 45.0
 
 
+def by_time() -> Window:
+    return Window.partitionBy("mmsi").orderBy("t")
+
+
 def valid(rows: DataFrame) -> DataFrame:
     """Rows with a time and a possible position; null island is none."""
     return rows.filter("t is not null and lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0)")
@@ -42,7 +45,7 @@ def cleaning_report(rows: DataFrame) -> DataFrame:
 
 def kinematics(fixes: DataFrame) -> DataFrame:
     """dt_s, dist_km, course_deg and speed_kn from the vessel's fix before; null on its first one."""
-    lat0, lon0, dt = F.lag("lat").over(BY_TIME), F.lag("lon").over(BY_TIME), F.col("t") - F.lag("t").over(BY_TIME)
+    lat0, lon0, dt = F.lag("lat").over(by_time()), F.lag("lon").over(by_time()), F.col("t") - F.lag("t").over(by_time())
     out = fixes.withColumns({"dt_s": dt, "dist_km": haversine_km(lat0, lon0, F.col("lat"), F.col("lon")), "course_deg": bearing_deg(lat0, lon0, F.col("lat"), F.col("lon"))})
     return out.withColumn("speed_kn", F.when(F.col("dt_s") > 0, F.col("dist_km") / (F.col("dt_s") / 3600) / KM_PER_NM))
 
@@ -57,8 +60,8 @@ def without_spikes(fixes: DataFrame, max_knots: float = MAX_KNOTS, passes: int =
     for _ in range(passes):
         moved = kinematics(fixes)
         bad = F.coalesce(F.col("speed_kn") > max_knots, F.lit(False))
-        moved = moved.withColumn("bad_in", bad).withColumn("bad_out", F.coalesce(F.lead("bad_in").over(BY_TIME), F.lit(False)))
-        first, last = F.lag("t").over(BY_TIME).isNull(), F.lead("t").over(BY_TIME).isNull()
+        moved = moved.withColumn("bad_in", bad).withColumn("bad_out", F.coalesce(F.lead("bad_in").over(by_time()), F.lit(False)))
+        first, last = F.lag("t").over(by_time()).isNull(), F.lead("t").over(by_time()).isNull()
         moved = moved.withColumns({"inner": F.col("bad_in") & F.col("bad_out"), "end": (first & F.col("bad_out")) | (last & F.col("bad_in"))})
         moved = written(moved, "spikes")
         found = moved.agg(F.count_if("inner").alias("inner"), F.count_if("end").alias("end")).first()
@@ -70,7 +73,7 @@ def without_spikes(fixes: DataFrame, max_knots: float = MAX_KNOTS, passes: int =
 
 def gaps(fixes: DataFrame, threshold_min: float) -> DataFrame:
     """Silences over the threshold with the fixes around them."""
-    before = {f"{c}_before": F.lag(c).over(BY_TIME) for c in ("t", "lat", "lon")}
+    before = {f"{c}_before": F.lag(c).over(by_time()) for c in ("t", "lat", "lon")}
     rows = kinematics(fixes).withColumns(before).filter(F.col("dt_s") / 60 > threshold_min)
     return rows.select("mmsi", F.col("t_before").alias("gap_start"), F.col("t").alias("gap_end"), (F.col("dt_s") / 60).alias("duration_min"), "dist_km", F.col("speed_kn").alias("implied_speed_kn"))
 
