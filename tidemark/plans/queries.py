@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import written
 from ..functions import domain, geo
 from ..operators import corridor, impact, raster, scoring, state, surface, tracks
 from ..sources import tables
@@ -116,7 +117,7 @@ def region_distance(s, d):
 
 
 def _candidates(s, d):
-    at = positions(s, d)
+    at = written(positions(s, d), "positions")  # read by both joins
     return corridor.candidates(corridor.nearest_particles(at, tables.particle_cloud(s), 10.0), corridor.region_distances(at, edges(s)))
 
 
@@ -142,7 +143,7 @@ def continuity(s, d):
 
 
 def _features(s, d):
-    c = _centres(s, d)
+    c = written(_centres(s, d), "centres")  # read by every feature
     b = scoring.behaviour(searched(s, d), c.select("mmsi", "tc"), 24.0, 72.0).select("mmsi", "slowdown", "net_turn_deg", "slow_min")
     g = scoring.continuity(searched(s, d), c.select("mmsi", "tc"), 720.0, 24.0).select("mmsi", F.col("max_relevant_gap_min").alias("gap_min"))
     at = positions(s, d).join(c.filter("min_d_st_km is not null").select("mmsi", F.col("tc").alias("tq")), ["mmsi", "tq"])
