@@ -69,4 +69,25 @@ QUERIES = {
     "op9_ppm_scoring": op9_ppm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: SQL where it can express an operator; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS d, a AS m FROM e UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.m)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(x.m, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d, min(m) AS m FROM r GROUP BY d) x ON x.d = w.doc_id""",
+    "op3_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS f FROM v GROUP BY h),
+r AS (SELECT DISTINCT doc_id, i + k AS pos FROM v JOIN f USING (h), range(50) t(k) WHERE doc_id > f),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+k AS (SELECT p.doc_id, count(r.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (r.pos IS NULL) AS kept FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.pos = p.pos GROUP BY p.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+}
