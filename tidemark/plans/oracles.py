@@ -210,4 +210,21 @@ m AS (SELECT scene, r, c, v, s / n AS mean, sqrt(greatest(0e0, q / n - (s / n) *
     "provenance_mix": "WITH p AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'LOCAL_FILE' ELSE ['REAL', 'SYNTHETIC', 'LOCAL_FILE'][event_id % 3 + 1] END AS p FROM events) SELECT user_id, CASE WHEN count(*) > 1 THEN 'MIXED:' ELSE '' END || string_agg(p, '+' ORDER BY p) AS provenance FROM p GROUP BY user_id",
     "search_window": f"WITH {RAW}, {GRID}, {INTERP}, b AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM interp) SELECT round(w - 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS w, round(s - 40 / 111.32e0, 6) AS s, round(e + 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS e, round(n + 40 / 111.32e0, 6) AS n, 1705017600e0 - 54 * 3600 AS t0, 1705017600e0 + 6 * 3600 AS t1 FROM b",
     "drift_vector": f"WITH {GRID}, {CLOUD}, c AS (SELECT tq, avg(px) AS x, avg(py) AS y FROM cloud GROUP BY tq), a AS (SELECT (SELECT x FROM c ORDER BY tq LIMIT 1) AS x0, (SELECT y FROM c ORDER BY tq LIMIT 1) AS y0, (SELECT x FROM c ORDER BY tq DESC LIMIT 1) AS x1, (SELECT y FROM c ORDER BY tq DESC LIMIT 1) AS y1) SELECT round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / 48, 6) AS speed_kmh, round({modulo('(degrees(atan2(x1 - x0, y1 - y0)) + 360)')}, 6) AS bearing_deg FROM a",
+    "scene_search": """WITH q AS (SELECT 'S' || i AS scene, 1704844800e0 + (i * 37 % 91) * 3600e0 AS t, 66e0 + i % 9 AS w, 14e0 + i % 6 AS s, 69e0 + i % 9 AS e, 16.5e0 + i % 6 AS n FROM range(90) r(i) WHERE i % 5 <> 0 AND i % 4 <> 0),
+c AS (SELECT scene, t, greatest(0e0, least(e, 72e0) - greatest(w, 70e0)) * greatest(0e0, least(n, 18e0) - greatest(s, 17e0)) / 2 AS coverage FROM q) SELECT scene, t, round(coverage, 6) AS coverage FROM c WHERE coverage > 0""",
+    "scene_clip": """WITH q AS (SELECT i AS rid, 70e0 + i % 7 * 0.31e0 AS w, 17e0 + i % 5 * 0.29e0 AS s, 71e0 + i % 7 * 0.31e0 AS e, 17.8e0 + i % 5 * 0.29e0 AS n FROM range(70) r(i)),
+c AS (SELECT *, greatest(0e0, least(e, 72.2e0) - greatest(w, 70.1e0)) * greatest(0e0, least(n, 18.6e0) - greatest(s, 17.1e0)) / ((e - w) * (n - s)) AS share FROM q), v AS (SELECT *, CASE WHEN share < 0.05 THEN 'outside' WHEN share > 0.95 THEN 'whole' ELSE 'clipped' END AS verdict FROM c)
+SELECT rid, round(share, 6) AS share, verdict, round(CASE WHEN verdict = 'clipped' THEN greatest(w, 70.1e0) ELSE w END, 6) AS ow, round(CASE WHEN verdict = 'clipped' THEN greatest(s, 17.1e0) ELSE s END, 6) AS os, round(CASE WHEN verdict = 'clipped' THEN least(e, 72.2e0) ELSE e END, 6) AS oe, round(CASE WHEN verdict = 'clipped' THEN least(n, 18.6e0) ELSE n END, 6) AS "on" FROM v""",
+    "georeference": """WITH q AS (SELECT i AS image, 500 + i * 13 AS width, 400 + i * 7 AS height, 70e0 + i % 9 * 0.1e0 AS w, 16e0 + i % 7 * 0.2e0 AS s, 70.6e0 + i % 8 * 0.1e0 AS e, 16.7e0 + i % 7 * 0.2e0 AS n FROM range(50) r(i)), m AS (SELECT *, cos(radians((s + n) / 2)) AS k FROM q WHERE w < e)
+SELECT image, round((e - w) / width, 7) AS dx, round(-((n - s) / height), 7) AS dy, round(((e - w) / width * 111320 * k + (n - s) / height * 111320) / 2, 7) AS pixel_m, CAST(ceil((e - w) * 111320e0 * k / 10) AS BIGINT) AS columns, CAST(ceil((n - s) * 111320e0 * 1e0 / 10) AS BIGINT) AS rows FROM m""",
+    "release_window": "WITH h(h) AS (VALUES (0e0), (0.5e0), (1e0), (3e0), (6e0), (12e0), (24e0), (36e0), (48e0)), q AS (SELECT i AS spill_id, h FROM range(60) r(i), h WHERE h >= i OR i > 48) SELECT spill_id, CAST(count(*) AS INT) AS n, min(h) AS first, sum(h) AS total FROM q GROUP BY spill_id",
+    "drift_reach": "WITH p AS (SELECT user_id % 20 AS area, quantile_cont(value / 500e0, 0.95) AS p95 FROM events GROUP BY 1) SELECT area, round(p95, 6) AS p95, round(least(0.5e0, greatest(0.15e0, 1.3e0 * p95)), 6) AS reach FROM p",
+    "synthetic_forcing": "WITH q AS (SELECT CAST(i // 80 AS INT) AS it, CAST(i // 10 % 8 AS INT) AS iy, CAST(i % 10 AS INT) AS ix FROM range(2000) r(i)) SELECT it, iy, ix, round(0.3e0 + 0.1e0 * sin(ix * 0.5e0 + iy * 0.25e0) + 0.15e0 * sin(it * (2 * pi() / 12.42e0)), 6) AS u, round(-0.1e0 + 0.1e0 * cos(iy * 0.5e0) + 0.05e0 * sin(it * (2 * pi() / 24)), 6) AS v FROM q",
+    "tile_merge": """WITH q AS (SELECT i // 1024 // 2 * 24 AS tr, i // 1024 % 2 * 24 AS tc, i // 32 % 32 AS a, i % 32 AS b FROM range(4096) r(i)), z AS (SELECT *, tr + a AS r, tc + b AS c, greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * a / 31)) * greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * b / 31)) AS w FROM q),
+m AS (SELECT r, c, sum(w * (((r * 31 + c * 17 + tr + tc) % 23 - 11) / 4e0)) / sum(w) AS z FROM z GROUP BY r, c) SELECT 0 AS scene, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(1 / (1 + exp(-z)), 6) AS probability FROM m""",
+    "calibration": "WITH t AS (SELECT p_partkey % 12 AS scene, p_partkey AS setting, p_partkey * 7 % 100 / 100e0 AS recall, p_size % 20 / 100e0 AS fp FROM part) SELECT scene, setting, round(recall, 6) AS recall, round(fp, 6) AS false_positive FROM t QUALIFY row_number() OVER (PARTITION BY scene ORDER BY round(recall - 4 * fp, 9) DESC, setting) = 1",
+    "component_targets": """WITH b AS (SELECT p_partkey % 4 AS scene, p_partkey AS component_id, p_partkey * 17 % 90 + 0.25e0 AS x0, p_partkey * 23 % 80 + 0.25e0 AS y0 FROM part WHERE p_partkey < 600), t AS (SELECT i % 4 AS scene, CAST(i * 29 % 91 AS DOUBLE) AS x, CAST(i * 31 % 83 AS DOUBLE) AS y FROM range(400) r(i)),
+d AS (SELECT b.scene, component_id, sqrt(pow(greatest(0e0, x0 - x, x - x0 - 1.5e0), 2) + pow(greatest(0e0, y0 - y, y - y0 - 1e0), 2)) AS k FROM b JOIN t USING (scene)) SELECT scene, component_id, round(min(k) FILTER (k <= 3), 6) AS target_km FROM d GROUP BY scene, component_id""",
+    "component_stats": f"WITH RECURSIVE {PIX}, g AS (SELECT scene, r, c, CAST(r AS BIGINT) * 4294967296 + c AS label FROM mask WHERE m = 1), t AS (SELECT * FROM g UNION SELECT b.scene, b.r, b.c, t.label FROM t JOIN g b ON b.scene = t.scene AND abs(b.r - t.r) + abs(b.c - t.c) <= 1 AND t.label < b.label), l AS (SELECT scene, r, c, min(label) AS label FROM t GROUP BY scene, r, c) SELECT scene, label, count(*) AS n_pixels, round(avg(r), 6) AS row, round(avg(c), 6) AS col, max(v) AS peak, round(avg(v), 6) AS mean_v, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM l JOIN px USING (scene, r, c) GROUP BY scene, label",
+    "position_format": f"WITH {SLICK}, p AS (SELECT spill_id, lat + 0.2567e0 AS a, lon - spill_id * 3.337e0 AS o FROM slicks), t AS (SELECT spill_id, a, o, CAST(round(abs(a) * 600) AS BIGINT) AS ta, CAST(round(abs(o) * 600) AS BIGINT) AS t_o FROM p) SELECT spill_id, printf('%02d°%04.1f''%s %03d°%04.1f''%s', ta // 600, (ta % 600) / 10e0, CASE WHEN a >= 0 THEN 'N' ELSE 'S' END, t_o // 600, (t_o % 600) / 10e0, CASE WHEN o >= 0 THEN 'E' ELSE 'W' END) AS position FROM t",
 }

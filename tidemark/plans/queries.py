@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import written
 from ..functions import domain, geo
-from ..operators import corridor, impact, raster, scoring, state, surface, tracks
+from ..operators import corridor, impact, raster, scenes, scoring, state, surface, tracks
 from ..sources import tables
 from ..sources.tables import ORIGIN_LAT, ORIGIN_LON, STEP_S, WINDOW_END, WINDOW_START
 
@@ -420,11 +420,72 @@ def drift_vector(s, d):
     return rounded(ends.select((speed / ((F.col("b.tq") - F.col("a.tq")) / 3600)).alias("speed_kmh"), toward.alias("bearing_deg")))
 
 
+def scene_search(s, d):
+    n = F.col("id")
+    rows = s.range(90).select(F.concat(F.lit("S"), n.cast("string")).alias("scene"), (WINDOW_START + (n * 37 % 91) * 3600.0).alias("t"), F.when(n % 5 == 0, "EW").otherwise("IW").alias("mode"), F.when(n % 4 == 0, F.array(F.lit("HH"))).otherwise(F.array(F.lit("VV"), F.lit("VH"))).alias("polarisations"), (66.0 + n % 9).alias("w"), (14.0 + n % 6).alias("s"), (69.0 + n % 9).alias("e"), (16.5 + n % 6).alias("n"))
+    return rounded(scenes.found_scenes(rows, (70.0, 17.0, 72.0, 18.0)))
+
+
+def scene_clip(s, d):
+    n = F.col("id")
+    rows = s.range(70).select(n.alias("rid"), (70.0 + n % 7 * 0.31).alias("w"), (17.0 + n % 5 * 0.29).alias("s"), (71.0 + n % 7 * 0.31).alias("e"), (17.8 + n % 5 * 0.29).alias("n"), F.lit(70.1).alias("fw"), F.lit(17.1).alias("fs"), F.lit(72.2).alias("fe"), F.lit(18.6).alias("fn"))
+    return rounded(scenes.clipped(rows))
+
+
+def georeference(s, d):
+    n = F.col("id")
+    rows = s.range(50).select(n.alias("image"), (500 + n * 13).alias("width"), (400 + n * 7).alias("height"), (70.0 + n % 9 * 0.1).alias("w"), (16.0 + n % 7 * 0.2).alias("s"), (70.6 + n % 8 * 0.1).alias("e"), (16.7 + n % 7 * 0.2).alias("n"))
+    return rounded(scenes.georeferenced(rows), "dx", "dy", "pixel_m", digits=7)
+
+
+def release_window(s, d):
+    hours = F.array(*map(F.lit, (0.0, 0.5, 1.0, 3.0, 6.0, 12.0, 24.0, 36.0, 48.0)))
+    rows = s.range(60).select(F.col("id").alias("spill_id"), scenes.release_offsets(hours, F.col("id").cast("double")).alias("o"))
+    return rows.select("spill_id", F.size("o").alias("n"), F.array_min("o").alias("first"), F.aggregate("o", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+def drift_reach(s, d):
+    return rounded(scenes.drift_reach(tables.table(s, d, "events").select((F.col("user_id") % 20).alias("area"), (F.col("value") / 500.0).alias("speed"))))
+
+
+def synthetic_forcing(s, d):
+    return rounded(scenes.forcing(s, 25, 10, 8))
+
+
+def tile_merge(s, d):
+    n = F.col("id")
+    tile = s.range(4 * 1024).select(F.floor(n / 1024).cast("int").alias("k"), F.floor(n / 32 % 32).cast("int").alias("i"), (n % 32).cast("int").alias("j"))
+    tile = tile.select(F.lit(0).alias("scene"), (F.floor(F.col("k") / 2) * 24).cast("int").alias("tr"), (F.col("k") % 2 * 24).cast("int").alias("tc"), "i", "j")
+    rows = tile.withColumns({"r": F.col("tr") + F.col("i"), "c": F.col("tc") + F.col("j")}).withColumn("z", ((F.col("r") * 31 + F.col("c") * 17 + F.col("tr") + F.col("tc")) % 23 - 11) / 4.0)
+    return rounded(scenes.merged_tiles(rows, 32))
+
+
+def calibration(s, d):
+    rows = tables.table(s, d, "part").select((F.col("p_partkey") % 12).alias("scene"), F.col("p_partkey").alias("setting"), (F.col("p_partkey") * 7 % 100 / 100.0).alias("recall"), (F.col("p_size") % 20 / 100.0).alias("false_positive"))
+    return rounded(scenes.best_settings(rows))
+
+
+def hash_sample(s, d):
+    return scenes.sampled(tables.table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 7)
+
+
+def polygon_points(s, d):
+    ring = s.createDataFrame([(0, [{"x": x, "y": y} for x, y in REGION])], "ring int, corners array<struct<x:double,y:double>>")
+    return rounded(scenes.points_within(ring, 500))
+
+
+def component_targets(s, d):
+    k = F.col("p_partkey")
+    boxes = tables.table(s, d, "part").filter("p_partkey < 600").select((k % 4).alias("scene"), k.alias("component_id"), (k * 17 % 90 + 0.25).alias("x0"), (k * 23 % 80 + 0.25).alias("y0")).withColumns({"x1": F.col("x0") + 1.5, "y1": F.col("y0") + 1.0})
+    points = s.range(400).select((F.col("id") % 4).alias("scene"), (F.col("id") * 29 % 91).cast("double").alias("x"), (F.col("id") * 31 % 83).cast("double").alias("y"))
+    return rounded(scenes.with_nearest_target(boxes, points))
+
+
 QUERIES = {f.__name__: f for f in (
     bbox_time_scan, vessel_semi_select, cleaning_report, dedupe_keep_first, thin_bins, static_first_nonnull, vessel_type, kinematics, spike_fixpoint, gaps, track_quality,
     interp_at, nearest_frame, cloud_interp, corridor_nn, corridor_fraction, region_distance, corridor_candidates, temporal_feature, behaviour, continuity, evidence_score,
     top_candidates, separation, sar_ais_pairs, sar_only, ais_only, triage, triage_counts, robustness, hist2d, kde, mass_maps, hdr, centre_spread, fill_stranded, advect, field_sample,
     coverage, severity, action_rules, site_threat, next_port, nearest_place, responsible_mrcc, spill_compare, manifest_root, manifest_chain, manifest_verify, components,
     component_stats, cfar, morphology, block_percentile_mad, decimate, dice_iou, position_format, velocity_parts, latest_state, upsert_latest, provenance_mix, track_simplify,
-    search_window, drift_vector,
+    search_window, drift_vector, scene_search, scene_clip, georeference, release_window, drift_reach, synthetic_forcing, tile_merge, calibration, hash_sample, polygon_points, component_targets,
 )}
