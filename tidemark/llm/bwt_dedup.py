@@ -67,7 +67,7 @@ def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
     key = (padded[:n] << 27) | (padded[1 : n + 1] << 18) | (padded[2 : n + 2] << 9) | padded[3 : n + 3]
     have = 4
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties are equal beyond the length that counts
         if have >= length:
             return order
         rank = np.empty(n, np.int64)
@@ -88,30 +88,39 @@ def common_prefix_breaks(symbols: np.ndarray, order: np.ndarray, length: int) ->
     are extended backward, so every place is set once.
     """
     n = len(symbols)
-    last = symbols[order - 1].astype(np.int64)  # the transform; position 0 wraps to the final separator
-    column = np.argsort(last, kind="stable")
-    keys = last[column] * n + column  # sorted: the first column's places by (symbol, place of the rest)
+    last = symbols[order - 1]  # the transform; position 0 wraps to the final separator
+    column = np.argsort(last.astype(np.uint16), kind="stable")
+    step = np.empty(n, np.int64)  # where the suffix one symbol longer stands
+    step[column] = np.arange(n)
+    lead = last[column]  # first symbols of the suffixes in order
+    keys = lead * n + column  # ascending: places by (symbol, place of the rest)
+    alphabet = np.unique(last)
     broken = np.zeros(n + 1, bool)
     broken[0] = broken[n] = True
     low, high = np.array([0]), np.array([n])
-    alphabet = np.unique(last)
     for _ in range(length):
         size = high - low
-        wide = size > len(alphabet)
-        inside = np.flatnonzero(~wide)
-        which = np.repeat(inside, size[inside])
-        at = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(size[inside]) - size[inside], size[inside])
-        pair = np.concatenate([which * 512 + last[at], (np.flatnonzero(wide)[:, None] * 512 + alphabet).ravel()])
-        pair = np.unique(pair)
-        which, symbol = pair >> 9, pair & 511
-        left, right = np.searchsorted(keys, symbol * n + low[which]), np.searchsorted(keys, symbol * n + high[which])
+        wide = np.flatnonzero(size > 4 * len(alphabet))
+        symbol = np.tile(alphabet, len(wide))
+        lefts = [np.searchsorted(keys, symbol * n + np.repeat(low[wide], len(alphabet)))]
+        rights = [np.searchsorted(keys, symbol * n + np.repeat(high[wide], len(alphabet)))]
+        narrow = np.flatnonzero(size <= 4 * len(alphabet))
+        low, size = low[narrow], size[narrow]
+        ends = np.cumsum(size)
+        # members of an interval with the same symbol before them step to successive places
+        which = np.repeat(np.arange(len(low)), size)
+        at = np.sort(which * n + step[np.arange(len(which)) + np.repeat(low - (ends - size), size)]) - which * n
+        if len(at):
+            head = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (lead[at[1:]] != lead[at[:-1]])))
+            lefts.append(at[head])
+            rights.append(at[np.append(head[1:], len(at)) - 1] + 1)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        # left ends are breaks already or become so with their neighbour's right end in this level
         fresh = (left < right) & ~broken[right]
-        # Left ends are breaks already or become so with their neighbour's right end in this level.
-        broken[right[fresh]] = True
-        left, right = left[fresh], right[fresh]
-        if not len(left):
+        low, high = left[fresh], right[fresh]
+        broken[high] = True
+        if not len(low):
             break
-        low, high = left, right
     return broken[:n]
 
 

@@ -7,11 +7,13 @@ Voronoi regions would say nothing, so first regions are seeded where sets can li
 for each shingle in the prefixes of at least two sets (rarest shingles first; two linked sets share
 a prefix shingle whatever the order). Then, until no region is left,
 
-1. each region takes pivots (one at first, four times as many each round) and the exact distances of
-   its members to them, which gives links and components;
-2. a region whose members are all in one component is finished: more links cannot change components;
-3. otherwise members go to the Voronoi region of the nearest pivot and, if they pass both windows,
-   as replicas to the regions of other pivots. Pivots leave: they have met every member.
+1. each region takes its most central members as pivots (one at first, sixteen times as many each
+   round, 256 at most); members that can link with them, by set sizes and shared prefix shingles, are
+   measured, which gives links and components;
+2. pivots leave, having met every member; a region whose other members are all in one component is
+   finished: more links cannot change components;
+3. in the others all distances to the pivots are measured, and members go to the Voronoi region of the
+   nearest pivot and, if they pass both windows, as replicas to the regions of other pivots.
 
 Equal sets are one point. A group of n near copies costs n distances to its pivot, not n squared.
 Documents' texts travel to the distance step rather than sets (a third of the size).
@@ -23,17 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .relative_parse import _documents
-from .store import materialize
+from .store import arrow_batches, materialize
 from .text import WORD_BASE, RangeHash, Texts, grams, mix, signed, steps, word_hashes, words
 
 #: Slots of the shingle-frequency sketch are 2**SKETCH_BITS: its size does not depend on the data.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH_PARTS = 64
+#: Ids of sets that are broadcast at most to fetch their texts (some 50 MB); more are shuffled.
+BROADCAST_IDS = 2_000_000
+#: Pairs of texts that a task holds at once.
+PAIRS_AT_ONCE = 64
 
 
 def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,28 +73,28 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for part in steps(batch.column("text")):
-                total += np.bincount(_slots(shingles(part.lowered(), size)[1]), minlength=len(total))
+                np.add.at(total, _slots(shingles(part.lowered(), size)[1]), 1)
         if total.any():
-            rows = total.reshape(SKETCH_PARTS, width)
+            rows = np.minimum(total, 255).astype(np.uint8).reshape(SKETCH_PARTS, width)
             yield pa.RecordBatch.from_pydict({"part": list(range(SKETCH_PARTS)), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_pydict({"part": list(sums), "counts": pa.array([r.tobytes() for r in sums.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": list(sums), "counts": pa.array([np.minimum(r, 65535).astype(np.uint16).tobytes() for r in sums.values()], pa.binary())})
 
     schema = "part long, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).repartition(SKETCH_PARTS // 4, "part").mapInArrow(add, schema).collect()
-    out = np.zeros((SKETCH_PARTS, width), np.int64)
+    out = np.zeros((SKETCH_PARTS, width), np.uint16)
     for row in rows:
-        out[row.part] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+        out[row.part] = np.frombuffer(row.counts, np.uint16)
+    return out.ravel()
 
 
 def shingled(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -107,7 +113,7 @@ def shingled(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 one, two = (s[first[1:]] - s[first[:-1]] for s in sums)
                 set_id = mix(mix(one + n.astype(np.uint64)) + two)
                 take = n + 1 - -(-percent * n // 100)
-                order = np.argsort((text.astype(np.int64) << 32) | counts[_slots(hashes)], kind="stable")
+                order = np.argsort((text.astype(np.int64) << 16) | counts[_slots(hashes)], kind="stable")
                 chosen = order[np.arange(len(order)) - np.repeat(first[:-1], n) < np.repeat(take, n)]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, take, 0))), pa.int32()), pa.array(signed(hashes[chosen]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(part)), pa.array(n, pa.int64()), pa.array(signed(set_id), pa.int64()), lists], ["doc_id", "n", "set_id", "prefix"])
@@ -116,7 +122,7 @@ def shingled(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """pairs (x, q) of set ids -> with `shared` and `joint`, the sizes of intersection and union."""
+    """pairs (x, q) of set ids -> written, with `shared` and `joint`, the sizes of intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +146,21 @@ def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.slice(at, len(part)), q.slice(at, len(part)), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())], ["x", "q", "shared", "joint"])
 
     joined = pairs.join(texts.select(F.col("set_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("set_id").alias("q"), F.col("text").alias("q_text")), "q")
-    return joined.select("x", "q", "x_text", "q_text").mapInArrow(run, "x long, q long, shared long, joint long")
+    with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):
+        return materialize(joined.select("x", "q", "x_text", "q_text").mapInArrow(run, "x long, q long, shared long, joint long"), "distances")
 
 
-def _pivots(regions: DataFrame, k: int) -> DataFrame:
-    """regions (region, x) -> (region, q): up to k members of each region, by mergeable minima."""
-    chosen = regions.groupBy("region").agg(*(F.min_by("x", F.xxhash64("x", F.lit(i))).alias(f"q{i}") for i in range(k)))
-    return chosen.select("region", F.explode(F.array_distinct(F.array(*(f"q{i}" for i in range(k))))).alias("q"))
+def _pivots(regions: DataFrame, degrees: DataFrame, k: int) -> DataFrame:
+    """regions (region, x) -> (region, q): the k most central members; Spark limits groups before the exchange."""
+    order = Window.partitionBy("region").orderBy(F.desc("degree"), F.xxhash64("x", F.lit(k)), "x")
+    return regions.join(degrees, "x").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("region", F.col("x").alias("q"))
+
+
+def _collapsed(regions: DataFrame) -> DataFrame:
+    """One of all regions with the same members: near copies share many prefix shingles."""
+    marks = [F.bit_xor(F.xxhash64("x", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    same = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), *marks)
+    return regions.join(same.groupBy("n", "mark1", "mark2").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
 
 
 def _mixed(regions: DataFrame, found: DataFrame) -> DataFrame:
@@ -156,11 +170,20 @@ def _mixed(regions: DataFrame, found: DataFrame) -> DataFrame:
     return regions.join(mixed, "region", "left_semi")
 
 
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, q) that can link. With c shared prefix shingles two sets share at most c and what the
+    longer rest beyond a prefix holds; sizes must fit as well."""
+    side = lambda k: sets.select(F.col("set_id").alias(k), F.col("n").alias(f"{k}_n"), F.col("prefix").alias(f"{k}_prefix"))
+    rows = pairs.join(side("x"), "x").join(side("q"), "q")
+    fits = 100 * F.least("x_n", "q_n") >= percent * F.greatest("x_n", "q_n")
+    most = F.size(F.array_intersect("x_prefix", "q_prefix")) + F.greatest(F.col("x_n") - F.size("x_prefix"), F.col("q_n") - F.size("q_prefix"))
+    return rows.filter(fits & ((100 + percent) * most >= percent * (F.col("x_n") + F.col("q_n")))).select("x", "q")
+
+
 def voronoi(regions: DataFrame, pivots: DataFrame, measured: DataFrame, radius: float) -> DataFrame:
-    """(region, x) split into (region, x) of the pivots' regions with replicas in the windows; pivots left out."""
+    """(region, x) split into (region, x) of the pivots' regions with replicas in the windows."""
     d = 1 - F.col("shared") / F.col("joint")
-    rows = regions.join(pivots, "region").join(measured.select("x", "q", d.alias("d")), ["x", "q"])  # a pivot has no row with itself
-    rows = rows.join(pivots.select("region", F.col("q").alias("x")), ["region", "x"], "left_anti")
+    rows = regions.join(pivots, "region").join(measured.select("x", "q", d.alias("d")), ["x", "q"])
     home = rows.groupBy("region", "x").agg(F.min(F.struct("d", "q")).alias("home"))
     rows = rows.join(home, ["region", "x"]).withColumn("core", F.col("q") == F.col("home.q"))
     reach = rows.filter("core").groupBy("region", "q").agg(F.max("d").alias("reach"))
@@ -169,41 +192,68 @@ def voronoi(regions: DataFrame, pivots: DataFrame, measured: DataFrame, radius:
     return rows.select(F.xxhash64("region", "q").alias("region"), "x")
 
 
+def _texts(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(set_id, text) of all sets in the pairs: one document stands for equal sets."""
+    wanted = pairs.select(F.explode(F.array("x", "q")).alias("set_id")).distinct()
+    near = materialize(points.join(wanted, "set_id").select("set_id", "doc_id"), "near")
+    if near.count() <= BROADCAST_IDS:
+        near = F.broadcast(near)
+    return materialize(docs.join(near, "doc_id").select("set_id", "text").dropDuplicates(["set_id"]), "texts")
+
+
 def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with their number of distinct `size`-word shingles and their component under links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets of
     lower-cased (A-Z) words; a text under `size` words is one shingle. component_id is the smallest id
     reachable. Null or empty texts have no set and stay alone. Repeated rows give repeated results;
-    a null id gets its component from the rest of its component, or null. Extra columns are ignored.
+    rows with a null id take no part: their component is null. Extra columns are ignored.
     """
     docs = _documents(docs, id_col, text_col)
-    sets = materialize(shingled(docs, size, percent), "sets")
-    points = sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    seeds = sets.select(F.explode("prefix").alias("region"), F.col("set_id").alias("x"))
-    shared = seeds.groupBy("region").agg(F.min("x").alias("q"), F.max("x").alias("other")).filter("q <> other").select("region", "q")
-    seeded = materialize(seeds.join(shared, "region").distinct(), "seeded")
-    regions, pivots = seeded.select("region", "x"), None
-    near = points.join(seeded.select(F.col("x").alias("set_id")).distinct(), "set_id", "left_semi")
-    texts = materialize(docs.dropDuplicates(["doc_id"]).join(near, "doc_id").select("set_id", "text"), "texts")
-    found, measured, k = None, None, 1
+    every = materialize(shingled(docs, size, percent), "sets")
+    sets = every.filter("n > 0 and doc_id is not null")
+    points = materialize(sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "points")
+    prefixes = sets.join(points, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
+    # one exchange by region serves the leaders, the join with them and the removal of repeats
+    seeds = sets.select(F.explode("prefix").alias("region"), F.col("set_id").alias("x")).repartition("region")
+    common = seeds.groupBy("region").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a <> b").select("region")
+    shared = materialize(seeds.join(common, "region", "left_semi").distinct(), "shared")
+    # The text that others were edited from shares all its prefix; edits bring rare shingles of their own.
+    # So the member of most regions is the most central one, and the best pivot.
+    degrees = materialize(shared.groupBy("x").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    ranked = shared.join(degrees, "x")
+    leaders = ranked.groupBy("region").agg(F.max_by("x", F.struct("degree", "x")).alias("q"))
+    seeded = materialize(shared.join(leaders, "region"), "seeded")
+    regions, pivots = seeded.select("region", "x"), seeded.select("region", "q").distinct()
+    asked = seeded.filter("x <> q").select("x", "q").distinct()
+    measured, k = None, 1
     while True:
-        asked = seeded.select("x", "q") if pivots is None else regions.join(pivots, "region").select("x", "q")
-        asked = asked.filter("x <> q").distinct()
-        fresh = asked if measured is None else asked.join(measured, ["x", "q"], "left_anti")
-        new = materialize(distances(fresh, texts, size), "distances")
-        measured = new if measured is None else measured.unionByName(new)
+        fresh = materialize(_without(likely(asked, prefixes, percent), measured), "likely")
+        measured = _and(measured, distances(fresh, _texts(docs, points, fresh), size))
         fits = measured.filter(f"100 * shared >= {percent} * joint")
-        if pivots is None:
-            pivots = seeded.select("region", "q").distinct()
         found = components(fits.select(F.col("x").alias("u"), F.col("q").alias("v")))
-        split = materialize(voronoi(_mixed(regions, found), pivots, measured, 1 - percent / 100), "split")
-        regions = materialize(_mixed(split, found), "regions")
+        rest = regions.join(pivots.withColumnRenamed("q", "x"), ["region", "x"], "left_anti")
+        rest = materialize(_collapsed(_mixed(rest, found)), "rest")
+        if rest.isEmpty():
+            break
+        needed = materialize(_without(rest.join(pivots, "region").select("x", "q").distinct(), measured), "needed")
+        measured = _and(measured, distances(needed, _texts(docs, points, needed), size))
+        regions = materialize(_collapsed(_mixed(voronoi(rest, pivots, measured, 1 - percent / 100), found)), "regions")
         if regions.isEmpty():
             break
-        k = min(4 * k, 256)
-        pivots = materialize(_pivots(regions, k), "pivots")
+        k = min(16 * k, 256)
+        pivots = materialize(_pivots(regions, degrees, k), "pivots")
+        asked = regions.join(pivots, "region").filter("x <> q").select("x", "q").distinct()
     names = points.withColumnRenamed("doc_id", "least").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_id", "component_id")
-    out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
+    known = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))
+    out = every.select("doc_id", "n", known.alias("set_id")).join(named, "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _without(pairs: DataFrame, measured: DataFrame | None) -> DataFrame:
+    return pairs if measured is None else pairs.join(measured, ["x", "q"], "left_anti")
+
+
+def _and(measured: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if measured is None else measured.unionByName(new)

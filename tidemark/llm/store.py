@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, records: int) -> Iterator[None]:
+    """Rows that Python functions get at once, for actions within: few where a row holds several long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files behind a materialized table that nothing reads any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -19,7 +19,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that one vectorised step handles; a single longer text is handled alone.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 
@@ -34,7 +34,7 @@ def _powers_sized(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n (sizes rounded up, so few tables are built)."""
-    return _powers_sized(base, max(STEP_BYTES, 1 << max(n, 1).bit_length()))
+    return _powers_sized(base, max(STEP_BYTES, 1 << max(n - 1, 1).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -139,3 +139,35 @@ def grams(hashes: np.ndarray, found: Words, n: int) -> tuple[np.ndarray, np.ndar
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+class Lookup:
+    """Places of 64-bit keys: keys by multiplicative slot, probed one after the other within a slot."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        slot = self._slot(keys)
+        self.order = np.argsort(slot, kind="stable").astype(np.int32)
+        self.keys = keys[self.order]
+        self.first = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << self.bits), out=self.first[1:])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key in the given order of keys, -1 if absent."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
+        slot = self._slot(keys)
+        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], keys[left]
+        while len(left):
+            hit = self.keys[at] == wanted
+            out[left[hit]] = self.order[at[hit]]
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+        return out

@@ -16,11 +16,10 @@ Decoding looks control bytes up in a table of lengths and gathers codes with num
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +28,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .relative_parse import _documents
-from .store import drop, materialize, new_path
+from .store import arrow_batches, drop, materialize, new_path
+from .text import Lookup, RangeHash, Texts, steps
 
 #: Bytes of the four codes that a control byte announces.
 LENGTHS = np.array([[((c >> s) & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 #: Documents and ids that a block holds at most; a longer document is a block of its own.
-BLOCK_DOCS, BLOCK_IDS = 512, 1 << 20
+BLOCK_DOCS, BLOCK_IDS = 512, 1 << 19
 #: Chunks that a worker remembers; it forgets all of them beyond.
 REMEMBERED = 1 << 20
-#: A space that isn't certainly the start of a pre-token: white space or the end follows.
-DOUBTFUL = re.compile(r" (?:\s|\Z)")
+#: Documents that a task holds at once.
+AT_ONCE = 2048
+#: Bytes that, after a space, certainly begin a visible character: no control, no white space, and none
+#: of the lead bytes C2, E1, E2 and E3 that white space beyond ASCII has.
+STARTS = np.zeros(256, bool)
+STARTS[0x21:] = True
+STARTS[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 def pack(codes: np.ndarray) -> tuple[bytes, bytes]:
@@ -64,11 +69,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class ChunkEncoder:
     """Encodes texts by their chunks between spaces, each chunk once.
 
-    A byte-level pre-tokenizer starts anew at a space that a non-space follows, so chunks between such
-    spaces are encoded alike wherever they stand. Texts with other spaces are encoded whole.
+    A byte-level pre-tokenizer starts anew at a space that a visible character follows, so chunks cut
+    there are encoded alike wherever they stand. Chunks are found and hashed with numpy; only chunks that
+    a worker has not met, or has forgotten, reach the tokenizer, many in one string that is cut by the
+    byte lengths of its ids.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,48 +87,70 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks come with their leading space left out; they are encoded in runs and cut by byte lengths."""
-        runs = ["".join(" " + c for c in chunks[i : i + 256]) for i in range(0, len(chunks), 256)]
-        ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
-        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
-        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-        at, n = int(self.first[len(self.known)]), len(self.known)
-        while at + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(chunks) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.ids[at : at + len(ids)] = ids
-        self.first[n + 1 : n + len(chunks) + 1] = at + cuts
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.old, self.new = Lookup(self.keys), Lookup(self.keys)
+        self.settled = 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        places = self.old.find(keys)
+        left = np.flatnonzero(places < 0)
+        more = self.new.find(keys[left])
+        places[left] = np.where(more >= 0, more + self.settled, -1)
+        return places
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
+        """New chunks, heads of texts last (they begin without a space, so each is encoded alone)."""
+        order = np.argsort(head, kind="stable")
+        keys, start, end, head = keys[order], start[order], end[order], head[order]
+        n = int((~head).sum())
+        runs = [_gathered(data, start[i : min(n, i + 256)], end[i : min(n, i + 256)]) for i in range(0, n, 256)]
+        runs += [_gathered(data, start[i : i + 1], end[i : i + 1]) for i in range(n, len(keys))]
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in found])
+        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(end - start)) + 1
+        self.first = np.concatenate([self.first, self.first[-1] + cuts])
+        self.ids, self.keys = np.concatenate([self.ids, ids]), np.concatenate([self.keys, keys])
+        if len(self.keys) > 2 * self.settled:  # rarely: the large table is built anew
+            self.settled, self.old, self.new = len(self.keys), Lookup(self.keys), Lookup(self.keys[:0])
+        else:
+            self.new = Lookup(self.keys[self.settled :])
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids by text)."""
-        if len(self.known) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._forget()
-        plain = [not DOUBTFUL.search(t) for t in texts]
-        pieces: list[str] = []
-        heads, sizes = [], []
-        for text, ok in zip(texts, plain, strict=True):
-            head, *rest = text.split(" ") if ok else (text,)
-            heads.append(head)
-            sizes.append(len(rest))
-            pieces += rest
-        places = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        if (new := np.flatnonzero(places < 0)).size:
-            self._learn(list(dict.fromkeys(pieces[i] for i in new)))
-            places[new] = np.fromiter((self.known[pieces[i]] for i in new), np.int64, len(new))
-        headed = [e.ids for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        data, bounds = texts.data, texts.bounds
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-2] = (data[:-1] == 0x20) & STARTS[data[1:]] if len(data) > 1 else False
+        inner = bounds[1:-1]
+        cut[inner[inner > 0] - 1] = False  # a text's final space starts nothing
+        heads = bounds[:-1][np.diff(bounds) > 0]
+        cut[heads] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))[: len(start)]
+        head = np.zeros(len(data) + 1, bool)
+        head[heads] = True
+        head = head[start]
+        # a head without a space differs from nothing else: its bytes differ from those of inner chunks
+        keys = RangeHash(data).of(start, end)
+        places = self._find(keys)
+        if (missing := np.flatnonzero(places < 0)).size:
+            new, one = np.unique(keys[missing], return_index=True)
+            one = missing[one]
+            self._learn(new, data, start[one], end[one], head[one])
+            places[missing] = self._find(keys[missing])
         counts = self.first[places + 1] - self.first[places]
         ends = np.cumsum(counts)
-        source = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[places] - (ends - counts), counts)
-        flat = self.ids[source]
-        cuts = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
-        out = [x for i, h in enumerate(headed) for x in (np.asarray(h, np.uint32), flat[cuts[i] : cuts[i + 1]])]
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(h) for h in headed], np.int64) + np.diff(cuts)
+        source = np.arange(int(counts.sum())) + np.repeat(self.first[places] - (ends - counts), counts)
+        by_text = np.searchsorted(start, bounds)
+        return self.ids[source], np.diff(np.append(0, ends)[by_text])
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    n = end - start
+    at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+    return data[at].tobytes().decode("utf-8")
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -143,14 +173,14 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         shard, before = TaskContext.get().partitionId(), 0
         own = encoder(path)
         for batch in batches:
-            texts, doc_ids = batch.column("text").fill_null(""), batch.column("doc_id")
-            for a in range(0, len(texts), 512):
-                ids, counts = own.encode(texts.slice(a, 512).to_pylist())
-                cuts = np.append(0, np.cumsum(counts))
-                rows = [np.append(ids[cuts[i] : cuts[i + 1]], np.uint32(end_id)).astype("<u4").tobytes() for i in range(len(counts))]
-                offsets = before + cuts[:-1] + np.arange(len(counts))
-                before += int(cuts[-1]) + len(counts)
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 512), pa.array(np.full(len(counts), shard), pa.int32()), pa.array(offsets, pa.int64()), pa.array(counts + 1, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "shard", "offset", "n", "ids"])
+            for part in steps(batch.column("text")):
+                ids, counts = own.encode(part)
+                ends = np.cumsum(counts + 1)
+                whole = np.full(int(ends[-1]), end_id, "<u4")
+                whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                rows = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int64)), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), pa.array(np.full(len(counts), shard), pa.int32()), pa.array(before + ends - counts - 1, pa.int64()), pa.array(counts + 1, pa.int32()), rows.cast(pa.binary())], ["doc_id", "shard", "offset", "n", "ids"])
+                before += int(ends[-1])
 
     ordered = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, RAW)
@@ -200,8 +230,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    raw = materialize(encoded(_documents(docs, id_col, text_col), tokenizer_path, end_id), "raw-ids", compression="zstd")
-    order = ranked(raw)
+    with arrow_batches(spark, AT_ONCE):
+        raw = materialize(encoded(_documents(docs, id_col, text_col), tokenizer_path, end_id), "raw-ids", compression="zstd")
+    with arrow_batches(spark, AT_ONCE):
+        order = ranked(raw)
     rank_of = np.zeros(max(order, default=0) + 1, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)  # four bytes for each id of the vocabulary
@@ -220,7 +252,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
 
     files = TokenFiles(f"{path}/blocks", f"{path}/ranks")
     spark.createDataFrame([(order,)], "ids array<long>").write.parquet(files.ranks)
-    raw.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(files.blocks)
+    with arrow_batches(spark, AT_ONCE):
+        raw.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(files.blocks)
     drop(spark, raw)
     return files
 
