@@ -14,6 +14,8 @@ from ..sources.tables import ORIGIN_LAT, ORIGIN_LON, STEP_S, WINDOW_END, WINDOW_
 BBOX = (70.0, 17.0, 75.0, 21.0)
 DAY = 86400.0
 GAP_MIN = 1440.0
+#: Events from here on are changes to what was stored before.
+UPSERT_FROM = "2024-01-16 00:00:00"
 #: A source region: a polygon in the local plane (km).
 REGION = [(-35.0, -20.0), (-10.0, -22.0), (0.0, -5.0), (-12.0, 8.0), (-32.0, 4.0)]
 
@@ -99,9 +101,16 @@ def nearest_frame(s, d):
     return corridor.nearest_frame(fixes(s, d).filter(F.col("t").between(WINDOW_START, WINDOW_END)).select("mmsi", F.col("t").alias("tq")), WINDOW_START, 21600.0, steps)
 
 
+def _between_steps(s):
+    return s.range(60).select((F.lit(WINDOW_START) + F.col("id") * 1000.0).alias("tq"))
+
+
 def cloud_interp(s, d):
-    times = s.range(60).select((F.lit(WINDOW_START) + F.col("id") * 1000.0).alias("tq"))
-    return rounded(corridor.cloud_at(tables.particle_cloud(s).filter("pid < 20"), times, STEP_S))
+    return rounded(corridor.cloud_at(tables.particle_cloud(s).filter("pid < 20"), _between_steps(s), STEP_S))
+
+
+def cloud_interp_all(s, d):
+    return rounded(corridor.cloud_at(tables.particle_cloud(s), _between_steps(s), STEP_S))
 
 
 def corridor_nn(s, d):
@@ -267,18 +276,25 @@ def coverage(s, d):
     return state.covering(_files(s), asked)
 
 
-def _spills(s, d):
+def _spills(rows):
     k = F.col("o_orderkey")
-    rows = tables.table(s, d, "orders").filter("o_orderkey < 400")
     return rows.select(k.alias("spill_id"), (F.col("o_totalprice") * 300.1234567).alias("area_m2"), F.when(k % 11 != 0, (k % 70).cast("double")).alias("coast_km"), F.when(k % 3 != 0, (k % 120).cast("double")).alias("beach_eta_h"), (k % 2 == 0).alias("modelled"), ((k % 9) / 10.0).alias("exposure"), (k % 4).alias("n_threatened"), F.element_at(F.array(*map(F.lit, ("Heavy fuel oil", "Marine diesel", "UNKNOWN", "medium crude"))), (k % 4 + 1).cast("int")).alias("oil_type"), F.when(k % 5 != 0, (k % 16).cast("double")).alias("wind_ms"))
 
 
 def severity(s, d):
-    return rounded(impact.severity(_spills(s, d)))
+    return rounded(impact.severity(_spills(tables.table(s, d, "orders").filter("o_orderkey < 400"))))
+
+
+def severity_all(s, d):
+    return rounded(impact.severity(_spills(tables.table(s, d, "orders"))))
 
 
 def action_rules(s, d):
-    return impact.actions(impact.severity(_spills(s, d)))
+    return impact.actions(impact.severity(_spills(tables.table(s, d, "orders").filter("o_orderkey < 400"))))
+
+
+def action_rules_all(s, d):
+    return impact.actions(impact.severity(_spills(tables.table(s, d, "orders"))))
 
 
 def _slicks(s):
@@ -302,10 +318,17 @@ def responsible_mrcc(s, d):
     return _slicks(s).select("spill_id", domain.rescue_centre(F.col("lon"), F.col("lat")).alias("mrcc"), domain.basin(F.col("lon"), F.col("lat")).alias("basin"))
 
 
-def spill_compare(s, d):
+def _observed(rows):
     k = F.col("o_orderkey")
-    obs = tables.table(s, d, "orders").filter("o_orderkey < 300").select(k.alias("id"), (WINDOW_START + k * 7200.0).alias("t"), (18.0 + (k % 7) * 0.2).alias("lat"), (71.0 + (k % 5) * 0.3).alias("lon"), (0.05 + (k % 3) * 0.05).alias("half"), F.col("o_totalprice").alias("area_m2"))
-    return rounded(impact.associated(obs))
+    return rows.select(k.alias("id"), (WINDOW_START + k * 7200.0).alias("t"), (18.0 + (k % 7) * 0.2).alias("lat"), (71.0 + (k % 5) * 0.3).alias("lon"), (0.05 + (k % 3) * 0.05).alias("half"), F.col("o_totalprice").alias("area_m2"))
+
+
+def spill_compare(s, d):
+    return rounded(impact.associated(_observed(tables.table(s, d, "orders").filter("o_orderkey < 300"))))
+
+
+def spill_compare_all(s, d):
+    return rounded(impact.associated(_observed(tables.table(s, d, "orders"))))
 
 
 def _manifest(s, d):
@@ -381,21 +404,27 @@ def velocity_parts(s, d):
     return rounded(rows.select("spill_id", "u", "v", "wu", "wv", speed.alias("speed"), toward.alias("toward"), geo.angle_difference(F.col("bearing_deg"), F.lit(350.0)).alias("turn")))
 
 
-def _states(s, d):
-    e = tables.table(s, d, "events")
+def _states(e):
     status = F.element_at(F.array(*map(F.lit, ("QUEUED", "RUNNING", "COMPLETED", "PARTIAL", "FAILED"))), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select("user_id", "event_id", status.alias("status"), F.col("value"))
 
 
 def latest_state(s, d):
-    return state.interrupted(state.latest(_states(s, d), "user_id", ("event_id",)))
+    return state.interrupted(state.latest(_states(tables.table(s, d, "events")), "user_id", ("event_id",)))
 
 
 def upsert_latest(s, d):
-    rows = _states(s, d)
+    rows = _states(tables.table(s, d, "events"))
     return state.upserted(state.latest(rows.filter("event_id % 2 = 0"), "user_id", ("event_id",)), rows.filter("event_id % 7 = 3 and user_id % 3 = 1"), "user_id", ("event_id",))
 
 
+def upsert_latest_all(s, d):
+    """Every event is stored or, from the split on, a change."""
+    e = tables.table(s, d, "events")
+    late = F.coalesce(F.col("ts") >= F.to_timestamp(F.lit(UPSERT_FROM)), F.lit(False))
+    return state.upserted(state.latest(_states(e.filter(~late)), "user_id", ("event_id",)), _states(e.filter(late)), "user_id", ("event_id",))
+
+
 def provenance_mix(s, d):
     e = tables.table(s, d, "events")
     return state.mixed_provenance(e.select("user_id", F.when(F.col("user_id") % 4 == 0, "LOCAL_FILE").otherwise(F.element_at(F.array(*map(F.lit, ("REAL", "SYNTHETIC", "LOCAL_FILE"))), (F.col("event_id") % 3 + 1).cast("int"))).alias("provenance")), "user_id")
@@ -474,13 +503,21 @@ def polygon_points(s, d):
     return rounded(scenes.points_within(ring, 500))
 
 
-def component_targets(s, d):
+def _linked(rows, s):
     k = F.col("p_partkey")
-    boxes = tables.table(s, d, "part").filter("p_partkey < 600").select((k % 4).alias("scene"), k.alias("component_id"), (k * 17 % 90 + 0.25).alias("x0"), (k * 23 % 80 + 0.25).alias("y0")).withColumns({"x1": F.col("x0") + 1.5, "y1": F.col("y0") + 1.0})
+    boxes = rows.select((k % 4).alias("scene"), k.alias("component_id"), (k * 17 % 90 + 0.25).alias("x0"), (k * 23 % 80 + 0.25).alias("y0")).withColumns({"x1": F.col("x0") + 1.5, "y1": F.col("y0") + 1.0})
     points = s.range(400).select((F.col("id") % 4).alias("scene"), (F.col("id") * 29 % 91).cast("double").alias("x"), (F.col("id") * 31 % 83).cast("double").alias("y"))
     return rounded(scenes.with_nearest_target(boxes, points))
 
 
+def component_targets(s, d):
+    return _linked(tables.table(s, d, "part").filter("p_partkey < 600"), s)
+
+
+def component_targets_all(s, d):
+    return _linked(tables.table(s, d, "part"), s)
+
+
 QUERIES = {f.__name__: f for f in (
     bbox_time_scan, vessel_semi_select, cleaning_report, dedupe_keep_first, thin_bins, static_first_nonnull, vessel_type, kinematics, spike_fixpoint, gaps, track_quality,
     interp_at, nearest_frame, cloud_interp, corridor_nn, corridor_fraction, region_distance, corridor_candidates, temporal_feature, behaviour, continuity, evidence_score,
@@ -488,4 +525,5 @@ QUERIES = {f.__name__: f for f in (
     coverage, severity, action_rules, site_threat, next_port, nearest_place, responsible_mrcc, spill_compare, manifest_root, manifest_chain, manifest_verify, components,
     component_stats, cfar, morphology, block_percentile_mad, decimate, dice_iou, position_format, velocity_parts, latest_state, upsert_latest, provenance_mix, track_simplify,
     search_window, drift_vector, scene_search, scene_clip, georeference, release_window, drift_reach, synthetic_forcing, tile_merge, calibration, hash_sample, polygon_points, component_targets,
+    severity_all, action_rules_all, spill_compare_all, component_targets_all, cloud_interp_all, upsert_latest_all,
 )}
