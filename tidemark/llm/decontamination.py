@@ -4,10 +4,11 @@ Numbers, names and units of texts and benchmark items become typed placeholders;
 these templates are hash-joined, and where they agree along one alignment, slots that hold equal
 values in the item must hold equal values in the text. A question whose numbers or names were
 replaced is found; a text that merely has the same shape of sentence with mixed-up slots is not.
+Literal windows of lower-cased words, joined in the same way, find copies in any letter case.
 
 Only DataFrame functions. Texts are exploded into windows that meet the benchmark's windows in a hash
 join on one long; a benchmark up to BROADCAST_ROWS windows is sent to all tasks, a larger one is
-shuffled. Hits are reduced to one row an alignment before anything else.
+shuffled. The first hit of a run tells an alignment, along which all windows are then compared.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 #: Words that are units after a number.
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mile", "miles", "meter", "meters", "metre", "metres", "inch", "inches", "foot", "feet",
@@ -24,7 +27,7 @@ UNITS = (
     "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "mph", "kmh", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "a",
 )
 #: What is cut from both ends of a word.
-PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’„…¿¡*_-–—"
+PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’„…¿¡*_-–—$€£¥₹¢"
 NUMBER, NAME, UNIT = "#", "@", "%"
 WINDOW = 5
 #: Windows of a benchmark (28 bytes or so each) that are broadcast at most.
@@ -66,46 +69,109 @@ def window_hashes(template: F.Column, size: int = WINDOW) -> F.Column:
     return F.when(F.size(template) >= size, whole)
 
 
-def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each window of each item: hash, item_id, item_place, item_words, item_slots.
+def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each item text and kind, template or literal: item_id, key, literal, item_words, item_slots,
+    item_hashes and anchors (whether a window may be looked up; the others are compared where one was found).
 
-    Windows with fewer than three literal words fit too much and are left out; so are items under five words.
+    Template windows with fewer than three literal words fit too much to be looked up. Items under five
+    words have no windows.
     """
     rows = templates(benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")))
-    rows = rows.dropDuplicates(["item_id", "words"]).withColumn("item_words", F.size("template"))
-    placed = rows.select("item_id", "item_words", "template", F.col("slots").alias("item_slots"), F.posexplode(window_hashes(F.col("template"))).alias("item_place", "hash"))
-    literal = F.size(F.filter(F.slice("template", F.col("item_place") + 1, WINDOW), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    return placed.filter(literal >= 3).drop("template")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    rows = rows.dropDuplicates(["item_id", "words"]).withColumn("low", F.transform("words", lambda w: F.lower(w)))
+    kinds = F.explode(F.array(F.struct(F.lit(False).alias("literal"), F.col("template").alias("units")), F.struct(F.lit(True).alias("literal"), F.col("low").alias("units")))).alias("kind")
+    rows = rows.select("item_id", F.size("low").alias("item_words"), F.col("slots").alias("item_slots"), kinds).select("item_id", "item_words", "item_slots", "kind.*")
+    rows = rows.withColumn("key", F.xxhash64("item_id", "literal", "units", "item_slots"))
+    telling = F.when(F.col("literal"), F.transform("units", lambda w: (w != "").cast("int"))).otherwise(F.transform("units", lambda w: (~w.isin(NUMBER, NAME, UNIT)).cast("int")))
+    rows = rows.withColumns({"telling": telling, "item_hashes": window_hashes(F.col("units"))})
+    many = lambda i: F.aggregate(F.slice("telling", i + 1, WINDOW), F.lit(0), lambda n, x: n + x)
+    return rows.withColumn("anchors", F.transform("item_hashes", lambda _, i: many(i) >= F.when(F.col("literal"), 1).otherwise(3))).drop("telling")
+
+
+def anchor_windows(items: DataFrame) -> DataFrame:
+    """A row for each window to look up: hash, key, literal, item_place and `previous`, the hash before it if that is looked up too."""
+    rows = items.select("key", "literal", "item_hashes", "anchors", F.posexplode("item_hashes").alias("item_place", "hash")).filter(F.get("anchors", F.col("item_place")))
+    before = F.col("item_place") - 1
+    return rows.select("key", "literal", "item_place", "hash", F.when(F.get("anchors", before), F.get("item_hashes", before)).alias("previous"))
+
+
+def _alignments(texts: DataFrame, items: DataFrame, literal: bool) -> DataFrame:
+    """texts (doc_id, slots, template, low) -> a row or more for each alignment: doc_id, slots, hashes, shift and the item's columns."""
+    texts = texts.select("doc_id", "slots", window_hashes(F.col("template")).alias("hashes"), *([window_hashes(F.col("low")).alias("literals")] if literal else []))
+    # a window without slots is the same in both kinds and is looked up once
+    asked = F.concat("hashes", F.zip_with("literals", "hashes", lambda a, b: F.when(a != b, a))) if literal else F.col("hashes")
+    # a column of its own: higher-order functions inside the generator would keep it, and the join, out of generated
+    # code; and outer, or a filter on the array's size is derived that computes it all again
+    texts = texts.withColumn("asked", asked)
+    windows = anchor_windows(items)
+    small = windows.count() <= BROADCAST_ROWS
+    own = F.when(F.col("literal"), F.col("literals")).otherwise(F.col("hashes")) if literal else F.col("hashes")
+    n = F.size("hashes")
+    place = F.when(F.col("at") >= n, F.col("at") - n).otherwise(F.col("at"))
+    if small:
+        placed = texts.select(*(c for c in texts.columns if c != "asked"), F.posexplode_outer("asked").alias("at", "hash")).withColumn("place", place)
+        hits = placed.join(F.broadcast(windows), "hash")
+        # of a run of windows the first one tells the alignment
+        hits = hits.filter(F.col("previous").isNull() | ~F.get(own, F.col("place") - 1).eqNullSafe(F.col("previous")))
+        return hits.withColumns({"shift": F.col("place") - F.col("item_place"), "own": own}).join(F.broadcast(items.drop("literal", "units")), "key")
+    texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    placed = texts.select("row", n.alias("n"), F.posexplode_outer("asked").alias("at", "hash")).filter("hash is not null")
+    place = F.when(F.col("at") >= F.col("n"), F.col("at") - F.col("n")).otherwise(F.col("at"))
+    hits = placed.join(windows, "hash").select("row", "key", "literal", (place - F.col("item_place")).alias("shift")).distinct()
+    return hits.join(texts.drop("asked"), "row").withColumn("own", own).join(items.drop("literal", "units"), "key")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", literal: bool = False) -> DataFrame:
     """Documents that contain a benchmark item: at least `least` of its words lie in matching windows
     of alignments with consistent slots.
 
+    With `literal` the lower-cased words count beside the templates: copies in any letter case are found,
+    whatever their slots, and items under five words where all their words follow each other.
+
     Returns a row for each document and item: doc_id, item_id, coverage (0 to 1), exact (all slots of
     some alignment hold the item's own values) and contaminated (true).
 
-    Null or empty texts and items, and those under five words, match nothing. Repeated documents or
-    items give one row a pair of ids; null ids are ids of their own. An empty table on either side
-    gives an empty result. Extra columns are ignored.
+    Null or empty texts and items match nothing; nor do those under five words without `literal`.
+    Repeated documents or items give one row a pair of ids; null ids are ids of their own. An empty table
+    on either side gives an empty result. Extra columns are ignored.
     """
-    items = item_windows(benchmark, item_col, item_text_col)
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
+    every = materialize(benchmark_items(benchmark, item_col, item_text_col).filter(F.lit(True) if literal else ~F.col("literal")), "items")
     texts = templates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    placed = texts.select("doc_id", "slots", F.posexplode(window_hashes(F.col("template"))).alias("place", "hash"))
-    hits = placed.join(items, "hash")
-    shift = F.col("place") - F.col("item_place")
-    within = F.filter("slots", lambda s: (s["place"] >= F.col("place")) & (s["place"] < F.col("place") + WINDOW))
-    filled = F.transform(within, lambda s: F.struct((s["place"] - shift).alias("place"), s["value"].alias("value")))
-    keys = ["doc_id", "item_id"]
-    aligned = hits.select(*keys, "item_words", "item_slots", "item_place", shift.alias("shift"), filled.alias("filled"))
-    aligned = aligned.groupBy(*keys, "shift", "item_words", "item_slots").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    texts = texts.withColumn("low", F.transform("words", lambda w: F.lower(w)))
+    # written: otherwise the nested functions below are put into each other again and again
+    rows = materialize(_alignments(texts, every.filter(F.col("item_words") >= WINDOW), literal), "alignments")
+    shift = F.col("shift")
+    rows = rows.withColumn("matched", F.filter(F.sequence(F.lit(0), F.size("item_hashes") - 1), lambda p: F.get("item_hashes", p) == F.get("own", p + shift)))
+    rows = materialize(rows.withColumn("sure", F.filter("matched", lambda p: F.get("anchors", p))).drop("own", "item_hashes", "anchors", "hashes", "literals"), "matched")
+    inside = lambda places, at: F.exists(places, lambda p: (at >= p) & (at < p + WINDOW))
     own = lambda place: F.get(F.filter("item_slots", lambda t: t["place"] == place), F.lit(0))["value"]
-    pairs = F.array_distinct(F.transform("filled", lambda s: F.struct(own(s["place"]).alias("item"), s["value"].alias("text"))))
-    aligned = aligned.withColumn("pairs", pairs)
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
-    exact = F.forall("pairs", lambda p: p["item"] == p["text"])
-    found = aligned.filter(consistent).groupBy(*keys, "item_words").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.bool_or(exact).alias("exact"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (WINDOW - 1))))))
-    return found.withColumn("coverage", covered / F.col("item_words")).filter(F.col("coverage") >= least).groupBy(*keys).agg(F.max("coverage").alias("coverage"), F.bool_or("exact").alias("exact")).withColumn("contaminated", F.lit(True))
+
+    def pairs(places: str) -> F.Column:
+        within = F.filter("slots", lambda s: inside(places, s["place"] - shift))
+        return F.array_distinct(F.transform(within, lambda s: F.struct(own(s["place"] - shift).alias("item"), s["value"].alias("text"))))
+
+    consistent = lambda c: F.size(F.array_distinct(F.transform(c, lambda p: p["item"]))) == F.size(c)
+    nothing = F.expr("cast(array() as array<struct<item:string,text:string>>)")
+    rows = rows.withColumns({"pairs": F.when(F.col("literal"), nothing).otherwise(pairs("matched")), "sure_pairs": F.when(F.col("literal"), nothing).otherwise(pairs("sure"))})
+    # windows that are not looked up count where their slots agree with the others
+    rows = rows.withColumn("places", F.when(consistent("pairs"), F.col("matched")).when(consistent("sure_pairs"), F.col("sure")).otherwise(F.array().cast("array<int>")))
+    covered = lambda places: F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + (WINDOW - 1))))))
+    verbatim = (covered("matched") / F.col("item_words") >= least) & F.forall("item_slots", lambda t: inside("matched", t["place"]))
+    exact = F.when(F.col("literal"), verbatim).otherwise(F.forall("pairs", lambda p: p["item"] == p["text"]))
+    keys = ["doc_id", "item_id"]
+    found = rows.select(*keys, "item_words", "places", exact.alias("exact")).groupBy(*keys, "item_words").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.bool_or("exact").alias("exact"))
+    found = found.withColumn("coverage", covered("places") / F.col("item_words")).filter(F.col("coverage") >= least).select(*keys, "coverage", "exact")
+    if literal:
+        found = found.unionByName(_short(texts, every))
+    return found.groupBy(*keys).agg(F.max("coverage").alias("coverage"), F.bool_or("exact").alias("exact")).withColumn("contaminated", F.lit(True))
+
+
+def _short(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Items under five words, each as one window of its own length."""
+    items = items.filter(F.col("literal") & (F.col("item_words") < WINDOW) & F.exists("units", lambda w: w != ""))
+    sizes = sorted(r["item_words"] for r in items.select("item_words").distinct().collect())
+    found = texts.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, exact boolean")
+    for k in sizes:
+        own = items.filter(F.col("item_words") == k).select("item_id", F.get(window_hashes(F.col("units"), k), F.lit(0)).alias("hash")).distinct()
+        placed = texts.select("doc_id", F.explode(F.array_distinct(window_hashes(F.col("low"), k))).alias("hash"))
+        found = found.unionByName(placed.join(F.broadcast(own), "hash").select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.lit(True).alias("exact")))
+    return found
