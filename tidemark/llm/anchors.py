@@ -50,13 +50,13 @@ def blocks(units: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Blo
     if len(units) > PIECE:
         parts = []
         for i in range(len(bounds) - 1):
-            for a in range(int(bounds[i]), max(int(bounds[i]) + 1, int(bounds[i + 1]) - window + 1), PIECE - window):
+            for a in range(int(bounds[i]), max(int(bounds[i]) + 1, int(bounds[i + 1]) - window + 1), PIECE - window + 1):
                 b = min(a + PIECE, int(bounds[i + 1]))
                 got = _blocks(units[a:b], np.array([0, b - a]), window, gram)
                 got.text += i
                 got.start += a - int(bounds[i])
                 parts.append(got)
-        # pieces overlap by window - 1 units and one more: each window start belongs to one piece
+        # pieces overlap by window - 1 units: each window start belongs to one piece
         return Blocks(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("text", "start", "n", "anchor", "content"))) if parts else _empty()
     return _blocks(units, bounds, window, gram)
 

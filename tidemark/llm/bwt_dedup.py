@@ -137,8 +137,10 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, win
     whole = np.flatnonzero(offset + window <= lengths[text])
     group, text, offset = group[whole], text[whole], offset[whole]
     by = np.lexsort((start[text] + offset, doc[text], group))
-    later = np.zeros(len(by), bool)
-    later[1:] = group[by[1:]] == group[by[:-1]]
+    head = np.flatnonzero(np.append(True, group[by[1:]] != group[by[:-1]])) if len(by) else np.zeros(0, np.int64)
+    first = by[np.repeat(head, np.diff(np.append(head, len(by))))]
+    # a place is later only than a different one
+    later = (doc[text[by]] != doc[text[first]]) | (start[text[by]] + offset[by] != start[text[first]] + offset[first])
     return np.stack([offset[by[later]], text[by[later]]])
 
 
