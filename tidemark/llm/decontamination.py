@@ -69,6 +69,16 @@ def window_hashes(template: F.Column, size: int = WINDOW) -> F.Column:
     return F.when(F.size(template) >= size, whole)
 
 
+def with_window_hashes(rows: DataFrame, units: str, name: str) -> DataFrame:
+    """The column window_hashes(units), step by step: each step is a column, so that none is computed twice."""
+    n = F.size(units)
+    part = lambda c, start, less: F.slice(c, start, F.greatest(n - less, F.lit(0)))
+    rows = rows.withColumn("one", F.transform(units, lambda w: F.xxhash64(w)))
+    for to, a, b, at, less in (("two", "one", "one", 2, 1), ("four", "two", "two", 3, 3), (name, "four", "one", 5, 4)):
+        rows = rows.withColumn(to, F.zip_with(part(a, 1, less), part(b, at, less), lambda x, y: F.xxhash64(x, y)))
+    return rows.withColumn(name, F.when(n >= WINDOW, F.col(name))).drop("one", "two", "four")
+
+
 def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each item text and kind, template or literal: item_id, key, literal, item_words, item_slots,
     item_hashes and anchors (whether a window may be looked up; the others are compared where one was found).
@@ -96,7 +106,10 @@ def anchor_windows(items: DataFrame) -> DataFrame:
 
 def _alignments(texts: DataFrame, items: DataFrame, literal: bool) -> DataFrame:
     """texts (doc_id, slots, template, low) -> a row or more for each alignment: doc_id, slots, hashes, shift and the item's columns."""
-    texts = texts.select("doc_id", "slots", window_hashes(F.col("template")).alias("hashes"), *([window_hashes(F.col("low")).alias("literals")] if literal else []))
+    texts = with_window_hashes(texts, "template", "hashes")
+    if literal:
+        texts = with_window_hashes(texts, "low", "literals")
+    texts = texts.select("doc_id", "slots", "hashes", *(["literals"] if literal else []))
     # a window without slots is the same in both kinds and is looked up once
     asked = F.concat("hashes", F.zip_with("literals", "hashes", lambda a, b: F.when(a != b, a))) if literal else F.col("hashes")
     # a column of its own: higher-order functions inside the generator would keep it, and the join, out of generated
