@@ -37,8 +37,10 @@ def test_metric_join_equals_brute_force(docs, rows, size, percent):
     assert got == brute_components(rows, size, percent)
 
 
-def test_metric_join_of_dense_families(spark):
+@pytest.mark.parametrize(("direct", "common"), [(metric_join.DIRECT, metric_join.COMMON), (0, metric_join.COMMON), (40, 3), (0, 1)])
+def test_metric_join_of_dense_families(spark, direct, common, monkeypatch):
     """Variants of one text, some linked and some not, in the same regions: several rounds are needed."""
+    monkeypatch.setattr(metric_join, "COMMON", common)
     r = random.Random(3)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -47,7 +49,15 @@ def test_metric_join_of_dense_families(spark):
         for k in r.sample(range(60), i % 7):
             words[k] = f"x{r.randint(0, 9)}"
         rows.append((i, " ".join(words)))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in metric_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in metric_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, direct=direct).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_metric_join_in_many_runs(docs, rows, monkeypatch):
+    """Runs and parts of any size give the same links."""
+    monkeypatch.setattr(metric_join, "RUN", 200)
+    monkeypatch.setattr(metric_join, "PART", 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in metric_join.join(docs).collect()}
     assert got == brute_components(rows, 4, 85)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import drop, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        drop(before)
         # a forest of stars stays as it is; count and sums of both ends tell a change
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == seen:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .text import SPACE, RangeHash, Texts, grams, steps, word_hashes, words
+from .text import SPACE, Texts, grams, range_hashes, steps, word_hashes, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -64,7 +64,7 @@ def text_statistics(texts: Texts) -> dict[str, np.ndarray]:
     used = (of_word < len(found.start)) & (found.start[np.minimum(of_word, max(len(found.start) - 1, 0))] < ends) if len(found.start) else np.zeros(len(starts), bool)
     starts, ends = starts[used], ends[used]
     text = np.searchsorted(bounds, starts, "right") - 1
-    lines = RangeHash(data).of(starts, ends)
+    lines = range_hashes(data, starts, ends)
     order = _sorted_by_text(text, lines)
     again = (text[order][1:] == text[order][:-1]) & (lines[order][1:] == lines[order][:-1])
     out["n_lines"] = np.bincount(text, minlength=len(texts)).astype(np.int64)

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; on a session without one (local tests) a folder of our own."""
+    """The folder in spark.checkpoint.dir; on a local session without one (tests) a folder of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
@@ -43,8 +45,9 @@ def arrow_batches(spark: SparkSession, records: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files behind a materialized table that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame | None) -> None:
+    """Remove the files behind materialized tables that nothing reads any more."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

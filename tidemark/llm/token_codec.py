@@ -254,7 +254,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
     spark.createDataFrame([(order,)], "ids array<long>").write.parquet(files.ranks)
     with arrow_batches(spark, AT_ONCE):
         raw.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(files.blocks)
-    drop(spark, raw)
+    drop(raw)
     return files
 
 
