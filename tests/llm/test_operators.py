@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, mixing, ppm, quality, secrets, text, token_codec, toxicity
+from tidemark.llm import decontamination, metric_join, mixing, ppm, quality, secrets, text, token_codec, toxicity
 
 LOW = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -197,25 +197,78 @@ def test_exceptions_cancel_matches():
 # --- language model --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("frequent", [20, ppm.FREQUENT])
-def test_unigram_figures_equal_brute_force(docs, rows, frequent):
-    got = {r.doc_id: r for r in ppm.score(docs, frequent=frequent).collect()}
-    words = {i: (t or "").encode().translate(LOW).split() + [None] for i, t, *_ in rows}
-    counts = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+class BrutePPM:
+    """Prediction by partial matching by dictionaries: escape method D, exclusion, no pruning."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for t in texts:
+            for context, symbol in self.places(t):
+                for j in range(order + 1):
+                    self.seen.setdefault(context[order - j :], Counter())[symbol] += 1
+
+    def places(self, text):
+        whole = b"\xff" * self.order + text + b"\xff"
+        return [(whole[i - self.order : i], whole[i]) for i in range(self.order, len(whole))]
+
+    def probability(self, context, symbol):
+        p, excluded = 1.0, set()
+        for j in range(self.order, -1, -1):
+            own = self.seen.get(context[self.order - j :], {})
+            left = {s: n for s, n in own.items() if s not in excluded}
+            if left:
+                if symbol in left:
+                    return p * (left[symbol] - 0.5) / sum(left.values())
+                p *= 0.5 * len(left) / sum(left.values())
+            excluded |= set(own)
+        return p / (256 - len(excluded))
+
+
+@pytest.mark.parametrize(("order", "core"), [(5, ppm.CORE), (3, 40), (2, 0), (0, 5)])
+def test_scores_equal_brute_force(docs, rows, order, core):
+    few = [r for r in rows if r[0] < 15 or r[0] > 16]
+    texts = {i: (t or "").encode().translate(LOW) for i, t, *_ in few}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    brute = BrutePPM([t for i, t in texts.items() if not held[i]], order)
+    got = {r.doc_id: r for r in ppm.score(docs.filter("doc_id < 15 or doc_id > 16"), order=order, core=core).collect()}
+    counts = Counter(w for i, t in texts.items() if not held[i] for w in [*t.split(), None])
     total, size = sum(counts.values()), len(counts)
-    for i, ws in words.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(ws), sum(counts[w] > 0 for w in ws), total)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + size + 1)) for w in ws)) and r.score < 0
-
-
-@pytest.mark.parametrize("nodes", [1 << 22, 500])
-def test_symbol_probabilities_sum_to_one(docs, nodes):
-    grams = ppm.materialize(ppm.counted(docs, 3).filter("kind = 0").select("value", "times"), "grams")
-    model = ppm.train(grams, 3, nodes).prepared()
-    for context in (b"\xff\xff\xff", b"an ", b"zzz", b"lo\xff"):
-        codes = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)], np.uint64)
-        assert (10.0 ** model.cost(codes)).sum() == pytest.approx(1)
+    for i, t in texts.items():
+        r, ws = got[i], [*t.split(), None]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), total)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + size + 1)) for w in ws))
+        assert r.score == pytest.approx(sum(math.log10(brute.probability(c, s)) for c, s in brute.places(t)))
+
+
+def test_frequent_words_beyond_the_core(spark):
+    """Words over 4,096 times of which the core holds none or some."""
+    rows = [(i, " ".join(["one two three four"] * 500)) for i in range(40)] + [(100, "")]
+    train = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    for core in (0, 2):
+        got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), order=3, core=core).collect()}
+        assert all(got[i].n_known == 2001 for i in range(40)) and got[0].train_tokens == train + 2000 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(40))
+
+
+def test_symbol_probabilities_sum_to_one():
+    r = np.random.default_rng(2)
+    texts = [bytes(r.choice(list(b"abcd "), 60).tolist()) for _ in range(5)]
+    brute = BrutePPM(texts, 3)
+    for context in (b"\xff\xff\xff", b"ab ", b"zzz", b"za\xff"):
+        assert sum(brute.probability(context, c) for c in range(256)) == pytest.approx(1)
+
+
+def test_words_with_equal_polynomials_are_different(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(0, f"{one}\n{two}", "en", "s"), (1, one, "en", "s"), (2, two, "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.n_dup_lines for r in quality.judge(docs).collect()} == {0: 0, 1: 0, 2: 0}
+    assert {r.doc_id: r.component_id for r in metric_join.join(docs).collect()} == {0: 0, 1: 1, 2: 2}
+    own = token_codec.ChunkEncoder(TOKENIZER)
+    ids, n = own.encode(next(text.steps(pa.array([f"{one} {two}", two]))))
+    assert ids.tolist() == own.tokenizer.encode(f"{one} {two}", add_special_tokens=False).ids + own.tokenizer.encode(two, add_special_tokens=False).ids
+    got = {r.doc_id: r for r in ppm.score(docs).collect()}  # 1 is held out: 3 kinds of tokens, 5 in all
+    assert got[1].held_out and got[1].base_score == pytest.approx(math.log10(2 / 9) + math.log10(3 / 9)) and got[0].n_known == 3
 
 
 # --- all -------------------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .anchors import Blocks, blocks, judged_blocks, repeated_blocks
 from .relative_parse import OCCURRENCES, _documents, merge_ranges
 from .store import materialize
-from .text import signed, steps
+from .text import signed, steps, trimmed
 
 GRAM = 28
 #: Distinct blocks of one anchor that are gathered; beyond it windows are compared as rows.
@@ -56,7 +56,7 @@ def byte_occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 one = _once(got)
                 yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor[one]), "content": signed(got.content[one]), "doc_id": ids[part.first + got.text[one]].astype(np.int64), "start": got.start[one].astype(np.int32), "n": got.n[one].astype(np.int32)})
 
-    return docs.mapInArrow(run, OCCURRENCES)
+    return docs.mapInArrow(trimmed(run), OCCURRENCES)
 
 
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def _block_texts(docs: DataFrame, listed: DataFrame, window: int) -> DataFrame:
                 start, n, anchor, hot = (flat.field(k).to_pylist() for k in range(4))
                 yield pa.RecordBatch.from_pydict({"anchor": anchor, "doc_id": [doc_id] * len(n), "start": pa.array(start, pa.int32()), "hot": hot, "part": [text[a : a + k + window - 1] for a, k in zip(start, n, strict=True)]})
 
-    return docs.join(at, "doc_id").mapInArrow(run, "anchor long, doc_id long, start int, hot boolean, part binary")
+    return docs.join(at, "doc_id").mapInArrow(trimmed(run), "anchor long, doc_id long, start int, hot boolean, part binary")
 
 
 def _expanded(parts: DataFrame, window: int, tasks: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _expanded(parts: DataFrame, window: int, tasks: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return parts.select("anchor", "doc_id", "start", "part").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, start int, n int")
+    return parts.select("anchor", "doc_id", "start", "part").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(run), "doc_id long, start int, n int")
 
 
 def _compared(parts: DataFrame, window: int) -> DataFrame:
@@ -248,4 +248,4 @@ def remove(docs: DataFrame, window: int = 100, gram: int = GRAM, id_col: str = "
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(part)), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
 
-    return docs.join(ranges, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
+    return docs.join(ranges, "doc_id", "left").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")

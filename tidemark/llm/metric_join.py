@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .relative_parse import _documents
 from .store import arrow_batches, drop, materialize
-from .text import Texts, _mixed, grams, mix, signed, steps, word_hashes, words
+from .text import Texts, _mixed, grams, mix, signed, steps, trimmed, word_hashes, words
 
 #: Bits of a shingle's number in a run, below its number of 48 bits: documents of a run at most 2**PLACE_BITS.
 PLACE_BITS = 16
@@ -97,7 +97,7 @@ def sized(docs: DataFrame, size: int) -> DataFrame:
                 first = np.searchsorted(text, np.arange(len(part) + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), pa.array(np.diff(first), pa.int64()), pa.array(signed(_set_ids(hashes, first)))], ["doc_id", "n", "set_id"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, set_id long")
 
 
 class _Run:
@@ -173,7 +173,7 @@ def sent(docs: DataFrame, size: int, parts: int) -> DataFrame:
         if now.held:
             yield from flushed(now, name)
 
-    return docs.mapInArrow(run, SENT)
+    return docs.mapInArrow(trimmed(run), SENT)
 
 
 def _values(column: pa.ChunkedArray, dtype: str) -> list[np.ndarray]:
@@ -262,7 +262,7 @@ def distances(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     joined = pairs.join(texts.select(F.col("set_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("set_id").alias("q"), F.col("text").alias("q_text")), "q")
     with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):
-        return materialize(joined.select("x", "q", "x_text", "q_text").mapInArrow(run, "x long, q long, shared long, joint long"), "distances")
+        return materialize(joined.select("x", "q", "x_text", "q_text").mapInArrow(trimmed(run), "x long, q long, shared long, joint long"), "distances")
 
 
 def _fit(a: str, b: str, percent: int) -> F.Column:

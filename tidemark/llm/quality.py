@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .text import SPACE, Texts, grams, range_hashes, steps, word_hashes, words
+from .text import SPACE, Texts, grams, range_hashes, steps, trimmed, word_hashes, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -98,7 +98,7 @@ def statistics(docs: DataFrame, carried: str) -> DataFrame:
                 got = text_statistics(part)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, len(part)) for c in names), *(pa.array(got[k], pa.int64()) for k in STATISTICS)], [*names, *STATISTICS])
 
-    return docs.select(*names, "text").mapInArrow(run, carried + "," + ",".join(f"{k} long" for k in STATISTICS))
+    return docs.select(*names, "text").mapInArrow(trimmed(run), carried + "," + ",".join(f"{k} long" for k in STATISTICS))
 
 
 def features(rows: DataFrame) -> DataFrame:

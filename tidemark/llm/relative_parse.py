@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .anchors import blocks, judged_blocks, repeated_blocks
 from .store import materialize
-from .text import RangeHash, signed, steps, word_hashes, words
+from .text import RangeHash, signed, steps, trimmed, word_hashes, words
 
 GRAM = 12
 OCCURRENCES = "anchor long, content long, doc_id long, start int, n int"
@@ -56,7 +56,7 @@ def word_occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 got = blocks(word_hashes(part, found), found.first, window, gram)
                 yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor), "content": signed(got.content), "doc_id": ids[part.first + got.text].astype(np.int64), "start": got.start.astype(np.int32), "n": got.n.astype(np.int32)})
 
-    return docs.mapInArrow(run, OCCURRENCES)
+    return docs.mapInArrow(trimmed(run), OCCURRENCES)
 
 
 def _boundary_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -77,7 +77,7 @@ def _boundary_windows(texts: DataFrame, window: int) -> DataFrame:
                 base = found.first[text[which]] + first
                 yield pa.RecordBatch.from_pydict({"anchor": anchor[which].astype(np.int64), "content": signed(ranges.of(base, base + window)), "doc_id": ids[part.first + text[which]].astype(np.int64), "start": first.astype(np.int32), "n": np.ones(len(which), np.int32)})
 
-    return texts.mapInArrow(run, OCCURRENCES)
+    return texts.mapInArrow(trimmed(run), OCCURRENCES)
 
 
 def covered_ranges(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
@@ -128,4 +128,4 @@ def parse(docs: DataFrame, window: int = 50, gram: int = GRAM, id_col: str = "do
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["factors"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out["kept"], pa.string()), pa.array(out["kept_sha256"], pa.string())], ["doc_id", *out])
 
-    return docs.join(ranges, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, factors array<struct<start:int,end:int>>, kept string, kept_sha256 string")
+    return docs.join(ranges, "doc_id", "left").mapInArrow(trimmed(run), "doc_id long, n_words long, n_removed long, factors array<struct<start:int,end:int>>, kept string, kept_sha256 string")

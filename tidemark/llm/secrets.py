@@ -22,21 +22,36 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # the run after AKIA is greedy, so a bound in the
 HEX = r"[0-9a-f]{32,}"  # likewise: maximal runs
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]+"
 KINDS = ("assign", "access", "hex", "owned")
+#: Matches of a block of positions.
+BLOCK = 128
+
+
+def _bound(value: F.Column, use) -> F.Column:
+    """use(value) with the value computed once: Catalyst would put it into every place of use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def located(text: F.Column, pattern: str) -> F.Column:
-    """Array of (start, end, match) of all leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("match")))
+    """Array of (start, end, match) of all leftmost non-overlapping matches, in code points.
+
+    Lengths of matches and of the pieces between them are added up block by block, so that the arrays that
+    grow stay short and the cost follows the number of matches.
+    """
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    paired = lambda m: F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda x, g: F.struct(F.length(g).alias("gap"), x.alias("match")))
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))
+    before = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("out"))
+    ends = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["match"]))
+    starts = lambda bs: F.aggregate(bs, before, lambda acc, b: F.struct((acc["end"] + ends(b)).alias("end"), F.concat(acc["out"], F.array(acc["end"])).alias("out")), lambda acc: acc["out"])
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def step(acc: F.Column, x: F.Column) -> F.Column:
         begin = acc["end"] + x["gap"]
         stop = begin + F.length(x["match"])
         return F.struct(stop.alias("end"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), stop.alias("end"), x["match"].alias("match")))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    placed = lambda bs: F.flatten(F.zip_with(bs, starts(bs), lambda b, at: F.aggregate(b, F.struct(at.alias("end"), none.alias("out")), step, lambda acc: acc["out"])))
+    return _bound(_bound(found, paired), lambda p: F.when(F.size(p) > 0, _bound(blocks(p), placed)).otherwise(none))
 
 
 def candidates(docs: DataFrame, least_value: int = 8) -> DataFrame:
@@ -83,7 +98,9 @@ def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 4, id_c
     owned = materialize(owned.withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)), "owned")
     judged = values.select("row", "hash", "span.start", "span.kind", "span.end").join(owned.select("hash", "live"), "hash")
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("judged"))
-    out = rows.select("doc_id", "row").join(spans, "row", "left")
+    # rows without candidates, most of a corpus, pass by the join
+    out = rows.filter("row is not null").select("doc_id", "row").join(spans, "row", "left").select("doc_id", "judged")
+    out = out.unionByName(rows.filter("row is null").select("doc_id", F.lit(None).cast("array<struct<start:int,kind:int,end:int,live:boolean>>").alias("judged")))
     listed = F.coalesce("judged", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>"))
     out = out.withColumn("judged", listed).withColumn("base", F.filter("judged", lambda s: s["kind"] < 3))
     name = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))

@@ -9,8 +9,10 @@ one modulo the prime 2**31 - 1, so that strings that collide in the first differ
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -247,6 +249,18 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def trimmed(function: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A partition function after which the worker, which Spark keeps, gives unused memory back."""
+
+    def run(*args: object) -> Iterator:
+        yield from function(*args)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # elsewhere than on Linux there is no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Lookup:
     """Places of 64-bit keys: keys by multiplicative slot, probed one after the other within a slot."""
 

@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 
 from .relative_parse import _documents
 from .store import arrow_batches, drop, materialize, new_path
-from .text import Lookup, RangeHash, Texts, steps
+from .text import Lookup, Texts, range_hashes, steps, trimmed
 
 #: Bytes of the four codes that a control byte announces.
 LENGTHS = np.array([[((c >> s) & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 #: Documents and ids that a block holds at most; a longer document is a block of its own.
 BLOCK_DOCS, BLOCK_IDS = 512, 1 << 19
 #: Chunks that a worker remembers; it forgets all of them beyond.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
+#: Second hash of a chunk, compared whenever the first is found.
+MARK = 0x2545F491
 #: Documents that a task holds at once.
 AT_ONCE = 2048
 #: Bytes that, after a space, certainly begin a visible character: no control, no white space, and none
@@ -88,7 +90,7 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.keys = np.zeros(0, np.uint64)
+        self.keys = self.marks = np.zeros(0, np.uint64)
         self.old, self.new = Lookup(self.keys), Lookup(self.keys)
         self.settled = 0
 
@@ -99,15 +101,16 @@ class ChunkEncoder:
         places[left] = np.where(more >= 0, more + self.settled, -1)
         return places
 
-    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, marks: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
         """New chunks, heads of texts last (they begin without a space, so each is encoded alone)."""
         order = np.argsort(head, kind="stable")
-        keys, start, end, head = keys[order], start[order], end[order], head[order]
+        keys, marks, start, end, head = keys[order], marks[order], start[order], end[order], head[order]
+        self.marks = np.concatenate([self.marks, marks])
         n = int((~head).sum())
         runs = [_gathered(data, start[i : min(n, i + 256)], end[i : min(n, i + 256)]) for i in range(0, n, 256)]
         runs += [_gathered(data, start[i : i + 1], end[i : i + 1]) for i in range(n, len(keys))]
-        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in found])
+        # some at a time: what the tokenizer returns takes a hundred times the text
+        ids = np.concatenate([np.asarray(e.ids, np.uint32) for i in range(0, len(runs), 32) for e in self.tokenizer.encode_batch_fast(runs[i : i + 32], add_special_tokens=False)])
         cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(end - start)) + 1
         self.first = np.concatenate([self.first, self.first[-1] + cuts])
         self.ids, self.keys = np.concatenate([self.ids, ids]), np.concatenate([self.keys, keys])
@@ -116,6 +119,16 @@ class ChunkEncoder:
         else:
             self.new = Lookup(self.keys[self.settled :])
 
+    def _places(self, keys: np.ndarray, marks: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Where each chunk is remembered; those that aren't are encoded."""
+        places = self._find(keys)
+        if (missing := np.flatnonzero(places < 0)).size:
+            new, one = np.unique(keys[missing], return_index=True)
+            one = missing[one]
+            self._learn(new, marks[one], data, start[one], end[one], head[one])
+            places[missing] = self._find(keys[missing])
+        return places
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids by text)."""
         if len(self.keys) > REMEMBERED:
@@ -133,13 +146,11 @@ class ChunkEncoder:
         head[heads] = True
         head = head[start]
         # a head without a space differs from nothing else: its bytes differ from those of inner chunks
-        keys = RangeHash(data).of(start, end)
-        places = self._find(keys)
-        if (missing := np.flatnonzero(places < 0)).size:
-            new, one = np.unique(keys[missing], return_index=True)
-            one = missing[one]
-            self._learn(new, data, start[one], end[one], head[one])
-            places[missing] = self._find(keys[missing])
+        keys, marks = range_hashes(data, start, end), range_hashes(data, start, end, MARK)
+        places = self._places(keys, marks, data, start, end, head)
+        if (self.marks[places] != marks).any():  # chunks with one key: both hashes tell them apart
+            self._forget()
+            places = self._places(keys ^ (marks * np.uint64(0xD6E8FEB86659FD93)), marks, data, start, end, head)
         counts = self.first[places + 1] - self.first[places]
         ends = np.cumsum(counts)
         source = np.arange(int(counts.sum())) + np.repeat(self.first[places] - (ends - counts), counts)
@@ -183,7 +194,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 before += int(ends[-1])
 
     ordered = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(run, RAW)
+    return ordered.mapInArrow(trimmed(run), RAW)
 
 
 def _binary(column: pa.Array, dtype: str) -> np.ndarray:
@@ -207,7 +218,7 @@ def ranked(raw: DataFrame) -> list[int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used.astype(np.int64), "times": total[used].astype(np.int64)})
 
-    rows = raw.select("ids").mapInArrow(run, "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).collect()
+    rows = raw.select("ids").mapInArrow(trimmed(run), "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).collect()
     return [r["id"] for r in sorted(rows, key=lambda r: (-r["times"], r["id"]))]
 
 
@@ -253,7 +264,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
     files = TokenFiles(f"{path}/blocks", f"{path}/ranks")
     spark.createDataFrame([(order,)], "ids array<long>").write.parquet(files.ranks)
     with arrow_batches(spark, AT_ONCE):
-        raw.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(files.blocks)
+        raw.mapInArrow(trimmed(run), BLOCK).write.option("compression", "zstd").parquet(files.blocks)
     drop(raw)
     return files
 
@@ -277,7 +288,7 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 start = row["offset"].as_py() + row["shift"].as_py() + ends - n
                 yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array([ids[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(F.broadcast(shift), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(F.broadcast(shift), "shard").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(tokens: DataFrame) -> DataFrame:
@@ -288,4 +299,4 @@ def digest(tokens: DataFrame) -> DataFrame:
             sums = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "start", "n_tokens")), sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
