@@ -108,3 +108,16 @@ def _placed(rows: DataFrame, plan: DataFrame, before: DataFrame, keep: tuple[str
     position = F.when(F.col("copy") > 0, wanted_at(F.least(F.lit(1.0), share), F.col("slope")))
     out = rows.select("doc_id", "source", "copy", "size", "source_size", "target", words.cast("long").alias("words"), position.alias("position"), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def totals(copies: DataFrame, row: str) -> DataFrame:
+    """Copies of mix() -> a row for each document: taken (words of all its copies) and its first position.
+
+    `row` tells documents apart; equal rows (each has its copy of smallest number once) stay as many as they are.
+    """
+    keys = [row, "doc_id", "source", "size", "source_size", "target"]
+    least = F.min("copy").over(Window.partitionBy(*keys))
+    sums = copies.withColumn("least", least).groupBy(*keys).agg(F.sum("words").alias("words"), F.min("position").alias("position"), F.count_if(F.col("copy") == F.col("least")).alias("times"))
+    each = sums.withColumns({"taken": F.floor(F.col("words") / F.col("times")), "over": F.col("words") % F.col("times")})
+    each = each.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.withColumn("taken", F.col("taken") + (F.col("one") <= F.col("over")).cast("long")).drop("words", "times", "over", "one")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import broadcast_within, materialize
 from .text import SPACE, Texts, grams, range_hashes, steps, trimmed, word_hashes, words
 
 SYMBOL = np.zeros(256, bool)
@@ -35,6 +35,8 @@ LEAST_ROWS = 50
 MEDIAN_CHI2_5 = 4.351
 #: Rejection bound for the squared distance: chi-squared of four degrees (one is given) at 1 - 1e-9.
 CUT = 48.0
+#: Groups whose models (some 300 bytes each) are broadcast at most; more are joined by shuffling.
+BROADCAST_GROUPS = 100_000
 
 
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -157,17 +159,18 @@ def fitted(rows: DataFrame, fraction: float, rounds: int) -> DataFrame:
     keys = ["lang_key", "source_key"]
     schema = "lang_key string, source_key string"
     p = len(FEATURES)
-    middles = rows.groupBy(*keys).agg(*(F.percentile_approx(f, 0.5, 10000).alias(f"m_{f}") for f in FEATURES))
+    small = lambda table, name: broadcast_within(materialize(table, name), BROADCAST_GROUPS)
+    middles = small(rows.groupBy(*keys).agg(*(F.percentile_approx(f, 0.5, 10000).alias(f"m_{f}") for f in FEATURES)), "middles")
     spreads = rows.join(middles, keys).groupBy(*keys).agg(*(F.first(f"m_{f}").alias(f"m_{f}") for f in FEATURES), *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 10000).alias(f"s_{f}") for f in FEATURES))
     precision = [(1 / (F.pow(1.4826 * F.col(f"s_{f}"), F.lit(2)) + t * t) if i == j else F.lit(0.0)) for i, (f, t) in enumerate(zip(FEATURES, TOLERANCE, strict=True)) for j in range(p)]
-    model = materialize(spreads.select(*keys, F.array(*(f"m_{f}" for f in FEATURES)).alias("center"), F.array(*precision, precision[0]).alias("precision")), "model")
+    model = small(spreads.select(*keys, F.array(*(f"m_{f}" for f in FEATURES)).alias("center"), F.array(*precision, precision[0]).alias("precision")), "model")
     for _ in range(rounds):
         measured = rows.join(model, keys).withColumn("d2", _distance())
         bound = measured.groupBy(*keys).agg(F.percentile_approx("d2", fraction, 10000).alias("bound"))
-        near = measured.join(materialize(bound, "bound"), keys).filter("d2 <= bound")
+        near = measured.join(small(bound, "bound"), keys).filter("d2 <= bound")
         sums = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f"a_{f}") for f in FEATURES), *(F.sum(F.col(f) * F.col(g)).alias(f"b_{f}_{g}") for f in FEATURES for g in FEATURES))
         sums = sums.select(*keys, "n", F.array(*(f"a_{f}" for f in FEATURES)).alias("first"), F.array(*(f"b_{f}_{g}" for f in FEATURES for g in FEATURES)).alias("second"))
-        model = materialize(_inverted(sums, schema), "model")
+        model = small(_inverted(sums, schema), "model")
     scale = rows.join(model, keys).groupBy(*keys).agg(F.greatest(F.lit(1.0), F.percentile_approx(_distance(), 0.5, 10000) / MEDIAN_CHI2_5).alias("scale"))
     return materialize(model.join(scale, keys), "model")
 
@@ -198,12 +201,12 @@ def judge(docs: DataFrame, fraction: float = 0.75, rounds: int = 4, cut: float =
         F.when(F.greatest("n", "n_lang") >= LEAST_ROWS, F.col("lang_own")).otherwise("").alias("lang_key"),
         F.when(F.col("n") >= LEAST_ROWS, F.col("source_own")).otherwise("").alias("source_key"),
     )
-    enough = materialize(enough, "groups")
+    enough = broadcast_within(materialize(enough, "groups"), BROADCAST_GROUPS)
     keyed = good.join(enough, ["lang_own", "source_own"])
     # A language's shared estimate is made from all its documents, the general one from all documents.
     shared = keyed.filter("source_key <> ''").union(_borrowed(good, enough, keyed.columns))
     models = fitted(materialize(shared.select("lang_key", "source_key", *FEATURES), "vectors"), fraction, rounds)
-    judged = keyed.join(models, ["lang_key", "source_key"]).withColumn("distance", _given_length() / F.col("scale"))
+    judged = keyed.join(broadcast_within(models, BROADCAST_GROUPS), ["lang_key", "source_key"]).withColumn("distance", _given_length() / F.col("scale"))
     out = judged.select("doc_id", *STATISTICS, "base_failed", "distance", (F.col("distance") <= cut).alias("kept"))
     bad = rows.filter("base_failed").select("doc_id", *STATISTICS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return out.unionByName(bad)

@@ -52,9 +52,10 @@ def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(table(spark, sf_dir, "documents"))
-    once = copies.groupBy("doc_id", "source", "size", "source_size", "target")
-    return once.agg(F.sum("words").alias("taken"), F.min("position").alias("position")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    # a row of its own for each document, also for those that share an id
+    docs = table(spark, sf_dir, "documents").withColumn("row", F.struct("doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash")))
+    copies = mixing.mix(docs, keep=("row",))
+    return mixing.totals(copies, "row").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 QUERIES = {

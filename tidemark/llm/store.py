@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,11 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_within(table: DataFrame, rows: int) -> DataFrame:
+    """A written table, broadcast in joins if it has at most so many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, records: int) -> Iterator[None]:
     """Rows that Python functions get at once, for actions within: few where a row holds several long texts."""

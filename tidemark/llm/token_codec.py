@@ -1,8 +1,9 @@
 """Token ids in files: frequency-ranked ids, byte-aligned variable-length codes, separate control bytes.
 
-File format. A token file is a Parquet table of blocks in ascending (shard, block offset) order, which
-is ascending document order; Spark's commit protocol writes it, so lost tasks leave no half file.
-Each block holds whole documents:
+File format. A token file is a Parquet table of blocks with a folder for each shard; shards are ascending
+ranges of documents, and the files of a shard hold its blocks by ascending offset (if a shard has several
+files, each has a part of its blocks, told by the offsets). Spark's commit protocol writes it, so lost tasks
+leave no half file. Each block holds whole documents:
 
 - `doc_ids`, `counts`: the documents and their numbers of ids,
 - `control`: two bits an id, four ids a byte, low bits first: bytes of the code less one,
@@ -264,7 +265,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None =
     files = TokenFiles(f"{path}/blocks", f"{path}/ranks")
     spark.createDataFrame([(order,)], "ids array<long>").write.parquet(files.ranks)
     with arrow_batches(spark, AT_ONCE):
-        raw.mapInArrow(trimmed(run), BLOCK).write.option("compression", "zstd").parquet(files.blocks)
+        packed = raw.mapInArrow(trimmed(run), BLOCK).sortWithinPartitions("shard", "offset")
+        packed.write.option("compression", "zstd").partitionBy("shard").parquet(files.blocks)
     drop(raw)
     return files
 
