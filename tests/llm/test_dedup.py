@@ -4,6 +4,7 @@ import hashlib
 import random
 import string
 
+import numpy as np
 import pytest
 
 from tidemark.llm import bwt_dedup, components, metric_join, relative_parse
@@ -91,6 +92,16 @@ def test_relative_parse_equals_brute_force(docs, rows):
         kept = b" ".join(w for w, m in zip(units[i], marks, strict=True) if not m)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(units[i]), sum(marks), hashlib.sha256(kept).hexdigest())
         assert got[i].kept.encode() == kept and sum(f.end - f.start for f in got[i].factors) == sum(marks)
+        for f in got[i].factors:  # factors are what the reference has there
+            assert f.ref_doc < i and units[i][f.start : f.end] == units[f.ref_doc][f.ref_start : f.ref_start + f.end - f.start]
+
+
+def test_factors_are_greedy():
+    """Phrases 0-60 and 30-90 of document 1 at one distance, 40-120 of document 2, 200-250 of document 3."""
+    start, end = np.array([0, 30, 40, 200]), np.array([60, 90, 120, 250])
+    got = relative_parse.factored(start, end - start - 9, np.array([1, 1, 2, 3]), np.array([5, 35, 0, 7]), 10)
+    assert [(f["start"], f["end"], f["ref_doc"], f["ref_start"]) for f in got] == [(0, 90, 1, 5), (90, 120, 2, 50), (200, 250, 3, 7)]
+    assert relative_parse.factored(*[np.zeros(0, np.int64)] * 4, 10) == []
 
 
 @pytest.mark.parametrize("hot", [bwt_dedup.HOT, 1])

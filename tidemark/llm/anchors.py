@@ -103,12 +103,14 @@ def repeated_blocks(occurrences: DataFrame) -> DataFrame:
 
 
 def judged_blocks(rows: DataFrame) -> DataFrame:
-    """rows (anchor, content, doc_id, start, n) -> the same with `first` (smallest doc_id with this
-    content) and `contents` (how many the anchor has: with two, windows may repeat across them).
+    """rows (anchor, content, doc_id, start, n) -> the same with `first` and `first_start` (smallest doc_id
+    with this content, and where it has it) and `contents` (how many the anchor has: with two, windows may
+    repeat across them).
 
     The contents are judged and written first; the rows then meet them in a plain join, whose large
     partitions can be split.
     """
-    firsts = rows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
+    firsts = rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("least"))
+    firsts = firsts.select("anchor", "content", F.col("least.doc_id").alias("first"), F.col("least.start").alias("first_start"))
     counts = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"))
     return rows.join(materialize(firsts.join(counts, "anchor"), "contents"), ["anchor", "content"])
