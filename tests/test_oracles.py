@@ -9,7 +9,7 @@ from tidemark import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Cheap ones, one or two of each module; the driver runs all of them on larger tables.
-NAMES = ["bbox_time_scan", "vessel_semi_select", "cleaning_report", "static_first_nonnull", "vessel_type", "spike_fixpoint", "gaps", "interp_at", "corridor_candidates", "continuity", "triage", "robustness", "hdr", "advect", "severity", "next_port", "spill_compare", "manifest_chain", "cfar", "morphology", "upsert_latest"]
+NAMES = ["bbox_time_scan", "vessel_semi_select", "cleaning_report", "static_first_nonnull", "vessel_type", "spike_fixpoint", "gaps", "interp_at", "corridor_candidates", "continuity", "triage", "robustness", "hdr", "advect", "severity", "next_port", "spill_compare", "manifest_root", "manifest_chain", "manifest_verify", "provenance_mix", "cfar", "sized_components", "ring_contrast", "morphology", "upsert_latest"]
 
 
 def plain(value):

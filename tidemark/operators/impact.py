@@ -96,12 +96,11 @@ def manifest_roots(files: DataFrame) -> DataFrame:
     return files.groupBy("bundle").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("root"), F.count(F.lit(1)).alias("n"))
 
 
-def chained(roots: DataFrame, first: str = "") -> DataFrame:
-    """Each bundle's chain value: hash of the one before and the own root, in order. Few bundles: one fold."""
-    whole = roots.groupBy().agg(F.array_sort(F.collect_list(F.struct("bundle", "root"))).alias("all"))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["bundle"].alias("bundle"), F.sha2(F.concat(F.element_at(acc, -1)["chain"], x["root"]), 256).alias("chain"))))
-    start = F.array(F.struct(F.lit(None).cast("long").alias("bundle"), F.lit(first).alias("chain")))
-    return whole.select(F.explode(F.aggregate("all", start, step)).alias("c")).select("c.*").filter("bundle is not null")
+def chained(roots: DataFrame, case: str) -> DataFrame:
+    """roots (case, bundle, root) -> each bundle's chain value: hash of the previous root of its case (empty for
+    the first), a bar and its own root."""
+    before = F.lag("root").over(Window.partitionBy(case).orderBy("bundle"))
+    return roots.select(case, "bundle", F.sha2(F.concat_ws("|", F.coalesce(before, F.lit("")), "root"), 256).alias("chain"))
 
 
 def verified(recorded: DataFrame, present: DataFrame) -> DataFrame:

@@ -19,15 +19,61 @@ def box_sums(pixels: DataFrame, columns: dict[str, str], half: int) -> DataFrame
     return rows.withColumns({k: F.sum(f"{k}_").over(_along("c", half)) for k in columns}).drop(*(f"{k}_" for k in columns))
 
 
-def cfar(pixels: DataFrame, guard: int, background: int, k: float) -> DataFrame:
-    """Pixels brighter than mean + k deviations of the ring between the guard and background squares."""
-    rows = pixels.withColumns({"one": F.lit(1.0), "vv": F.col("v") * F.col("v")})
-    sums = {"n": "one", "s": "v", "q": "vv"}
+def mirrored(pixels: DataFrame, half: int) -> DataFrame:
+    """Scenes continued by `half` pixels of their mirror image at each edge (the edge pixel comes twice).
+
+    Scenes have at least `half` rows and columns; the continued ones begin at -half.
+    """
+    sizes = F.broadcast(pixels.groupBy("scene").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("columns")))  # one row a scene
+    rows = pixels.join(sizes, "scene")
+    for axis, size in (("r", "rows"), ("c", "columns")):
+        x, n = F.col(axis), F.col(size)
+        places = F.array(x, F.when(x < half, -1 - x), F.when(x >= n - half, 2 * n - 1 - x))
+        rows = rows.withColumn(axis, F.explode(F.filter(places, lambda p: p.isNotNull())))
+    return rows
+
+
+def cfar(pixels: DataFrame, guard: int, background: int, k: float, ceiling: float = 254.5, floor: float = 0.0) -> DataFrame:
+    """Pixels brighter than mean + k deviations of the ring between the guard and background squares.
+
+    The threshold is at most `ceiling`; darker pixels than `floor` never count. Scenes are mirrored at
+    their edges, so every ring has all its pixels.
+    """
+    rows = mirrored(pixels, background).withColumn("vv", F.col("v") * F.col("v"))
+    sums = {"s": "v", "q": "vv"}
     rows = box_sums(rows, {f"{a}i": b for a, b in sums.items()}, guard)
     rows = box_sums(rows, {f"{a}o": b for a, b in sums.items()}, background)
-    n, mean = F.col("no") - F.col("ni"), (F.col("so") - F.col("si")) / (F.col("no") - F.col("ni"))
-    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("qo") - F.col("qi")) / n - mean * mean))
-    return rows.withColumns({"mean": mean, "sd": sd}).filter(F.col("v") > F.col("mean") + k * F.col("sd")).select("scene", "r", "c", "v", "mean", "sd")
+    rows = rows.filter("r >= 0 and c >= 0 and r < rows and c < columns")
+    n = (2 * background + 1) ** 2 - (2 * guard + 1) ** 2
+    mean = (F.col("so") - F.col("si")) / n
+    sd = F.sqrt(F.greatest(F.lit(1e-9), (F.col("qo") - F.col("qi")) / n - mean * mean))
+    bright = (F.col("v") > F.least(F.col("mean") + k * F.col("sd"), F.lit(ceiling))) & (F.col("v") >= floor)
+    return rows.withColumns({"mean": mean, "sd": sd}).filter(bright).select("scene", "r", "c", "v", "mean", "sd")
+
+
+def sized_components(labels: DataFrame, least: int, most: int) -> DataFrame:
+    """Pixels of components of `least` to `most` pixels."""
+    n = labels.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n_pixels")).filter(F.col("n_pixels").between(least, most))
+    return labels.join(n, ["scene", "label"])
+
+
+def ring_contrast(labels: DataFrame, pixels: DataFrame, inner: int, outer: int) -> DataFrame:
+    """For each component the mean level around it less its own, and the same in deviations of its surroundings.
+
+    The surroundings are pixels in the square of `outer` pixels around a component's pixel, but not in the
+    square of `inner` pixels around one of any component.
+    """
+    def near(reach: int, columns: list[str]) -> DataFrame:
+        off = F.sequence(F.lit(-reach), F.lit(reach))
+        rows = labels.withColumn("i", F.explode(off)).withColumn("r", F.col("r") + F.col("i"))
+        rows = rows.select("scene", "label", "r", "c").distinct().withColumn("j", F.explode(off)).withColumn("c", F.col("c") + F.col("j"))
+        return rows.select(*columns).distinct()
+
+    ring = near(outer, ["scene", "label", "r", "c"]).join(near(inner, ["scene", "r", "c"]), ["scene", "r", "c"], "left_anti")
+    around = ring.join(pixels, ["scene", "r", "c"]).groupBy("scene", "label").agg(F.avg("v").alias("around"), F.stddev_pop("v").alias("deviation"))
+    own = labels.join(pixels, ["scene", "r", "c"]).groupBy("scene", "label").agg(F.avg("v").alias("inside"))
+    contrast = F.col("around") - F.col("inside")
+    return own.join(around, ["scene", "label"]).select("scene", "label", contrast.alias("contrast"), (contrast / F.greatest("deviation", F.lit(1e-9))).alias("contrast_sigma"))
 
 
 def eroded(mask: DataFrame, half: int) -> DataFrame:
@@ -67,8 +113,8 @@ def labelled(mask: DataFrame, eight: bool = True, rounds: int = 1000) -> DataFra
         spread = written(spread.withColumn("changed", F.col("least") < F.col("label")).drop("label").withColumnRenamed("least", "label"), "labels")
         rows = spread.drop("changed")
         if spread.filter("changed").isEmpty():
-            break
-    return rows.select("scene", "r", "c", "label")
+            return rows.select("scene", "r", "c", "label")
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
 def component_statistics(labels: DataFrame, pixels: DataFrame) -> DataFrame:

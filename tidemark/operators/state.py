@@ -29,7 +29,7 @@ def interrupted(states: DataFrame) -> DataFrame:
 def mixed_provenance(rows: DataFrame, key: str) -> DataFrame:
     """The provenance of each key, or MIXED: with the sorted distinct ones."""
     found = rows.groupBy(key).agg(F.sort_array(F.collect_set("provenance")).alias("all"))
-    joined = F.array_join("all", "+")
+    joined = F.array_join("all", ",")
     return found.select(key, F.when(F.size("all") > 1, F.concat(F.lit("MIXED:"), joined)).otherwise(joined).alias("provenance"))
 
 

@@ -107,6 +107,7 @@ SHARE = "sh AS (SELECT label, ix, iy, n / sum(n) OVER (PARTITION BY label) AS p
 PIX = """pix AS (SELECT CAST(i // 4096 AS INT) AS scene, CAST(i // 64 % 64 AS INT) AS r, CAST(i % 64 AS INT) AS c FROM range(8192) q(i)),
 px AS (SELECT *, CAST((r * 7919 + c * 104729 + scene * 31) % 101 AS DOUBLE) + CASE WHEN r % 23 = 7 AND c % 29 = 11 THEN 200e0 ELSE 0e0 END AS v FROM pix),
 mask AS (SELECT scene, r, c, CASE WHEN (r // 7 + c // 5 + scene) % 3 = 0 THEN 1 WHEN (r * 5 + c * 3) % 41 = 0 THEN 1 ELSE 0 END AS m FROM pix)"""
+LABELS = "g AS (SELECT scene, r, c, CAST(r AS BIGINT) * 4294967296 + c AS label FROM mask WHERE m = 1), t AS (SELECT * FROM g UNION SELECT b.scene, b.r, b.c, t.label FROM t JOIN g b ON b.scene = t.scene AND abs(b.r - t.r) <= 1 AND abs(b.c - t.c) <= 1 AND t.label < b.label), lb AS (SELECT scene, r, c, min(label) AS label FROM t GROUP BY ALL), sz AS (SELECT scene, label, count(*) AS n_pixels FROM lb GROUP BY ALL)"
 DIST = lambda lon1, lat1, lon2, lat2: f"sqrt(pow(({lon2} - {lon1}) * 111.32e0 * cos(radians(({lat1} + {lat2}) / 2)), 2) + pow(({lat2} - {lat1}) * 111.32e0, 2))"
 BRG = lambda lon1, lat1, lon2, lat2: modulo(f"(degrees(atan2(({lon2} - {lon1}) * 111.32e0 * cos(radians(({lat1} + {lat2}) / 2)), ({lat2} - {lat1}) * 111.32e0)) + 360)")
 PORT = "ports(port, lon, lat) AS (VALUES " + ", ".join(f"('{n}', {x}e0, {y}e0)" for n, x, y in PORTS) + ")"
@@ -122,7 +123,7 @@ sv1 AS (SELECT *, 100 * (0.2e0 * size + 0.15e0 * coast + 0.25e0 * beaching + 0.2
 sev AS (SELECT * EXCLUDE (area_m2), CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MODERATE' ELSE 'LOW' END AS level, area_m2 * 5e0 * 1e-6 * 0.9e0 AS tonnes,
   CASE WHEN area_m2 * 0.3e0 * 1e-6 * 0.9e0 < 700 THEN 'Tier 1' WHEN area_m2 * 0.3e0 * 1e-6 * 0.9e0 <= 10000 THEN 'Tier 2' ELSE 'Tier 3' END AS tier_low, CASE WHEN area_m2 * 5e0 * 1e-6 * 0.9e0 < 700 THEN 'Tier 1' WHEN area_m2 * 5e0 * 1e-6 * 0.9e0 <= 10000 THEN 'Tier 2' ELSE 'Tier 3' END AS tier,
   CASE WHEN area_m2 * 50e0 * 1e-6 * 0.9e0 < 700 THEN 'Tier 1' WHEN area_m2 * 50e0 * 1e-6 * 0.9e0 <= 10000 THEN 'Tier 2' ELSE 'Tier 3' END AS tier_high FROM sv1)"""
-MAN = "man AS (SELECT o_orderkey AS k, o_orderkey % 20 AS bundle, 'f/' || o_orderkey AS path, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) AS sha256 FROM orders), roots AS (SELECT bundle, sha256(string_agg(path || ':' || sha256, chr(10) ORDER BY path || ':' || sha256)) AS root, count(*) AS n FROM man GROUP BY bundle)"
+MAN = "man AS (SELECT o_orderkey AS k, o_custkey AS bundle, 'f/' || o_orderkey AS path, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority) AS sha256 FROM orders), roots AS (SELECT bundle, sha256(string_agg(path || ':' || sha256, chr(10) ORDER BY path || ':' || sha256)) AS root, count(*) AS n FROM man GROUP BY bundle)"
 COMP = """cm AS (SELECT p_partkey % 5 AS scene, p_partkey AS component_id, CAST(1 + p_size % 9 AS DOUBLE) AS el, (p_partkey % 10) / 10e0 AS so, 0.2e0 + (p_partkey % 31) / 10e0 AS co, (p_partkey % 13) / 4e0 AS tk, (p_partkey % 7) / 3e0 AS ek, p_size / 4e0 AS lk, p_retailprice / 20e0 AS ar, (p_partkey % 17) / 17e0 AS pr FROM part),
 tg0 AS (SELECT *, tk <= 1 AND el >= 4 AND ek <= greatest(1e0, 0.15e0 * lk) AS ship_trail FROM cm),
 tg1 AS (SELECT *, CASE WHEN ship_trail THEN 2e0 ELSE 0e0 END + CASE WHEN el >= 4 THEN 1e0 ELSE 0e0 END + CASE WHEN co >= 2 THEN 1e0 ELSE 0e0 END AS o, CASE WHEN co < 1 THEN 1e0 ELSE 0e0 END + CASE WHEN so < 0.3 AND el < 3 THEN 1e0 ELSE 0e0 END + CASE WHEN ar > 50 AND el < 3 THEN 1e0 ELSE 0e0 END AS l FROM tg0)"""
@@ -193,11 +194,18 @@ p AS (SELECT a.id AS id_a, b.id AS id_b, (b.t - a.t) / 3600 AS hours, {haversine
   greatest(0e0, least(a.lat + a.half, b.lat + b.half) - greatest(a.lat - a.half, b.lat - b.half)) * greatest(0e0, least(a.lon + a.half, b.lon + b.half) - greatest(a.lon - a.half, b.lon - b.half)) AS i FROM o a JOIN o b ON b.t > a.t AND b.t - a.t <= 259200)
 SELECT id_a, id_b, round(hours, 6) AS hours, round(d, 6) AS d_km, round(dir, 6) AS direction_deg, round(d / hours, 6) AS speed_kmh, round(da, 6) AS area_change_m2, round(i / (4 * ha * ha + 4 * hb * hb - i), 6) AS iou FROM p WHERE i > 0 OR d <= 3 * hours""",
     "manifest_root": f"WITH {MAN} SELECT * FROM roots",
-    "manifest_chain": f"WITH RECURSIVE {MAN}, ch AS (SELECT bundle, sha256('' || root) AS chain FROM roots WHERE bundle = 0 UNION ALL SELECT r.bundle, sha256(ch.chain || r.root) FROM ch JOIN roots r ON r.bundle = ch.bundle + 1) SELECT * FROM ch",
+    "manifest_chain": f"WITH {MAN} SELECT bundle // 8 AS analysis, bundle, sha256(coalesce(lag(root) OVER (PARTITION BY bundle // 8 ORDER BY bundle), '') || '|' || root) AS chain FROM roots",
     "manifest_verify": f"WITH {MAN} SELECT bundle, path, CASE WHEN k % 17 = 0 THEN 'missing' WHEN k % 13 = 0 THEN 'modified' ELSE 'ok' END AS status FROM man UNION ALL SELECT bundle, path || '.new', 'added' FROM man WHERE k % 29 = 0",
     "components": f"WITH RECURSIVE {PIX}, g AS (SELECT scene, r, c, CAST(r AS BIGINT) * 4294967296 + c AS label FROM mask WHERE m = 1), t AS (SELECT * FROM g UNION SELECT b.scene, b.r, b.c, t.label FROM t JOIN g b ON b.scene = t.scene AND abs(b.r - t.r) <= 1 AND abs(b.c - t.c) <= 1 AND t.label < b.label) SELECT scene, r, c, min(label) AS label FROM (SELECT * FROM t) GROUP BY scene, r, c",
-    "cfar": f"""WITH {PIX}, s AS (SELECT a.scene, a.r, a.c, a.v, count(*) AS n, sum(b.v) AS s, sum(b.v * b.v) AS q FROM px a JOIN px b ON a.scene = b.scene AND abs(a.r - b.r) <= 12 AND abs(a.c - b.c) <= 12 AND NOT (abs(a.r - b.r) <= 4 AND abs(a.c - b.c) <= 4) GROUP BY ALL),
-m AS (SELECT scene, r, c, v, s / n AS mean, sqrt(greatest(0e0, q / n - (s / n) * (s / n))) AS sd FROM s) SELECT scene, r, c, v, round(mean, 6) AS mean, round(sd, 6) AS sd FROM m WHERE v > mean + 4 * sd""",
+    "cfar": f"""WITH {PIX}, axis AS (SELECT i, CASE WHEN i < 0 THEN -1 - i WHEN i > 63 THEN 127 - i ELSE i END AS at FROM range(-12, 76) q(i)),
+pad AS (SELECT px.scene, y.i AS r, x.i AS c, px.v FROM px JOIN axis y ON y.at = px.r JOIN axis x ON x.at = px.c),
+s AS (SELECT a.scene, a.r, a.c, a.v, count(*) AS n, sum(b.v) AS s, sum(b.v * b.v) AS q FROM px a JOIN pad b ON a.scene = b.scene AND abs(a.r - b.r) <= 12 AND abs(a.c - b.c) <= 12 AND NOT (abs(a.r - b.r) <= 4 AND abs(a.c - b.c) <= 4) GROUP BY ALL),
+m AS (SELECT scene, r, c, v, s / n AS mean, sqrt(greatest(1e-9, q / n - (s / n) * (s / n))) AS sd FROM s) SELECT scene, r, c, v, round(mean, 6) AS mean, round(sd, 6) AS sd FROM m WHERE v > least(mean + 4 * sd, 254.5e0)""",
+    "sized_components": f"WITH RECURSIVE {PIX}, {LABELS} SELECT lb.*, n_pixels FROM lb JOIN sz USING (scene, label) WHERE n_pixels BETWEEN 3 AND 400",
+    "ring_contrast": f"""WITH RECURSIVE {PIX}, {LABELS}, own AS (SELECT lb.* FROM lb JOIN sz USING (scene, label) WHERE n_pixels BETWEEN 30 AND 400),
+ring AS (SELECT DISTINCT o.scene, o.label, p.r, p.c, p.v FROM own o JOIN px p ON p.scene = o.scene AND abs(p.r - o.r) <= 3 AND abs(p.c - o.c) <= 3 WHERE NOT EXISTS (FROM own k WHERE k.scene = p.scene AND abs(k.r - p.r) <= 1 AND abs(k.c - p.c) <= 1)),
+a AS (SELECT scene, label, avg(v) AS around, stddev_pop(v) AS deviation FROM ring GROUP BY ALL), i AS (SELECT scene, label, avg(v) AS inside FROM own JOIN px USING (scene, r, c) GROUP BY ALL)
+SELECT scene, label, round(around - inside, 6) AS contrast, round((around - inside) / greatest(deviation, 1e-9), 6) AS contrast_sigma FROM i JOIN a USING (scene, label)""",
     "morphology": "WITH " + PIX + "".join(
         f", {n} AS (SELECT a.scene, a.r, a.c, CASE WHEN sum(b.m) {test} THEN 1 ELSE 0 END AS m FROM {src} a JOIN {src} b ON a.scene = b.scene AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.scene, a.r, a.c)"
         for n, src, test in (("m1", "mask", "= 9"), ("m2", "m1", "> 0"), ("m3", "m2", "> 0"), ("m4", "m3", "= 9"))) + " SELECT scene, r, c FROM m4 WHERE m = 1",
@@ -207,7 +215,7 @@ m AS (SELECT scene, r, c, v, s / n AS mean, sqrt(greatest(0e0, q / n - (s / n) *
     "velocity_parts": f"WITH {SLICK}, a AS (SELECT spill_id, bearing_deg, speed_kmh * sin(radians(bearing_deg)) AS u, speed_kmh * cos(radians(bearing_deg)) AS v FROM slicks) SELECT spill_id, round(u, 6) AS u, round(v, 6) AS v, round(-u, 6) AS wu, round(-v, 6) AS wv, round(sqrt(pow(u + 0.5e0, 2) + pow(v - 0.25e0, 2)), 6) AS speed, round({modulo('(degrees(atan2(u + 0.5e0, v - 0.25e0)) + 360)')}, 6) AS toward, round({TURN('bearing_deg', '350e0')}, 6) AS turn FROM a",
     "latest_state": f"WITH {STATES}, l AS ({LAST('true')}) SELECT user_id, event_id, CASE WHEN status IN ('COMPLETED', 'PARTIAL', 'FAILED') THEN status ELSE 'FAILED' END AS status, value, CASE WHEN status NOT IN ('COMPLETED', 'PARTIAL', 'FAILED') THEN 'INTERRUPTED' END AS error FROM l",
     "upsert_latest": f"WITH {STATES}, a AS ({LAST('event_id % 2 = 0')}), b AS ({LAST('event_id % 7 = 3 AND user_id % 3 = 1')}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE user_id NOT IN (SELECT user_id FROM b)",
-    "provenance_mix": "WITH p AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'LOCAL_FILE' ELSE ['REAL', 'SYNTHETIC', 'LOCAL_FILE'][event_id % 3 + 1] END AS p FROM events) SELECT user_id, CASE WHEN count(*) > 1 THEN 'MIXED:' ELSE '' END || string_agg(p, '+' ORDER BY p) AS provenance FROM p GROUP BY user_id",
+    "provenance_mix": "WITH p AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'LOCAL_FILE' ELSE ['REAL', 'SYNTHETIC', 'LOCAL_FILE'][event_id % 3 + 1] END AS p FROM events) SELECT user_id, CASE WHEN count(*) > 1 THEN 'MIXED:' ELSE '' END || string_agg(p, ',' ORDER BY p) AS provenance FROM p GROUP BY user_id",
     "search_window": f"WITH {RAW}, {GRID}, {INTERP}, b AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM interp) SELECT round(w - 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS w, round(s - 40 / 111.32e0, 6) AS s, round(e + 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS e, round(n + 40 / 111.32e0, 6) AS n, 1705017600e0 - 54 * 3600 AS t0, 1705017600e0 + 6 * 3600 AS t1 FROM b",
     "drift_vector": f"WITH {GRID}, {CLOUD}, c AS (SELECT tq, avg(px) AS x, avg(py) AS y FROM cloud GROUP BY tq), a AS (SELECT (SELECT x FROM c ORDER BY tq LIMIT 1) AS x0, (SELECT y FROM c ORDER BY tq LIMIT 1) AS y0, (SELECT x FROM c ORDER BY tq DESC LIMIT 1) AS x1, (SELECT y FROM c ORDER BY tq DESC LIMIT 1) AS y1) SELECT round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / 48, 6) AS speed_kmh, round({modulo('(degrees(atan2(x1 - x0, y1 - y0)) + 360)')}, 6) AS bearing_deg FROM a",
     "scene_search": """WITH q AS (SELECT 'S' || i AS scene, 1704844800e0 + (i * 37 % 91) * 3600e0 AS t, 66e0 + i % 9 AS w, 14e0 + i % 6 AS s, 69e0 + i % 9 AS e, 16.5e0 + i % 6 AS n FROM range(90) r(i) WHERE i % 5 <> 0 AND i % 4 <> 0),

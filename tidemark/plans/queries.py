@@ -333,7 +333,7 @@ def spill_compare_all(s, d):
 
 def _manifest(s, d):
     k = F.col("o_orderkey")
-    return tables.table(s, d, "orders").select((k % 20).alias("bundle"), F.concat(F.lit("f/"), k.cast("string")).alias("path"), F.sha2(F.concat_ws("|", k.cast("string"), "o_orderstatus", "o_orderpriority"), 256).alias("sha256"))
+    return tables.table(s, d, "orders").select(F.col("o_custkey").alias("bundle"), F.concat(F.lit("f/"), k.cast("string")).alias("path"), F.sha2(F.concat_ws("|", k.cast("string"), "o_orderstatus", "o_orderpriority"), 256).alias("sha256"))
 
 
 def manifest_root(s, d):
@@ -341,7 +341,7 @@ def manifest_root(s, d):
 
 
 def manifest_chain(s, d):
-    return impact.chained(impact.manifest_roots(_manifest(s, d)))
+    return impact.chained(impact.manifest_roots(_manifest(s, d)).withColumn("analysis", F.floor(F.col("bundle") / 8)), "analysis")
 
 
 def manifest_verify(s, d):
@@ -375,6 +375,15 @@ def cfar(s, d):
     return rounded(raster.cfar(_pixels(s), 4, 12, 4.0))
 
 
+def sized_components(s, d):
+    return raster.sized_components(raster.labelled(_mask(s)), 3, 400)
+
+
+def ring_contrast(s, d):
+    found = raster.sized_components(raster.labelled(_mask(s)), 30, 400).select("scene", "r", "c", "label")
+    return rounded(raster.ring_contrast(found, _pixels(s), 1, 3))
+
+
 def morphology(s, d):
     return raster.opened_closed(_mask(s), 1).filter("m = 1").select("scene", "r", "c")
 
@@ -523,7 +532,7 @@ QUERIES = {f.__name__: f for f in (
     interp_at, nearest_frame, cloud_interp, corridor_nn, corridor_fraction, region_distance, corridor_candidates, temporal_feature, behaviour, continuity, evidence_score,
     top_candidates, separation, sar_ais_pairs, sar_only, ais_only, triage, triage_counts, robustness, hist2d, kde, mass_maps, hdr, centre_spread, fill_stranded, advect, field_sample,
     coverage, severity, action_rules, site_threat, next_port, nearest_place, responsible_mrcc, spill_compare, manifest_root, manifest_chain, manifest_verify, components,
-    component_stats, cfar, morphology, block_percentile_mad, decimate, dice_iou, position_format, velocity_parts, latest_state, upsert_latest, provenance_mix, track_simplify,
+    component_stats, sized_components, ring_contrast, cfar, morphology, block_percentile_mad, decimate, dice_iou, position_format, velocity_parts, latest_state, upsert_latest, provenance_mix, track_simplify,
     search_window, drift_vector, scene_search, scene_clip, georeference, release_window, drift_reach, synthetic_forcing, tile_merge, calibration, hash_sample, polygon_points, component_targets,
     severity_all, action_rules_all, spill_compare_all, component_targets_all, cloud_interp_all, upsert_latest_all,
 )}
