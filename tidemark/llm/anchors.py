@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .text import RangeHash, RollingHash
+from .text import RangeHash
 
 LOW = np.uint64((1 << 24) - 1)
 #: Units handled at once; a longer text is cut into overlapping pieces, which only cuts blocks in two.
@@ -70,7 +70,8 @@ def _blocks(units: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Bl
     if n < window:
         return _empty()
     at = np.arange(n - gram + 1)
-    hashes = RollingHash(units).of(at, at + gram)  # anchors only bring windows together
+    ranges = RangeHash(units)
+    hashes = ranges.loose(at, at + gram)  # anchors only bring windows together
     place = _minimum_places(hashes, window - gram + 1)
     lengths = np.diff(bounds)
     valid = np.zeros(n + 1, np.int32)  # +1 where a text's windows begin, -1 behind them
@@ -88,7 +89,7 @@ def _blocks(units: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Bl
     first = starts[head]
     text = np.searchsorted(bounds, first, "right") - 1
     anchor = hashes[mine[head]]
-    content = RangeHash(units).of(first, first + size + (window - 1)) ^ ((mine[head] - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    content = ranges.of(first, first + size + (window - 1)) ^ ((mine[head] - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return Blocks(text, first - bounds[text], size, anchor, content)
 
 

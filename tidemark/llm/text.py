@@ -94,12 +94,12 @@ class RollingHash:
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def loose(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end))
 
 
 class RangeHash(RollingHash):
-    """64-bit hashes of any ranges of a sequence of integers, of two independent polynomials."""
+    """64-bit hashes of any ranges of a sequence of integers, of two independent polynomials (`of`)."""
 
     def __init__(self, values: np.ndarray, base: int = BASE) -> None:
         super().__init__(values, base)
