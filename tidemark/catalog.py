@@ -1,4 +1,6 @@
 """Registered queries and their SQL checks."""
 
-from .plans.oracles import ORACLES as ORACLES
-from .plans.queries import QUERIES as QUERIES
+from .plans import areas, oracles, queries
+
+QUERIES = queries.QUERIES | areas.QUERIES
+ORACLES = oracles.ORACLES | areas.ORACLES

@@ -114,3 +114,14 @@ def triage(components: DataFrame, wind_ms: float | None) -> DataFrame:
     label = F.when(lead >= 1.5, "OIL_LIKELY").when(lead <= -1.5, "LOOKALIKE_LIKELY").otherwise("UNCERTAIN")
     rows = rows.withColumns({"label": label, "triage_score": F.round(lead + F.coalesce("probability", F.lit(0.0)), 3)})
     return rows.withColumn("triage_rank", F.row_number().over(Window.partitionBy("scene").orderBy(F.desc("triage_score"), "component_id")))
+
+
+def dirichlet_weights(spark, weights: dict[str, float], n: int = 2000, concentration: float = 40.0, seed: int = 0) -> DataFrame:
+    """Weight table (sample, factor, weight): n draws around the given weights; its size depends on the parameters alone."""
+    import numpy as np
+
+    names = [k for k, w in weights.items() if w > 0]
+    base = np.array([weights[k] for k in names], float)
+    draws = np.random.default_rng(seed).dirichlet(base / base.sum() * concentration, size=n)
+    rows = [(i, f, float(w)) for i, row in enumerate(draws) for f, w in zip(names, row, strict=True)]
+    return spark.createDataFrame(rows, "sample long, factor string, weight double")
