@@ -115,7 +115,7 @@ SITE = "sites(site, kind, lon, lat, radius_km, weight) AS (VALUES " + ", ".join(
 SLICK = "slicks AS (SELECT i AS spill_id, CAST(8 + (i * 5 % 14) AS DOUBLE) AS lat, CAST(70 + (i * 7 % 22) AS DOUBLE) AS lon, CAST(1 + i % 5 AS DOUBLE) AS radius_km, (i % 6) * 0.5e0 AS speed_kmh, CAST(i * 47 % 360 AS DOUBLE) AS bearing_deg FROM range(40) r(i))"
 BASIN = lambda x, y: f"CASE WHEN {x} >= 91 THEN 'AN' WHEN {y} < 8 AND {x} < 82.5 THEN 'S' WHEN {x} < 77.8 THEN 'W' ELSE 'E' END"
 SPILL = """sp AS (SELECT o_orderkey AS spill_id, o_totalprice * 300.1234567e0 AS area_m2, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 70 AS DOUBLE) END AS coast_km, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 120 AS DOUBLE) END AS eta,
-  o_orderkey % 2 = 0 AS modelled, (o_orderkey % 9) / 10e0 AS exposure, o_orderkey % 4 AS nt, ['Heavy fuel oil', 'Marine diesel', 'UNKNOWN', 'medium crude'][o_orderkey % 4 + 1] AS oil, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 16 AS DOUBLE) END AS wind FROM orders WHERE o_orderkey < 400),
+  o_orderkey % 2 = 0 AS modelled, (o_orderkey % 9) / 10e0 AS exposure, o_orderkey % 4 AS nt, ['Heavy fuel oil', 'Marine diesel', 'UNKNOWN', 'medium crude'][o_orderkey % 4 + 1] AS oil, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 16 AS DOUBLE) END AS wind FROM orders),
 sv0 AS (SELECT spill_id, area_m2, greatest(0e0, least(1e0, log10(greatest(1e-6, area_m2 / 1e6) / 0.05e0) / log10(100 / 0.05e0))) AS size, coalesce(exp(-coast_km / 25), 0e0) AS coast,
   coalesce(CASE WHEN modelled THEN 1e0 ELSE 0.85e0 END * exp(-CASE WHEN eta IS NULL THEN NULL ELSE greatest(0e0, eta - 24) END / 72), 0e0) AS beaching, CASE WHEN nt > 0 THEN least(1e0, exposure + 0.05e0 * (nt - 1)) ELSE 0e0 END AS sensitivity,
   CASE WHEN lower(oil) SIMILAR TO '.*(heavy|crude).*' THEN 1e0 WHEN lower(oil) LIKE '%diesel%' THEN 0.35e0 ELSE 0.7e0 END * CASE WHEN wind > 10 THEN 0.8e0 ELSE 1e0 END AS persistence FROM sp),
@@ -127,7 +127,8 @@ MAN = "man AS (SELECT o_orderkey AS k, o_custkey AS bundle, 'f/' || o_orderkey A
 COMP = """cm AS (SELECT p_partkey % 5 AS scene, p_partkey AS component_id, CAST(1 + p_size % 9 AS DOUBLE) AS el, (p_partkey % 10) / 10e0 AS so, 0.2e0 + (p_partkey % 31) / 10e0 AS co, (p_partkey % 13) / 4e0 AS tk, (p_partkey % 7) / 3e0 AS ek, p_size / 4e0 AS lk, p_retailprice / 20e0 AS ar, (p_partkey % 17) / 17e0 AS pr FROM part),
 tg0 AS (SELECT *, tk <= 1 AND el >= 4 AND ek <= greatest(1e0, 0.15e0 * lk) AS ship_trail FROM cm),
 tg1 AS (SELECT *, CASE WHEN ship_trail THEN 2e0 ELSE 0e0 END + CASE WHEN el >= 4 THEN 1e0 ELSE 0e0 END + CASE WHEN co >= 2 THEN 1e0 ELSE 0e0 END AS o, CASE WHEN co < 1 THEN 1e0 ELSE 0e0 END + CASE WHEN so < 0.3 AND el < 3 THEN 1e0 ELSE 0e0 END + CASE WHEN ar > 50 AND el < 3 THEN 1e0 ELSE 0e0 END AS l FROM tg0)"""
-STATES = "st AS (SELECT user_id, event_id, ['QUEUED', 'RUNNING', 'COMPLETED', 'PARTIAL', 'FAILED'][event_id % 5 + 1] AS status, value FROM events)"
+UPSERT_FROM = "TIMESTAMP '2024-01-16 00:00:00'"
+STATES = "st AS (SELECT user_id, event_id, ['QUEUED', 'RUNNING', 'COMPLETED', 'PARTIAL', 'FAILED'][event_id % 5 + 1] AS status, value, ts FROM events)"
 LAST = lambda where: f"SELECT user_id, max(event_id) AS event_id, arg_max(status, event_id) AS status, arg_max(value, event_id) AS value FROM st WHERE {where} GROUP BY user_id"
 
 ORACLES = {
@@ -144,7 +145,7 @@ ORACLES = {
     "track_quality": f"WITH {RAW}, {kin('fixes')} SELECT mmsi, count(*) AS n, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(median(dt_s), 6) AS median_interval_s FROM kin GROUP BY mmsi",
     "interp_at": f"WITH {RAW}, {GRID}, {INTERP} SELECT mmsi, tq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM interp",
     "nearest_frame": f"WITH {RAW} SELECT mmsi, t AS tq, (SELECT CAST(arg_min(i, (abs(f.t - 1704844800e0 - i * 21600e0), i)) AS INT) FROM range(9) r(i)) AS frame FROM fixes f WHERE t BETWEEN 1704844800 AND 1705017600",
-    "cloud_interp": f"WITH {GRID}, {CLOUD}, q AS (SELECT 1704844800e0 + i * 1000e0 AS tq FROM range(60) r(i)) SELECT q.tq, a.pid, round(a.px + (q.tq - a.tq) / 3600 * (b.px - a.px), 6) AS px, round(a.py + (q.tq - a.tq) / 3600 * (b.py - a.py), 6) AS py FROM q JOIN cloud a ON a.tq <= q.tq AND q.tq < a.tq + 3600 JOIN cloud b ON b.pid = a.pid AND b.tq = a.tq + 3600 WHERE a.pid < 20",
+    "cloud_interp": f"WITH {GRID}, {CLOUD}, q AS (SELECT 1704844800e0 + i * 1000e0 AS tq FROM range(60) r(i)) SELECT q.tq, a.pid, round(a.px + (q.tq - a.tq) / 3600 * (b.px - a.px), 6) AS px, round(a.py + (q.tq - a.tq) / 3600 * (b.py - a.py), 6) AS py FROM q JOIN cloud a ON a.tq <= q.tq AND q.tq < a.tq + 3600 JOIN cloud b ON b.pid = a.pid AND b.tq = a.tq + 3600",
     "corridor_nn": f"WITH {FOUND} SELECT mmsi, tq, round(d_km, 6) AS d_km FROM near",
     "corridor_fraction": f"WITH {FOUND} SELECT mmsi, tq, n_near, round(fraction, 6) AS fraction FROM near",
     "region_distance": f"WITH {FOUND} SELECT mmsi, tq, round(d_region_km, 6) AS d_region_km FROM reg",
@@ -189,7 +190,7 @@ a AS (SELECT * FROM e WHERE off <= 40 AND pd <= 2000 AND kn > 0.5 AND CASE b1 WH
 SELECT h.mmsi, round(h.course, 6) AS course_deg, round(h.kn, 6) AS speed_kn, nearest_port, a.port, round(a.pd, 6) AS distance_km, round(a.off, 6) AS offset_deg, round(a.pd / (a.kn * 1.852e0), 6) AS eta_hours FROM h JOIN n USING (mmsi) LEFT JOIN a USING (mmsi)""",
     "nearest_place": f"WITH {PORT}, {SLICK} SELECT spill_id AS id, port AS place, round({haversine('s.lat', 's.lon', 'p.lat', 'p.lon')}, 6) AS d_km FROM slicks s, ports p QUALIFY row_number() OVER (PARTITION BY spill_id ORDER BY {haversine('s.lat', 's.lon', 'p.lat', 'p.lon')}, port) = 1",
     "responsible_mrcc": f"WITH {SLICK} SELECT spill_id, CASE WHEN lon >= 91 THEN 'MRCC Port Blair' WHEN lon < 77.6 OR (lat < 8.3 AND lon < 78.5) THEN 'MRCC Mumbai' ELSE 'MRCC Chennai' END AS mrcc, {BASIN('lon', 'lat')} AS basin FROM slicks",
-    "spill_compare": f"""WITH o AS (SELECT o_orderkey AS id, 1704844800e0 + o_orderkey * 7200e0 AS t, 18e0 + (o_orderkey % 7) * 0.2e0 AS lat, 71e0 + (o_orderkey % 5) * 0.3e0 AS lon, 0.05e0 + (o_orderkey % 3) * 0.05e0 AS half, o_totalprice AS area FROM orders WHERE o_orderkey < 300),
+    "spill_compare": f"""WITH o AS (SELECT o_orderkey AS id, 1704844800e0 + o_orderkey * 7200e0 AS t, 18e0 + (o_orderkey % 7) * 0.2e0 AS lat, 71e0 + (o_orderkey % 5) * 0.3e0 AS lon, 0.05e0 + (o_orderkey % 3) * 0.05e0 AS half, o_totalprice AS area FROM orders),
 p AS (SELECT a.id AS id_a, b.id AS id_b, (b.t - a.t) / 3600 AS hours, {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d, {bearing('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS dir, b.area - a.area AS da, a.half AS ha, b.half AS hb,
   greatest(0e0, least(a.lat + a.half, b.lat + b.half) - greatest(a.lat - a.half, b.lat - b.half)) * greatest(0e0, least(a.lon + a.half, b.lon + b.half) - greatest(a.lon - a.half, b.lon - b.half)) AS i FROM o a JOIN o b ON b.t > a.t AND b.t - a.t <= 259200)
 SELECT id_a, id_b, round(hours, 6) AS hours, round(d, 6) AS d_km, round(dir, 6) AS direction_deg, round(d / hours, 6) AS speed_kmh, round(da, 6) AS area_change_m2, round(i / (4 * ha * ha + 4 * hb * hb - i), 6) AS iou FROM p WHERE i > 0 OR d <= 3 * hours""",
@@ -214,7 +215,7 @@ SELECT scene, label, round(around - inside, 6) AS contrast, round((around - insi
     "dice_iou": f"WITH {PIX}, p AS (SELECT scene, m AS a, CASE WHEN (r + c) % 11 = 0 THEN 1 - m ELSE m END AS p FROM mask) SELECT scene, round(2e0 * sum(a * p) / (sum(a) + sum(p)), 6) AS dice, round(CAST(sum(a * p) AS DOUBLE) / (sum(a) + sum(p) - sum(a * p)), 6) AS iou FROM p GROUP BY scene",
     "velocity_parts": f"WITH {SLICK}, a AS (SELECT spill_id, bearing_deg, speed_kmh * sin(radians(bearing_deg)) AS u, speed_kmh * cos(radians(bearing_deg)) AS v FROM slicks) SELECT spill_id, round(u, 6) AS u, round(v, 6) AS v, round(-u, 6) AS wu, round(-v, 6) AS wv, round(sqrt(pow(u + 0.5e0, 2) + pow(v - 0.25e0, 2)), 6) AS speed, round({modulo('(degrees(atan2(u + 0.5e0, v - 0.25e0)) + 360)')}, 6) AS toward, round({TURN('bearing_deg', '350e0')}, 6) AS turn FROM a",
     "latest_state": f"WITH {STATES}, l AS ({LAST('true')}) SELECT user_id, event_id, CASE WHEN status IN ('COMPLETED', 'PARTIAL', 'FAILED') THEN status ELSE 'FAILED' END AS status, value, CASE WHEN status NOT IN ('COMPLETED', 'PARTIAL', 'FAILED') THEN 'INTERRUPTED' END AS error FROM l",
-    "upsert_latest": f"WITH {STATES}, a AS ({LAST('event_id % 2 = 0')}), b AS ({LAST('event_id % 7 = 3 AND user_id % 3 = 1')}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE user_id NOT IN (SELECT user_id FROM b)",
+    "upsert_latest": f"WITH {STATES}, a AS ({LAST(f'ts IS NULL OR ts < {UPSERT_FROM}')}), b AS ({LAST(f'ts >= {UPSERT_FROM}')}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE user_id NOT IN (SELECT user_id FROM b)",
     "provenance_mix": "WITH p AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'LOCAL_FILE' ELSE ['REAL', 'SYNTHETIC', 'LOCAL_FILE'][event_id % 3 + 1] END AS p FROM events) SELECT user_id, CASE WHEN count(*) > 1 THEN 'MIXED:' ELSE '' END || string_agg(p, ',' ORDER BY p) AS provenance FROM p GROUP BY user_id",
     "search_window": f"WITH {RAW}, {GRID}, {INTERP}, b AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM interp) SELECT round(w - 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS w, round(s - 40 / 111.32e0, 6) AS s, round(e + 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS e, round(n + 40 / 111.32e0, 6) AS n, 1705017600e0 - 54 * 3600 AS t0, 1705017600e0 + 6 * 3600 AS t1 FROM b",
     "drift_vector": f"WITH {GRID}, {CLOUD}, c AS (SELECT tq, avg(px) AS x, avg(py) AS y FROM cloud GROUP BY tq), a AS (SELECT (SELECT x FROM c ORDER BY tq LIMIT 1) AS x0, (SELECT y FROM c ORDER BY tq LIMIT 1) AS y0, (SELECT x FROM c ORDER BY tq DESC LIMIT 1) AS x1, (SELECT y FROM c ORDER BY tq DESC LIMIT 1) AS y1) SELECT round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / 48, 6) AS speed_kmh, round({modulo('(degrees(atan2(x1 - x0, y1 - y0)) + 360)')}, 6) AS bearing_deg FROM a",
@@ -231,7 +232,7 @@ SELECT image, round((e - w) / width, 7) AS dx, round(-((n - s) / height), 7) AS
     "tile_merge": """WITH q AS (SELECT i // 1024 // 2 * 24 AS tr, i // 1024 % 2 * 24 AS tc, i // 32 % 32 AS a, i % 32 AS b FROM range(4096) r(i)), z AS (SELECT *, tr + a AS r, tc + b AS c, greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * a / 31)) * greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * b / 31)) AS w FROM q),
 m AS (SELECT r, c, sum(w * (((r * 31 + c * 17 + tr + tc) % 23 - 11) / 4e0)) / sum(w) AS z FROM z GROUP BY r, c) SELECT 0 AS scene, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(1 / (1 + exp(-z)), 6) AS probability FROM m""",
     "calibration": "WITH t AS (SELECT p_partkey % 12 AS scene, p_partkey AS setting, p_partkey * 7 % 100 / 100e0 AS recall, p_size % 20 / 100e0 AS fp FROM part) SELECT scene, setting, round(recall, 6) AS recall, round(fp, 6) AS false_positive FROM t QUALIFY row_number() OVER (PARTITION BY scene ORDER BY round(recall - 4 * fp, 9) DESC, setting) = 1",
-    "component_targets": """WITH b AS (SELECT p_partkey % 4 AS scene, p_partkey AS component_id, p_partkey * 17 % 90 + 0.25e0 AS x0, p_partkey * 23 % 80 + 0.25e0 AS y0 FROM part WHERE p_partkey < 600), t AS (SELECT i % 4 AS scene, CAST(i * 29 % 91 AS DOUBLE) AS x, CAST(i * 31 % 83 AS DOUBLE) AS y FROM range(400) r(i)),
+    "component_targets": """WITH b AS (SELECT p_partkey % 4 AS scene, p_partkey AS component_id, p_partkey * 17 % 90 + 0.25e0 AS x0, p_partkey * 23 % 80 + 0.25e0 AS y0 FROM part), t AS (SELECT i % 4 AS scene, CAST(i * 29 % 91 AS DOUBLE) AS x, CAST(i * 31 % 83 AS DOUBLE) AS y FROM range(400) r(i)),
 d AS (SELECT b.scene, component_id, sqrt(pow(greatest(0e0, x0 - x, x - x0 - 1.5e0), 2) + pow(greatest(0e0, y0 - y, y - y0 - 1e0), 2)) AS k FROM b JOIN t USING (scene)) SELECT scene, component_id, round(min(k) FILTER (k <= 3), 6) AS target_km FROM d GROUP BY scene, component_id""",
     "component_stats": f"WITH RECURSIVE {PIX}, g AS (SELECT scene, r, c, CAST(r AS BIGINT) * 4294967296 + c AS label FROM mask WHERE m = 1), t AS (SELECT * FROM g UNION SELECT b.scene, b.r, b.c, t.label FROM t JOIN g b ON b.scene = t.scene AND abs(b.r - t.r) + abs(b.c - t.c) <= 1 AND t.label < b.label), l AS (SELECT scene, r, c, min(label) AS label FROM t GROUP BY scene, r, c) SELECT scene, label, count(*) AS n_pixels, round(avg(r), 6) AS row, round(avg(c), 6) AS col, max(v) AS peak, round(avg(v), 6) AS mean_v, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM l JOIN px USING (scene, r, c) GROUP BY scene, label",
     "position_format": f"WITH {SLICK}, p AS (SELECT spill_id, lat + 0.2567e0 AS a, lon - spill_id * 3.337e0 AS o FROM slicks), t AS (SELECT spill_id, a, o, CAST(round(abs(a) * 600) AS BIGINT) AS ta, CAST(round(abs(o) * 600) AS BIGINT) AS t_o FROM p) SELECT spill_id, printf('%02d°%04.1f''%s %03d°%04.1f''%s', ta // 600, (ta % 600) / 10e0, CASE WHEN a >= 0 THEN 'N' ELSE 'S' END, t_o // 600, (t_o % 600) / 10e0, CASE WHEN o >= 0 THEN 'E' ELSE 'W' END) AS position FROM t",

@@ -106,10 +106,6 @@ def _between_steps(s):
 
 
 def cloud_interp(s, d):
-    return rounded(corridor.cloud_at(tables.particle_cloud(s).filter("pid < 20"), _between_steps(s), STEP_S))
-
-
-def cloud_interp_all(s, d):
     return rounded(corridor.cloud_at(tables.particle_cloud(s), _between_steps(s), STEP_S))
 
 
@@ -282,18 +278,10 @@ def _spills(rows):
 
 
 def severity(s, d):
-    return rounded(impact.severity(_spills(tables.table(s, d, "orders").filter("o_orderkey < 400"))))
-
-
-def severity_all(s, d):
     return rounded(impact.severity(_spills(tables.table(s, d, "orders"))))
 
 
 def action_rules(s, d):
-    return impact.actions(impact.severity(_spills(tables.table(s, d, "orders").filter("o_orderkey < 400"))))
-
-
-def action_rules_all(s, d):
     return impact.actions(impact.severity(_spills(tables.table(s, d, "orders"))))
 
 
@@ -324,10 +312,6 @@ def _observed(rows):
 
 
 def spill_compare(s, d):
-    return rounded(impact.associated(_observed(tables.table(s, d, "orders").filter("o_orderkey < 300"))))
-
-
-def spill_compare_all(s, d):
     return rounded(impact.associated(_observed(tables.table(s, d, "orders"))))
 
 
@@ -423,11 +407,6 @@ def latest_state(s, d):
 
 
 def upsert_latest(s, d):
-    rows = _states(tables.table(s, d, "events"))
-    return state.upserted(state.latest(rows.filter("event_id % 2 = 0"), "user_id", ("event_id",)), rows.filter("event_id % 7 = 3 and user_id % 3 = 1"), "user_id", ("event_id",))
-
-
-def upsert_latest_all(s, d):
     """Every event is stored or, from the split on, a change."""
     e = tables.table(s, d, "events")
     late = F.coalesce(F.col("ts") >= F.to_timestamp(F.lit(UPSERT_FROM)), F.lit(False))
@@ -520,10 +499,6 @@ def _linked(rows, s):
 
 
 def component_targets(s, d):
-    return _linked(tables.table(s, d, "part").filter("p_partkey < 600"), s)
-
-
-def component_targets_all(s, d):
     return _linked(tables.table(s, d, "part"), s)
 
 
@@ -534,5 +509,4 @@ QUERIES = {f.__name__: f for f in (
     coverage, severity, action_rules, site_threat, next_port, nearest_place, responsible_mrcc, spill_compare, manifest_root, manifest_chain, manifest_verify, components,
     component_stats, sized_components, ring_contrast, cfar, morphology, block_percentile_mad, decimate, dice_iou, position_format, velocity_parts, latest_state, upsert_latest, provenance_mix, track_simplify,
     search_window, drift_vector, scene_search, scene_clip, georeference, release_window, drift_reach, synthetic_forcing, tile_merge, calibration, hash_sample, polygon_points, component_targets,
-    severity_all, action_rules_all, spill_compare_all, component_targets_all, cloud_interp_all, upsert_latest_all,
 )}
