@@ -77,13 +77,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     columns to carry.
 
     Null texts have size 0 and are never taken; null sources are a source of their own, last in order.
-    Repeated rows are documents like others: ties in the hashed order are broken by id and copies of
-    one id and text are alike, so reruns agree. An empty table gives an empty result. Weights repeat
+    Repeated rows are documents like others. The order is by a hash of id and text, so ties are rows of
+    one id and text, which are alike: reruns agree. An empty table gives an empty result. Weights repeat
     over the sources in code-point order.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
-    mixed = F.xxhash64(F.lit(seed), "doc_id")
-    rows = rows.withColumns({"mixed": mixed, "slice": F.shiftrightunsigned(mixed, 64 - SLICES.bit_length() + 1)})
+    # the text belongs to the hash: documents that share an id, or have none, spread over the slices too
+    mixed = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), mixed.alias("mixed"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    rows = rows.withColumn("slice", F.shiftrightunsigned("mixed", 64 - SLICES.bit_length() + 1))
     sized = docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     plan = _plan(sized, source_col, weights, most, tilt)
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
