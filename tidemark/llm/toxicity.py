@@ -102,7 +102,15 @@ def matches(automaton, folded: str) -> list[tuple[int, float]]:
             covered.append((start, end))
         else:
             best[start] = max(weight, best.get(start, 0.0))
-    return sorted((p, w) for p, w in best.items() if not any(a <= p < b for a, b in covered))
+    covered.sort()
+    out, i, reach = [], 0, 0
+    for place in sorted(best):  # one pass over both, so that a text full of exceptions costs its length
+        while i < len(covered) and covered[i][0] <= place:
+            reach = max(reach, covered[i][1])
+            i += 1
+        if place >= reach:
+            out.append((place, best[place]))
+    return out
 
 
 def density(automaton, text: str) -> tuple[float, int, int]:
