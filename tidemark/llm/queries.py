@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontamination, metric_join, mixing, ppm, quality, relative_parse, secrets, token_codec, toxicity
+from . import bwt_dedup, centroids, decontamination, metric_join, mixing, ppm, quality, relative_parse, secrets, token_codec, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.totals(copies, "row").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
@@ -69,7 +73,32 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op9_ppm_scoring": op9_ppm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
+
+
+def _clustering_sql(k: int, rounds: int, dims: int, scale: int) -> str:
+    """Rounds of assignment and means as one chain of tables; a centroid is a list of integers."""
+    components = "list_transform(embedding, lambda x: floor({} * x::DOUBLE)::BIGINT)".format(scale)
+    parts = [
+        f"p AS (SELECT vec_id, {components} AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v AS c FROM p ORDER BY sha256('1:' || vec_id) LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} AS (SELECT vec_id, v, cluster, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS distance FROM p, c{i})")
+        parts.append(f"a{i} AS (SELECT vec_id, v, cluster, distance FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)")
+        if i < rounds:
+            sums = ", ".join(f"sum(v[{j}])::BIGINT" for j in range(1, dims + 1))
+            means = "list_transform(s, lambda x: (x - ((x % n) + n) % n) // n)"
+            parts.append(f"m{i} AS (SELECT cluster, {means} AS c FROM (SELECT cluster, count(*) AS n, [{sums}] AS s FROM a{i} GROUP BY cluster))")
+            parts.append(f"c{i + 1} AS (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (cluster))")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 #: SQL where it can express an operator; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
@@ -91,4 +120,5 @@ r AS (SELECT DISTINCT doc_id, i + k AS pos FROM v JOIN f USING (h), range(50) t(
 p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
 k AS (SELECT p.doc_id, count(r.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (r.pos IS NULL) AS kept FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.pos = p.pos GROUP BY p.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op13_centroid_clustering": _clustering_sql(k=16, rounds=3, dims=64, scale=64),
 }
