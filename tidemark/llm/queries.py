@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, centroids, decontamination, metric_join, mixing, ppm, quality, relative_parse, secrets, simhash, token_codec, toxicity
+from . import alignment, bwt_dedup, centroids, decontamination, metric_join, mixing, ppm, quality, relative_parse, secrets, simhash, token_codec, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.totals(copies, "row").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near(table(spark, sf_dir, "documents"), size=4, threshold=4)
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op13_centroid_clustering": op13_centroid_clustering,
     "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
 }
 
 
