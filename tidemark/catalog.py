@@ -1,6 +1,6 @@
 """Registered queries and their SQL checks."""
 
-from .plans import areas, oracles, queries
+from .plans import areas, geometry, oracles, queries
 
-QUERIES = queries.QUERIES | areas.QUERIES
-ORACLES = oracles.ORACLES | areas.ORACLES
+QUERIES = queries.QUERIES | areas.QUERIES | geometry.QUERIES
+ORACLES = oracles.ORACLES | areas.ORACLES | geometry.ORACLES

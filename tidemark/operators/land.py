@@ -80,3 +80,53 @@ def attached_vessels(slicks: DataFrame, matches: DataFrame, link_km: float) -> D
     d = polygon.distance(F.col("ring"), F.col("x"), F.col("y"))
     near = matches.join(slicks.select("scene", "ring"), "scene").withColumn("target_km", d).filter(F.col("target_km") <= link_km)
     return near.groupBy("scene", "mmsi").agg(F.min("target_km").alias("target_km"))
+
+
+def _crossed_cells(rows: DataFrame, cell_km: float) -> DataFrame:
+    """Segments (x1, y1, x2, y2) once for each grid cell (cx, cy) they cross: by columns, then by their rows in each."""
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    rows = rows.withColumn("cx", F.explode(F.sequence(F.floor(left / cell_km), F.floor(right / cell_km))))
+    slope = (F.col("y2") - F.col("y1")) / F.when(F.col("x1") != F.col("x2"), F.col("x2") - F.col("x1"))
+    at = lambda x: F.coalesce(F.col("y1") + slope * (x - F.col("x1")), F.col("y1"))
+    a, b = at(F.greatest(left, F.col("cx") * cell_km)), at(F.least(right, (F.col("cx") + 1) * cell_km))
+    upright = F.col("x1") == F.col("x2")
+    low = F.when(upright, F.least("y1", "y2")).otherwise(F.least(a, b)) - 1e-9
+    high = F.when(upright, F.greatest("y1", "y2")).otherwise(F.greatest(a, b)) + 1e-9
+    return rows.withColumn("cy", F.explode(F.sequence(F.floor(low / cell_km), F.floor(high / cell_km))))
+
+
+def landfall(rays: DataFrame, land: DataFrame, max_km: float = 400.0, cell_km: float = 10.0) -> DataFrame:
+    """Where each ray (id, px, py, bearing_deg, speed_kmh) first meets land, within `max_km`: distance, place, hours.
+
+    A ray is listed in the cells it crosses, a shore side in those it crosses, and those of one cell are
+    intersected exactly. A ray that begins on land has distance 0; one without landfall has nulls; without
+    speed there is no time. Ids are unique.
+    """
+    turn = F.radians("bearing_deg")
+    ends = rays.select("id", F.col("px").alias("x1"), F.col("py").alias("y1"), (F.col("px") + max_km * F.sin(turn)).alias("x2"), (F.col("py") + max_km * F.cos(turn)).alias("y2"))
+    shore = land.select(F.explode(polygon.sides(F.col("ring"))).alias("s")).select(*(F.col(f"s.{p}.{c}").alias(f"{c}{i}") for i, p in ((1, "a"), (2, "b")) for c in "xy"))
+    shore = _crossed_cells(shore, cell_km).select("cx", "cy", *(F.col(c).alias(f"s{c}") for c in ("x1", "y1", "x2", "y2")))
+    rows = _crossed_cells(ends, cell_km).join(shore, ["cx", "cy"])
+    dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("sx2") - F.col("sx1"), F.col("sy2") - F.col("sy1")
+    wx, wy = F.col("sx1") - F.col("x1"), F.col("sy1") - F.col("y1")
+    cross = dx * ey - dy * ex
+    along, beside = (wx * ey - wy * ex) / F.when(cross != 0, cross), (wx * dy - wy * dx) / F.when(cross != 0, cross)
+    met = rows.withColumns({"along": along, "beside": beside}).filter("along between 0 and 1 and beside between 0 and 1")
+    first = met.groupBy("id").agg((F.min("along") * max_km).alias("shore_km"))
+    ashore = on_land(rays.select("id", "px", "py"), land, 0.0, cell_km).select("id", "hit")
+    d = F.when(F.col("hit"), 0.0).otherwise(F.col("shore_km"))
+    out = rays.join(ashore, "id").join(first, "id", "left").withColumn("landfall_km", d)
+    eta = F.when(F.col("speed_kmh") > 0, F.col("landfall_km") / F.col("speed_kmh"))
+    return out.select("id", "landfall_km", (F.col("px") + F.col("landfall_km") * F.sin(turn)).alias("x"), (F.col("py") + F.col("landfall_km") * F.cos(turn)).alias("y"), eta.alias("eta_h"))
+
+
+def extrapolated_landfall(points: DataFrame, land: DataFrame, max_km: float = 400.0) -> DataFrame:
+    """For each scene of a drifting cloud (scene, tq, px, py): its last centre, the speed and course between its first
+    and last frame, and where it would reach land going on like that, in hours after the last frame."""
+    frames = points.groupBy("scene", "tq").agg(F.avg("px").alias("px"), F.avg("py").alias("py"))
+    at = frames.groupBy("scene").agg(F.min_by(F.struct("tq", "px", "py"), "tq").alias("a"), F.max_by(F.struct("tq", "px", "py"), "tq").alias("b"))
+    dx, dy = F.col("b.px") - F.col("a.px"), F.col("b.py") - F.col("a.py")
+    hours = (F.col("b.tq") - F.col("a.tq")) / 3600
+    rays = at.select(F.col("scene").alias("id"), F.col("b.px").alias("px"), F.col("b.py").alias("py"), F.pmod(F.degrees(F.atan2(dx, dy)) + 360, F.lit(360.0)).alias("bearing_deg"), F.when(hours > 0, F.hypot(dx, dy) / hours).otherwise(0.0).alias("speed_kmh"))
+    found = landfall(rays, land, max_km)
+    return rays.select(F.col("id"), "bearing_deg", "speed_kmh").join(found, "id").withColumnRenamed("id", "scene")
