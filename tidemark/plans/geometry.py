@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import background, land, overlap
+from ..checkpoint import folder
+from ..operators import background, land, overlap, spatial
+from ..sources.keyed import KeyedTable
 from ..sources.tables import WINDOW_START, table
-from .areas import CROSSED, DRIFT, TILES, _drift, _islands, _tiles
+from .areas import CROSSED, DRIFT, OFF, T, TILES, _drift, _islands, _tiles
 from .oracles import bearing, haversine
 from .queries import rounded
 
@@ -59,7 +61,25 @@ def extrapolated_landfall(s, d):
     return rounded(land.extrapolated_landfall(_drift(s, d), _islands(s, d)))
 
 
-QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall)}
+def land_pairs(s, d):
+    """Twenty times as many points in one corner as elsewhere."""
+    k = F.col("id")
+    dense = k % 21 != 0
+    points = _drift(s, d).select(F.col("pid").alias("id"), "px", "py").withColumns({"px": F.when(dense, F.col("px") / 10 + 30).otherwise(F.col("px")), "py": F.when(dense, F.col("py") / 10 - 20).otherwise(F.col("py"))})
+    shapes = _islands(s, d).select(F.xxhash64("ring").alias("shape_id"), "ring")
+    return rounded(spatial.within(points, shapes, 0.5, limit=500).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("distance")))
+
+
+def stored_states(s, d):
+    """The keyed table after two upserts of events: the later half of the rows first."""
+    rows = table(s, d, "events").select("user_id", "event_id", "event_type", "value")
+    stored = KeyedTable(s, folder(s, "states"), ["user_id"], ["event_id"], buckets=16)
+    stored.upsert(rows.filter("event_id % 2 = 1"))
+    stored.upsert(rows.filter("event_id % 2 = 0"))
+    return stored.read()
+
+
+QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states)}
 
 CORNERS = """ob AS (SELECT o_orderkey AS id, 1704844800e0 + o_orderkey * 7200e0 AS t, 18e0 + (o_orderkey % 7) * 0.2e0 + (o_orderkey % 97) * 0.0013e0 AS lat, 71e0 + (o_orderkey % 5) * 0.3e0 + (o_orderkey % 89) * 0.0017e0 AS lon,
   0.05e0 + (o_orderkey % 3) * 0.05e0 AS half, 5 + o_orderkey % 4 AS n, CAST(o_totalprice AS DOUBLE) AS area FROM orders),
@@ -124,3 +144,9 @@ ORACLES |= {
     "ray_landfall": f"WITH {DRIFT}, {_ISLANDS}, {_landfall_sql('SELECT pid AS id, x, y, pid * 7 % 360 + 0.37e0 AS bearing_deg, pid % 5 * 0.7e0 AS speed_kmh FROM dp', 60)} SELECT id, {_FALL} FROM lf",
     "extrapolated_landfall": f"WITH {DRIFT}, {_ISLANDS}, {_landfall_sql(_DRIFTED, 400)} SELECT id AS scene, round(bearing_deg, 6) AS bearing_deg, round(speed_kmh, 6) AS speed_kmh, {_FALL} FROM lf",
 }
+ORACLES |= {
+    "land_pairs": f"""WITH {DRIFT}, {_ISLANDS}, dq AS (SELECT pid, CASE WHEN pid % 21 <> 0 THEN x / 10 + 30 ELSE x END AS x, CASE WHEN pid % 21 <> 0 THEN y / 10 - 20 ELSE y END AS y FROM dp),
+pr AS (SELECT pid, k, CASE WHEN count(*) FILTER ({CROSSED}) % 2 = 1 THEN 0e0 ELSE min({OFF}) END AS d FROM (SELECT *, {T} FROM dq, il) GROUP BY pid, k)
+SELECT pid AS id, count(*) AS n, round(min(d), 6) AS distance FROM pr WHERE d <= 0.5 GROUP BY pid""",
+    "stored_states": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
+}
