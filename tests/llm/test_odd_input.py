@@ -125,3 +125,80 @@ def test_toxic_words_are_found_as_by_a_plain_search():
             for m in re.finditer(f"(?= {term})", folded):
                 want += not any(a <= m.start() < a + len(" zonk street") for a, _ in spared)
         assert len(toxicity.matches(own, folded)) == want, raw
+
+
+def brute_cover(rows, units, n):
+    """Marks of the units that windows of n units cover which also start in a smaller id (and, in bytes, earlier in the same text)."""
+    own = [units(t or "") for _, t in rows]
+    least, out = {}, []
+    for (i, _), ws in zip(rows, own, strict=True):
+        for k in range(len(ws) - n + 1):
+            g = tuple(ws[k : k + n])
+            if i is not None:
+                least[g] = min(least.get(g, i), i)
+    for (i, _), ws in zip(rows, own, strict=True):
+        hits, seen = [False] * len(ws), set()
+        for k in range(len(ws) - n + 1):
+            g = tuple(ws[k : k + n])
+            if (i is not None and least[g] < i) or (n == 100 and g in seen):
+                hits[k : k + n] = [True] * n
+            seen.add(g)
+        out.append((ws, hits))
+    return out
+
+
+def passage(start, n):
+    return " ".join(f"q{k * k % 7919}z{k % 31}" for k in range(start, start + n))
+
+
+SHARED = [
+    (1, passage(0, 300)),
+    (2, "head " + passage(50, 180)),
+    (2, "other " + passage(1000, 120)),
+    (2, passage(1000, 90) + " tail " + passage(2000, 60)),
+    (2, None),
+    (2, ""),
+    (3, passage(2000, 60) + " x " + passage(2000, 60)),
+    (3, passage(2000, 60) + " x " + passage(2000, 60)),
+    (3, passage(1020, 80)),
+    (None, passage(0, 100)),
+    (None, passage(0, 100) + " and more"),
+    (1, None),
+    (1, passage(3000, 70) + " " + passage(3000, 70)),
+]
+
+
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_dedup_of_texts_that_share_an_id(spark, hot, monkeypatch):
+    docs = spark.createDataFrame(SHARED, "doc_id long, text string").repartition(4)
+    want = sorted((str(i), len(ws), sum(hits), hashlib.sha256(" ".join(w for w, h in zip(ws, hits, strict=True) if not h).encode()).hexdigest()) for (i, _), (ws, hits) in zip(SHARED, brute_cover(SHARED, str.split, 50), strict=True))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in relative_parse.parse(docs).collect()) == want
+    want = sorted((str(i), len(b), sum(hits), hashlib.sha256(bytes(c for c, h in zip(b, hits, strict=True) if not h)).hexdigest()) for (i, _), (b, hits) in zip(SHARED, brute_cover(SHARED, str.encode, 100), strict=True))
+    monkeypatch.setattr(bwt_dedup.repeated_ranges, "__defaults__", (hot,))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in bwt_dedup.remove(docs).collect()) == want
+
+
+def test_links_of_texts_that_share_an_id(spark):
+    base = passage(0, 120)
+    near, far = base.replace(" q9z3 ", " changed "), passage(5000, 100)
+    for rows in ([(1, far), (1, base), (2, near)], [(1, base), (1, far), (2, near)], [(5, far), (1, far + " y"), (5, base), (3, near), (None, near), (None, base), (4, None), (4, "")]):
+        sets = [(i, set(zip(*((t or "").split()[k:] for k in range(4)), strict=False))) for i, t in rows]
+        known = [(i, s) for i, s in sets if i is not None and s]
+        root = list(range(len(known)))
+        for _ in known:
+            for a, (_, s) in enumerate(known):
+                for b, (_, u) in enumerate(known):
+                    if 100 * len(s & u) >= 85 * len(s | u):
+                        root[a] = root[b] = min(root[a], root[b])
+        least = [min(known[b][0] for b in range(len(known)) if root[b] == root[a]) for a in range(len(known))]
+        want = Counter([(i, len(s), c) for (i, s), c in zip(known, least, strict=True)] + [(i, len(s), i) for i, s in sets if i is not None and not s])
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in metric_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect() if r.doc_id is not None)
+        assert got == want
+
+
+def test_halves_of_an_item_in_two_texts_of_one_id_are_no_leak(spark):
+    item = passage(0, 40)
+    benchmark = spark.createDataFrame([(1, item), (2, "  "), (None, None)], "item_id long, text string")
+    halves = [(1, passage(0, 22)), (1, passage(18, 22)), (2, "start " + item + " end"), (2, passage(900, 30)), (None, item), (None, "nothing"), (3, item + " " + LONG)]
+    found = decontamination.contaminated(spark.createDataFrame(halves, "doc_id long, text string"), benchmark, literal=True).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {(2, 1, 1.0), (None, 1, 1.0), (3, 1, 1.0)}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Blocks, blocks, judged_blocks, repeated_blocks
-from .relative_parse import OCCURRENCES, _documents, merge_ranges
+from .relative_parse import OCCURRENCES, _documents, merge_ranges, named
 from .store import materialize
 from .text import signed, steps, trimmed
 
@@ -50,11 +50,11 @@ def byte_occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "name"))
             for part in steps(batch.column("text")):
                 got = blocks(part.data, part.bounds, window, gram)
                 one = _once(got)
-                yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor[one]), "content": signed(got.content[one]), "doc_id": ids[part.first + got.text[one]].astype(np.int64), "start": got.start[one].astype(np.int32), "n": got.n[one].astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor[one]), "content": signed(got.content[one]), "doc_id": ids[part.first + got.text[one]].astype(np.int64), "name": names[part.first + got.text[one]].astype(np.int64), "start": got.start[one].astype(np.int32), "n": got.n[one].astype(np.int32)})
 
     return docs.mapInArrow(trimmed(run), OCCURRENCES)
 
@@ -124,8 +124,12 @@ def common_prefix_breaks(symbols: np.ndarray, order: np.ndarray, length: int) ->
     return broken[:n]
 
 
-def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-    """(place, text) of all windows of the given blocks which another block has at a smaller (doc, start)."""
+def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, window: int, name: np.ndarray | None = None) -> np.ndarray:
+    """(place, text) of all windows of the given blocks which a smaller doc has, or the same document earlier.
+
+    Documents are told apart by doc and name; of those that share a doc none is smaller.
+    """
+    name = np.zeros(len(doc), np.int64) if name is None else name
     lengths = np.array([len(t) for t in texts])
     symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
     first = np.cumsum(lengths + 1) - (lengths + 1)
@@ -136,72 +140,75 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, win
     offset = order - first[text]
     whole = np.flatnonzero(offset + window <= lengths[text])
     group, text, offset = group[whole], text[whole], offset[whole]
-    by = np.lexsort((start[text] + offset, doc[text], group))
-    head = np.flatnonzero(np.append(True, group[by[1:]] != group[by[:-1]])) if len(by) else np.zeros(0, np.int64)
-    first = by[np.repeat(head, np.diff(np.append(head, len(by))))]
+    place = start[text] + offset
+    by = np.lexsort((place, name[text], doc[text], group))
+    changed = lambda *keys: np.flatnonzero(np.append(True, np.any([k[by[1:]] != k[by[:-1]] for k in keys], axis=0))) if len(by) else np.zeros(0, np.int64)
+    least = lambda head: by[np.repeat(head, np.diff(np.append(head, len(by))))]
+    first, own = least(changed(group)), least(changed(group, doc[text], name[text]))
     # a place is later only than a different one
-    later = (doc[text[by]] != doc[text[first]]) | (start[text[by]] + offset[by] != start[text[first]] + offset[first])
+    later = (doc[text[by]] != doc[text[first]]) | (place[by] != place[own])
     return np.stack([offset[by[later]], text[by[later]]])
 
 
 def _block_texts(docs: DataFrame, listed: DataFrame, window: int) -> DataFrame:
-    """listed (doc_id, start, n, anchor, hot) -> the bytes of each block."""
-    at = listed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("at"))
+    """listed (doc_id, name, start, n, anchor, hot) -> the bytes of each block."""
+    at = listed.groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, at = batch.column("text").cast(pa.binary()), batch.column("doc_id").to_pylist(), batch.column("at")
-            for i, doc_id in enumerate(ids):
+            texts, at = batch.column("text").cast(pa.binary()), batch.column("at")
+            for i, (doc_id, name) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("name").to_pylist(), strict=True)):
                 text, flat = texts[i].as_py(), at[i].values
                 start, n, anchor, hot = (flat.field(k).to_pylist() for k in range(4))
-                yield pa.RecordBatch.from_pydict({"anchor": anchor, "doc_id": [doc_id] * len(n), "start": pa.array(start, pa.int32()), "hot": hot, "part": [text[a : a + k + window - 1] for a, k in zip(start, n, strict=True)]})
+                yield pa.RecordBatch.from_pydict({"anchor": anchor, "doc_id": [doc_id] * len(n), "name": [name] * len(n), "start": pa.array(start, pa.int32()), "hot": hot, "part": [text[a : a + k + window - 1] for a, k in zip(start, n, strict=True)]})
 
-    return docs.join(at, "doc_id").mapInArrow(trimmed(run), "anchor long, doc_id long, start int, hot boolean, part binary")
+    return docs.join(at, ["doc_id", "name"]).mapInArrow(trimmed(run), "anchor long, doc_id long, name long, start int, hot boolean, part binary")
 
 
 def _expanded(parts: DataFrame, window: int, tasks: int) -> DataFrame:
     """Repeated windows among gathered blocks: anchors meet in tasks, a bounded piece at a time."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        doc, start = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        offset, text = repeated_windows([r[2] for r in rows], doc, start, window)
-        return pa.RecordBatch.from_pydict({"doc_id": doc[text], "start": (start[text] + offset).astype(np.int32), "n": np.ones(len(text), np.int32)})
+        doc, name, start = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        offset, text = repeated_windows([r[3] for r in rows], doc, start, window, name)
+        return pa.RecordBatch.from_pydict({"doc_id": doc[text], "name": name[text], "start": (start[text] + offset).astype(np.int32), "n": np.ones(len(text), np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in batches:
-            for anchor, doc_id, start, part in zip(*(batch.column(k).to_pylist() for k in ("anchor", "doc_id", "start", "part")), strict=True):
+            for anchor, doc_id, name, start, part in zip(*(batch.column(k).to_pylist() for k in ("anchor", "doc_id", "name", "start", "part")), strict=True):
                 if size >= PIECE_BYTES and anchor != last:
                     yield solve(rows)
                     rows, size = [], 0
-                rows.append((doc_id, start, part))
+                rows.append((doc_id, name, start, part))
                 size += len(part)
                 last = anchor
         if rows:
             yield solve(rows)
 
-    return parts.select("anchor", "doc_id", "start", "part").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(run), "doc_id long, start int, n int")
+    return parts.select("anchor", "doc_id", "name", "start", "part").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(run), "doc_id long, name long, start int, n int")
 
 
 def _compared(parts: DataFrame, window: int) -> DataFrame:
     """Repeated windows of blocks under hot anchors, a row for each window; exact for any group size."""
     at = F.explode(F.sequence(F.lit(0), F.length("part") - window))
-    rows = parts.select("doc_id", "start", "part", at.alias("offset"))
+    rows = parts.select("doc_id", "name", "start", "part", at.alias("offset"))
     # the substring is taken after the explode: positions count bytes of a binary column
-    rows = rows.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), F.expr(f"substring(part, offset + 1, {window})").alias("bytes"))
-    rows = rows.select("doc_id", "start", F.sha2("bytes", 256).alias("content"))
-    place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")).cast("decimal(38,0)")
-    rows = rows.withColumn("place", place)
-    firsts = rows.groupBy("content").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    return rows.join(firsts, "content").filter("place > first").select("doc_id", F.col("start").cast("int"), F.lit(1).alias("n"))
+    rows = rows.select("doc_id", "name", (F.col("start") + F.col("offset")).alias("start"), F.expr(f"substring(part, offset + 1, {window})").alias("bytes"))
+    rows = rows.select("doc_id", "name", "start", F.sha2("bytes", 256).alias("content"))
+    keys = ["content", "doc_id", "name"]
+    own = rows.groupBy(*keys).agg(F.min("start").alias("own"), F.count(F.lit(1)).alias("times"))
+    firsts = own.groupBy("content").agg(F.min("doc_id").alias("first"), F.sum("times").alias("all")).filter(F.col("all") > 1).drop("all")
+    judged = materialize(own.join(firsts, "content").drop("times"), "windows")
+    return rows.join(judged, keys).filter("doc_id > first or start > own").select("doc_id", "name", F.col("start").cast("int"), F.lit(1).alias("n"))
 
 
 def repeated_ranges(docs: DataFrame, window: int, gram: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, n): runs of n windows from byte `start` that also start in an earlier document."""
+    """(doc_id, name, start, n): runs of n windows from byte `start` that also start in an earlier document."""
     spark = docs.sparkSession
     rows = materialize(repeated_blocks(byte_occurrences(docs, window, gram)), "blocks")
     judged = materialize(judged_blocks(rows), "judged")
-    found = judged.filter("doc_id > first").select("doc_id", "start", "n")
+    found = judged.filter("doc_id > first").select("doc_id", "name", "start", "n")
     edges = judged.filter("doc_id = first and contents > 1").withColumn("hot", F.col("contents") > hot)
     parts = materialize(_block_texts(docs, edges, window), "parts")
     cold = _expanded(parts.filter("not hot"), window, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -216,11 +223,11 @@ def remove(docs: DataFrame, window: int = 100, gram: int = GRAM, id_col: str = "
     doc_id, n_bytes, n_removed, n_spans, spans (array of byte ranges), kept (binary) and kept_sha256.
 
     Null and empty texts have no bytes; texts under `window` bytes are kept whole. Repeated rows (same
-    id and text) are judged alike, against other ids and themselves. Rows with a null id are compared
-    with none but themselves. Extra columns are ignored.
+    id and text) are judged alike, against other ids and themselves; different texts that share an id likewise,
+    each with its own places. Rows with a null id are compared with none but themselves. Extra columns are ignored.
     """
-    docs = _documents(docs, id_col, text_col)
-    ranges = repeated_ranges(docs.filter("doc_id is not null"), window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    docs = named(_documents(docs, id_col, text_col))
+    ranges = repeated_ranges(docs.filter("doc_id is not null"), window, gram).groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,4 +255,4 @@ def remove(docs: DataFrame, window: int = 100, gram: int = GRAM, id_col: str = "
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(part)), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
 
-    return docs.join(ranges, "doc_id", "left").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
+    return docs.join(ranges, ["doc_id", "name"], "left").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")

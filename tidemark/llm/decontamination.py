@@ -109,7 +109,7 @@ def _alignments(texts: DataFrame, items: DataFrame, literal: bool) -> DataFrame:
     texts = with_window_hashes(texts, "template", "hashes")
     if literal:
         texts = with_window_hashes(texts, "low", "literals")
-    texts = texts.select("doc_id", "slots", "hashes", *(["literals"] if literal else []))
+    texts = texts.select("doc_id", "name", "slots", "hashes", *(["literals"] if literal else []))
     # a window without slots is the same in both kinds and is looked up once
     asked = F.concat("hashes", F.zip_with("literals", "hashes", lambda a, b: F.when(a != b, a))) if literal else F.col("hashes")
     # a column of its own: higher-order functions inside the generator would keep it, and the join, out of generated
@@ -144,12 +144,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
     some alignment hold the item's own values) and contaminated (true).
 
     Null or empty texts and items match nothing; nor do those under five words without `literal`.
-    Repeated documents or items give one row a pair of ids; null ids are ids of their own. An empty table
+    Repeated documents or items give one row a pair of ids; null ids are ids of their own. Of different texts
+    that share an id each is judged by itself, and one that holds an item is enough. An empty table
     on either side gives an empty result. Extra columns are ignored.
     """
     every = materialize(benchmark_items(benchmark, item_col, item_text_col).filter(F.lit(True) if literal else ~F.col("literal")), "items")
     texts = templates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    texts = texts.withColumn("low", F.transform("words", lambda w: F.lower(w)))
+    # documents that share an id are judged each by its own words
+    texts = texts.withColumns({"low": F.transform("words", lambda w: F.lower(w)), "name": F.xxhash64("words")})
     # written: otherwise the nested functions below are put into each other again and again
     rows = materialize(_alignments(texts, every.filter(F.col("item_words") >= WINDOW), literal), "alignments")
     shift = F.col("shift")
@@ -171,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
     verbatim = (covered("matched") / F.col("item_words") >= least) & F.forall("item_slots", lambda t: inside("matched", t["place"]))
     exact = F.when(F.col("literal"), verbatim).otherwise(F.forall("pairs", lambda p: p["item"] == p["text"]))
     keys = ["doc_id", "item_id"]
-    found = rows.select(*keys, "item_words", "places", exact.alias("exact")).groupBy(*keys, "item_words").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.bool_or("exact").alias("exact"))
+    found = rows.select(*keys, "name", "item_words", "places", exact.alias("exact")).groupBy(*keys, "name", "item_words").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.bool_or("exact").alias("exact"))
     found = found.withColumn("coverage", covered("places") / F.col("item_words")).filter(F.col("coverage") >= least).select(*keys, "coverage", "exact")
     if literal:
         found = found.unionByName(_short(texts, every))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .relative_parse import _documents
+from .relative_parse import _documents, named
 from .store import arrow_batches, drop, materialize
 from .text import Texts, _mixed, grams, mix, signed, steps, trimmed, word_hashes, words
 
@@ -88,16 +88,16 @@ def _set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sized(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set_id): size and id of each document's shingle set."""
+    """(doc_id, name, n, set_id): size and id of each document's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch.column("text")):
                 text, hashes = shingles(part.lowered(), size)
                 first = np.searchsorted(text, np.arange(len(part) + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, len(part)), pa.array(np.diff(first), pa.int64()), pa.array(signed(_set_ids(hashes, first)))], ["doc_id", "n", "set_id"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, len(part)) for c in ("doc_id", "name")), pa.array(np.diff(first), pa.int64()), pa.array(signed(_set_ids(hashes, first)))], ["doc_id", "name", "n", "set_id"])
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, n long, set_id long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, name long, n long, set_id long")
 
 
 class _Run:
@@ -332,9 +332,9 @@ def voronoi(members: DataFrame, pivots: DataFrame, measured: DataFrame, radius:
 
 def _texts(docs: DataFrame, points: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_id, text) of the wanted sets x: one document stands for equal sets."""
-    near = materialize(points.join(wanted.select(F.col("x").alias("set_id")).distinct(), "set_id").select("set_id", "doc_id"), "near")
+    near = materialize(points.join(wanted.select(F.col("x").alias("set_id")).distinct(), "set_id").select("set_id", "doc_id", "name"), "near")
     listed = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-    texts = materialize(docs.join(listed, "doc_id").select("set_id", "text").dropDuplicates(["set_id"]), "texts")
+    texts = materialize(docs.join(listed, ["doc_id", "name"]).select("set_id", "text").dropDuplicates(["set_id"]), "texts")
     drop(near)
     return texts
 
@@ -406,14 +406,15 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets of
     lower-cased (A-Z) words; a text under `size` words is one shingle. component_id is the smallest id
-    reachable. Null or empty texts have no set and stay alone. Repeated rows give repeated results;
+    reachable. Null or empty texts have no set and stay alone. Repeated rows give repeated results; different
+    texts that share an id are documents each, linked by their own texts;
     rows with a null id take no part: their component is null. Extra columns are ignored. `direct` is
     the cost beyond which a region is split further; it does not change the result.
     """
-    docs = _documents(docs, id_col, text_col)
+    docs = named(_documents(docs, id_col, text_col))
     every = materialize(sized(docs, size), "sets")
     sets = every.filter("n > 0 and doc_id is not null")
-    points = materialize(sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "points")
+    points = materialize(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "name")).alias("least")).select("set_id", "least.*"), "points")
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART, 16)
     answers = answered(sent(docs.filter("doc_id is not null"), size, 1 << (parts - 1).bit_length()))
@@ -423,8 +424,8 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     members = materialize(seeds.join(common, "region", "left_semi").distinct(), "members")
     drop(seeds)
     found = linked(members, _texts(docs, points, members), size, percent, direct)
-    names = points.withColumnRenamed("doc_id", "least").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    named = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_id", "component_id")
+    names = points.select("set_id", F.col("doc_id").alias("least")).join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    known_as = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_id", "component_id")
     known = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))
-    out = every.select("doc_id", "n", known.alias("set_id")).join(named, "set_id", "left")
+    out = every.select("doc_id", "n", known.alias("set_id")).join(known_as, "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -29,13 +29,19 @@ from .store import materialize
 from .text import signed, steps, trimmed, window_hashes, word_hashes, words
 
 GRAM = 12
-OCCURRENCES = "anchor long, content long, doc_id long, start int, n int"
+#: `name` is a hash of the text: documents that share an id are told apart by it.
+OCCURRENCES = "anchor long, content long, doc_id long, name long, start int, n int"
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with `name`. Rows of one id and text are alike in everything."""
+    return docs.withColumn("name", F.xxhash64("text"))
+
+
 def merge_ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of ranges as maximal ones, in order."""
     if not len(start):
@@ -49,25 +55,25 @@ def merge_ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row for every block of every document; needs columns doc_id and text."""
+    """One row for every block of every document; needs columns doc_id, name and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "name"))
             for part in steps(batch.column("text")):
                 found = words(part)
                 got = blocks(word_hashes(part, found), found.first, window, gram)
-                yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor), "content": signed(got.content), "doc_id": ids[part.first + got.text].astype(np.int64), "start": got.start.astype(np.int32), "n": got.n.astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor), "content": signed(got.content), "doc_id": ids[part.first + got.text].astype(np.int64), "name": names[part.first + got.text].astype(np.int64), "start": got.start.astype(np.int32), "n": got.n.astype(np.int32)})
 
     return docs.mapInArrow(trimmed(run), OCCURRENCES)
 
 
 def _boundary_windows(texts: DataFrame, window: int) -> DataFrame:
-    """texts (doc_id, text, at: array of start, n, anchor) -> a row for each listed window with its hash."""
+    """texts (doc_id, name, text, at: array of start, n, anchor) -> a row for each listed window with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("at")
+            ids, names, at = *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "name")), batch.column("at")
             for part in steps(batch.column("text")):
                 found = words(part)
                 hashes = window_hashes(word_hashes(part, found), window)
@@ -78,7 +84,7 @@ def _boundary_windows(texts: DataFrame, window: int) -> DataFrame:
                 which = np.repeat(np.arange(len(n)), n)
                 first = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 base = found.first[text[which]] + first
-                yield pa.RecordBatch.from_pydict({"anchor": anchor[which].astype(np.int64), "content": signed(hashes[base]), "doc_id": ids[part.first + text[which]].astype(np.int64), "start": first.astype(np.int32), "n": np.ones(len(which), np.int32)})
+                yield pa.RecordBatch.from_pydict({"anchor": anchor[which].astype(np.int64), "content": signed(hashes[base]), "doc_id": ids[part.first + text[which]].astype(np.int64), "name": names[part.first + text[which]].astype(np.int64), "start": first.astype(np.int32), "n": np.ones(len(which), np.int32)})
 
     return texts.mapInArrow(trimmed(run), OCCURRENCES)
 
@@ -87,14 +93,14 @@ PHRASES = "array<struct<start:int,end:int,ref_doc:long,ref_start:int>>"
 
 
 def phrases(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, n, ref_doc, ref_start): runs of n windows from word `start` on that also start in the
+    """(doc_id, name, start, n, ref_doc, ref_start): runs of n windows from word `start` on that also start in the
     smaller document ref_doc, at its word ref_start."""
     rows = materialize(repeated_blocks(word_occurrences(docs, window, gram)), "blocks")
     judged = materialize(judged_blocks(rows), "judged")
-    columns = ["doc_id", "start", "n", F.col("first").alias("ref_doc"), F.col("first_start").alias("ref_start")]
+    columns = ["doc_id", "name", "start", "n", F.col("first").alias("ref_doc"), F.col("first_start").alias("ref_start")]
     found = judged.filter("doc_id > first").select(*columns)
-    edges = judged.filter("doc_id = first and contents > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("at"))
-    windows = materialize(_boundary_windows(docs.join(edges, "doc_id"), window), "windows")
+    edges = judged.filter("doc_id = first and contents > 1").groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("at"))
+    windows = materialize(_boundary_windows(docs.join(edges, ["doc_id", "name"]), window), "windows")
     index = windows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.max("doc_id").alias("last")).filter("least.doc_id < last")
     index = index.select("anchor", "content", F.col("least.doc_id").alias("first"), F.col("least.start").alias("first_start"))
     return found.unionByName(windows.join(index, ["anchor", "content"]).filter("doc_id > first").select(*columns))
@@ -136,11 +142,12 @@ def parse(docs: DataFrame, window: int = 50, gram: int = GRAM, id_col: str = "do
     one space) and kept_sha256.
 
     Null or empty texts have no words; a text shorter than `window` keeps all its words. Of repeated
-    rows (same doc_id and text) none counts as smaller than the other. Rows with a null id are
-    judged against no other and removed from nothing. Extra columns are ignored.
+    rows (same doc_id and text) none counts as smaller than the other, nor of different texts that share a
+    doc_id; each of these keeps its own words. Rows with a null id are judged against no other and removed
+    from nothing. Extra columns are ignored.
     """
-    docs = _documents(docs, id_col, text_col)
-    found = phrases(docs.filter("doc_id is not null"), window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("at"))
+    docs = named(_documents(docs, id_col, text_col))
+    found = phrases(docs.filter("doc_id is not null"), window, gram).groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("at"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,4 +166,4 @@ def parse(docs: DataFrame, window: int = 50, gram: int = GRAM, id_col: str = "do
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["factors"], kind), pa.array(out["kept"], pa.string()), pa.array(out["kept_sha256"], pa.string())], ["doc_id", *out])
 
-    return docs.join(found, "doc_id", "left").mapInArrow(trimmed(run), f"doc_id long, n_words long, n_removed long, factors {PHRASES}, kept string, kept_sha256 string")
+    return docs.join(found, ["doc_id", "name"], "left").mapInArrow(trimmed(run), f"doc_id long, n_words long, n_removed long, factors {PHRASES}, kept string, kept_sha256 string")
