@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..checkpoint import folder
-from ..operators import background, land, overlap, spatial
+from ..functions import ellipsoid
+from ..operators import background, land, overlap, spatial, tiles, warp
 from ..sources.keyed import KeyedTable
 from ..sources.tables import WINDOW_START, table
 from .areas import CROSSED, DRIFT, OFF, T, TILES, _drift, _islands, _tiles
@@ -79,7 +80,45 @@ def stored_states(s, d):
     return stored.read()
 
 
-QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states)}
+def _control(s, d):
+    """Twenty-five control points a scene, on a polynomial of the second order: a part a scene."""
+    k, i = F.col("p_partkey"), F.explode(F.sequence(F.lit(0), F.lit(24)))
+    rows = table(s, d, "part").select((k - 1).cast("int").alias("scene"), i.alias("i"))
+    x, y = (F.col("i") % 5) / 4.0, F.floor(F.col("i") / 5) / 4.0
+    row = 70.0 - 66.0 * y + 3.0 * x + 1.5 * x * y - 0.75 * x * x + 0.5 * y * y
+    col = -2.0 + 68.0 * x + 2.0 * y - 1.25 * x * y + 0.25 * x * x + F.col("scene") % 4
+    return rows.select("scene", row.alias("row"), col.alias("col"), (70.0 + x).alias("lon"), (15.0 + y).alias("lat"))
+
+
+def control_residuals(s, d):
+    points = _control(s, d).withColumn("row", F.col("row") + F.col("scene") / 8)
+    found = warp.residuals(points, warp.fitted(points))
+    return found.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("row_off")), 6).alias("row_off"), F.round(F.max(F.abs("col_off")), 6).alias("col_off"))
+
+
+def resampled_scenes(s, d):
+    areas = _tiles(s, d).select("scene").distinct().select("scene", F.lit(70.2).alias("w"), F.lit(15.15).alias("s"), F.lit(70.8).alias("e"), F.lit(15.75).alias("n"))
+    pixels = _tiles(s, d).withColumn("v", F.when(F.col("sea"), F.col("v") + 1).otherwise(0.0))
+    return rounded(warp.warped(pixels, _control(s, d), areas, 2500.0), digits=5)
+
+
+def tile_probabilities(s, d):
+    """With a scorer of single pixels overlapping tiles give what one formula gives."""
+    pixels = _tiles(s, d).select("scene", "r", "c", (F.col("v") / 8).alias("v"))
+    found = tiles.probabilities(pixels, lambda: lambda cells: cells / 4 - 1.5, 24, 8)
+    return rounded(found.join(pixels.select("scene", "r", "c"), ["scene", "r", "c"], "left_semi"))
+
+
+def ellipsoid_round_trip(s, d):
+    """From a supplier's place so many metres in a direction, and what the way back measures."""
+    k = F.col("s_suppkey")
+    rows = table(s, d, "supplier").select(k.alias("id"), (k * 7 % 360 - 179.5).alias("lon"), (k * 11 % 170 - 84.5).alias("lat"), (k * 13 % 360 + 0.25).alias("azimuth"), (1000.0 + k * 7919.0 % 4000000).alias("metres"))
+    there = rows.withColumn("to", ellipsoid.forward(F.col("lon"), F.col("lat"), F.col("azimuth"), F.col("metres")))
+    back = there.withColumn("g", ellipsoid.inverse(F.col("lon"), F.col("lat"), F.col("to.lon"), F.col("to.lat")))
+    return back.select("id", F.round("g.metres", 3).alias("metres"), F.round("g.azimuth", 6).alias("azimuth"))
+
+
+QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states, control_residuals, resampled_scenes, tile_probabilities, ellipsoid_round_trip)}
 
 CORNERS = """ob AS (SELECT o_orderkey AS id, 1704844800e0 + o_orderkey * 7200e0 AS t, 18e0 + (o_orderkey % 7) * 0.2e0 + (o_orderkey % 97) * 0.0013e0 AS lat, 71e0 + (o_orderkey % 5) * 0.3e0 + (o_orderkey % 89) * 0.0017e0 AS lon,
   0.05e0 + (o_orderkey % 3) * 0.05e0 AS half, 5 + o_orderkey % 4 AS n, CAST(o_totalprice AS DOUBLE) AS area FROM orders),
@@ -150,3 +189,13 @@ pr AS (SELECT pid, k, CASE WHEN count(*) FILTER ({CROSSED}) % 2 = 1 THEN 0e0 ELS
 SELECT pid AS id, count(*) AS n, round(min(d), 6) AS distance FROM pr WHERE d <= 0.5 GROUP BY pid""",
     "stored_states": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
 }
+_PLACE = "70 - 66 * y + 3 * x + 1.5 * x * y - 0.75 * x * x + 0.5 * y * y - 0.5 AS sy, -2 + 68 * x + 2 * y - 1.25 * x * y + 0.25 * x * x + scene % 4 - 0.5 AS sx"
+ORACLES |= {
+    "control_residuals": "SELECT CAST(p_partkey - 1 AS INT) AS scene, CAST(25 AS BIGINT) AS n, 0e0 AS row_off, 0e0 AS col_off FROM part",
+    "resampled_scenes": f"""WITH {TILES}, px AS (SELECT scene, r, c, v + 1 AS v FROM tl WHERE sea), sz AS (SELECT round(0.6e0 * 111320 * cos(radians((15.15e0 + 15.75e0) / 2)) / 2500) AS wd, round(0.6e0 * 111320 / 2500) AS ht),
+gd AS (SELECT CAST(p_partkey - 1 AS INT) AS scene, CAST(i AS BIGINT) AS gr, CAST(j AS BIGINT) AS gc, 0.2e0 + (j + 0.5e0) * 0.6e0 / wd AS x, 0.75e0 - (i + 0.5e0) * 0.6e0 / ht AS y FROM part, sz, range(64) a(i), range(64) b(j) WHERE p_partkey - 1 IN (SELECT scene FROM tl) AND i < ht AND j < wd),
+sp AS (SELECT scene, gr, gc, {_PLACE} FROM gd), nb AS (SELECT scene, gr, gc, CAST(floor(sy) + i AS INT) AS r, CAST(floor(sx) + j AS INT) AS c, (CASE WHEN i = 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) * (CASE WHEN j = 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) AS w FROM sp, range(2) a(i), range(2) b(j))
+SELECT scene, gr, gc, round(sum(w * v) / sum(w), 5) AS v FROM nb JOIN px USING (scene, r, c) WHERE w > 1e-9 GROUP BY ALL""",
+    "tile_probabilities": f"WITH {TILES} SELECT scene, r, c, round(1 / (1 + exp(-(v / 8 / 4 - 1.5e0))), 6) AS probability FROM tl",
+    "ellipsoid_round_trip": "SELECT s_suppkey AS id, 1000e0 + s_suppkey * 7919 % 4000000 AS metres, s_suppkey * 13 % 360 + 0.25e0 AS azimuth FROM supplier",
+}
