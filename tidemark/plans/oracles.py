@@ -98,13 +98,15 @@ fs AS (SELECT mmsi, exp(-greatest(ds, 0e0) / 5) AS spatial, coalesce(exp(-dth /
 sc AS (SELECT *, 100 * (0.25e0 * spatial + 0.25e0 * temporal + 0.15e0 * trajectory + 0.15e0 * sar_attached + 0.07e0 * vessel_type + 0.08e0 * behavior + 0.05e0 * ais_continuity) AS score FROM fs),
 best AS (SELECT mmsi, round(score, 5) AS score, CAST(row_number() OVER (ORDER BY round(score, 5) DESC, mmsi) AS INT) AS rank FROM sc QUALIFY rank <= 10)"""
 SCORED = ", ".join((FOUND, OIL, BEHAVE, CONT, SCORE))
-HIST = """lab AS (SELECT CAST((tq - 1704844800e0) / 3600 AS INT) AS label, px, py FROM cloud WHERE tq IN (1704844800e0, 1704866400e0, 1704931200e0)),
+PARTICLES = """cloud AS MATERIALIZED (SELECT 1704844800e0 + h * 3600e0 AS tq, CAST(p AS INT) AS pid, -30e0 + 1.1e0 * h + 6e0 * sin(p * 1.7e0) + 2e0 * sin(p * 0.37e0 + h) AS px, -10e0 + 0.6e0 * h + 6e0 * cos(p * 2.3e0) + 2e0 * cos(p * 0.53e0 + h) AS py
+  FROM (SELECT o_orderkey // 49 AS p, CAST(o_orderkey % 49 AS DOUBLE) AS h FROM orders))"""
+HIST = """lab AS (SELECT CAST(event_id % 3 AS INT) AS label, event_id * 37 % 1201 / 10e0 - 60 AS px, event_id * 53 % 803 / 10e0 - 40 AS py FROM events),
 hist AS (SELECT label, CAST(floor((px + 60) / 2) AS INT) AS ix, CAST(floor((py + 40) / 2) AS INT) AS iy, count(*) AS n FROM lab GROUP BY ALL)"""
 KDE = """ker AS (SELECT CAST(k AS INT) AS k, exp(-0.5e0 * pow(k / 1.5e0, 2)) / (SELECT sum(exp(-0.5e0 * pow(j / 1.5e0, 2))) FROM range(-6, 7) q(j)) AS w FROM range(-6, 7) r(k)),
 kx AS (SELECT label, ix + k AS ix, iy, sum(n * w) AS v FROM hist, ker GROUP BY ALL), kde AS (SELECT label, ix, iy + k AS iy, sum(v * w) AS density FROM kx, ker GROUP BY label, ix, iy + k)"""
-DRIFT = ", ".join((GRID, CLOUD, HIST, KDE))
+DRIFT = ", ".join((HIST, KDE))
 SHARE = "sh AS (SELECT label, ix, iy, n / sum(n) OVER (PARTITION BY label) AS p FROM hist)"
-PIX = """pix AS (SELECT CAST(i // 4096 AS INT) AS scene, CAST(i // 64 % 64 AS INT) AS r, CAST(i % 64 AS INT) AS c FROM range(8192) q(i)),
+PIX = """pix AS (SELECT CAST(o_orderkey // 1500 AS INT) AS scene, CAST(o_orderkey // 50 % 30 AS INT) AS r, CAST(o_orderkey % 50 AS INT) AS c FROM orders),
 px AS (SELECT *, CAST((r * 7919 + c * 104729 + scene * 31) % 101 AS DOUBLE) + CASE WHEN r % 23 = 7 AND c % 29 = 11 THEN 200e0 ELSE 0e0 END AS v FROM pix),
 mask AS (SELECT scene, r, c, CASE WHEN (r // 7 + c // 5 + scene) % 3 = 0 THEN 1 WHEN (r * 5 + c * 3) % 41 = 0 THEN 1 ELSE 0 END AS m FROM pix)"""
 LABELS = "g AS (SELECT scene, r, c, CAST(r AS BIGINT) * 4294967296 + c AS label FROM mask WHERE m = 1), t AS (SELECT * FROM g UNION SELECT b.scene, b.r, b.c, t.label FROM t JOIN g b ON b.scene = t.scene AND abs(b.r - t.r) <= 1 AND abs(b.c - t.c) <= 1 AND t.label < b.label), lb AS (SELECT scene, r, c, min(label) AS label FROM t GROUP BY ALL), sz AS (SELECT scene, label, count(*) AS n_pixels FROM lb GROUP BY ALL)"
@@ -112,7 +114,7 @@ DIST = lambda lon1, lat1, lon2, lat2: f"sqrt(pow(({lon2} - {lon1}) * 111.32e0 *
 BRG = lambda lon1, lat1, lon2, lat2: modulo(f"(degrees(atan2(({lon2} - {lon1}) * 111.32e0 * cos(radians(({lat1} + {lat2}) / 2)), ({lat2} - {lat1}) * 111.32e0)) + 360)")
 PORT = "ports(port, lon, lat) AS (VALUES " + ", ".join(f"('{n}', {x}e0, {y}e0)" for n, x, y in PORTS) + ")"
 SITE = "sites(site, kind, lon, lat, radius_km, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', {x}e0, {y}e0, {r}e0, {w})" for a, b, x, y, r, w in SITES) + ")"
-SLICK = "slicks AS (SELECT i AS spill_id, CAST(8 + (i * 5 % 14) AS DOUBLE) AS lat, CAST(70 + (i * 7 % 22) AS DOUBLE) AS lon, CAST(1 + i % 5 AS DOUBLE) AS radius_km, (i % 6) * 0.5e0 AS speed_kmh, CAST(i * 47 % 360 AS DOUBLE) AS bearing_deg FROM range(40) r(i))"
+SLICK = "slicks AS (SELECT i AS spill_id, CAST(8 + (i * 5 % 14) AS DOUBLE) AS lat, CAST(70 + (i * 7 % 22) AS DOUBLE) AS lon, CAST(1 + i % 5 AS DOUBLE) AS radius_km, (i % 6) * 0.5e0 AS speed_kmh, CAST(i * 47 % 360 AS DOUBLE) AS bearing_deg FROM (SELECT s_suppkey AS i FROM supplier))"
 BASIN = lambda x, y: f"CASE WHEN {x} >= 91 THEN 'AN' WHEN {y} < 8 AND {x} < 82.5 THEN 'S' WHEN {x} < 77.8 THEN 'W' ELSE 'E' END"
 SPILL = """sp AS (SELECT o_orderkey AS spill_id, o_totalprice * 300.1234567e0 AS area_m2, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 70 AS DOUBLE) END AS coast_km, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 120 AS DOUBLE) END AS eta,
   o_orderkey % 2 = 0 AS modelled, (o_orderkey % 9) / 10e0 AS exposure, o_orderkey % 4 AS nt, ['Heavy fuel oil', 'Marine diesel', 'UNKNOWN', 'medium crude'][o_orderkey % 4 + 1] AS oil, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 16 AS DOUBLE) END AS wind FROM orders),
@@ -145,7 +147,7 @@ ORACLES = {
     "track_quality": f"WITH {RAW}, {kin('fixes')} SELECT mmsi, count(*) AS n, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(median(dt_s), 6) AS median_interval_s FROM kin GROUP BY mmsi",
     "interp_at": f"WITH {RAW}, {GRID}, {INTERP} SELECT mmsi, tq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM interp",
     "nearest_frame": f"WITH {RAW} SELECT mmsi, t AS tq, (SELECT CAST(arg_min(i, (abs(f.t - 1704844800e0 - i * 21600e0), i)) AS INT) FROM range(9) r(i)) AS frame FROM fixes f WHERE t BETWEEN 1704844800 AND 1705017600",
-    "cloud_interp": f"WITH {GRID}, {CLOUD}, q AS (SELECT 1704844800e0 + i * 1000e0 AS tq FROM range(60) r(i)) SELECT q.tq, a.pid, round(a.px + (q.tq - a.tq) / 3600 * (b.px - a.px), 6) AS px, round(a.py + (q.tq - a.tq) / 3600 * (b.py - a.py), 6) AS py FROM q JOIN cloud a ON a.tq <= q.tq AND q.tq < a.tq + 3600 JOIN cloud b ON b.pid = a.pid AND b.tq = a.tq + 3600",
+    "cloud_interp": f"WITH {PARTICLES}, q AS (SELECT 1704844800e0 + i * 1000e0 AS tq, 1704844800e0 + i * 1000 // 3600 * 3600e0 AS t0 FROM range(60) r(i)) SELECT q.tq, a.pid, round(a.px + (q.tq - a.tq) / 3600 * (coalesce(b.px, a.px) - a.px), 6) AS px, round(a.py + (q.tq - a.tq) / 3600 * (coalesce(b.py, a.py) - a.py), 6) AS py FROM q JOIN cloud a ON a.tq = q.t0 LEFT JOIN cloud b ON b.pid = a.pid AND b.tq = q.t0 + 3600",
     "corridor_nn": f"WITH {FOUND} SELECT mmsi, tq, round(d_km, 6) AS d_km FROM near",
     "corridor_fraction": f"WITH {FOUND} SELECT mmsi, tq, n_near, round(fraction, 6) AS fraction FROM near",
     "region_distance": f"WITH {FOUND} SELECT mmsi, tq, round(d_region_km, 6) AS d_region_km FROM reg",
@@ -158,7 +160,7 @@ ORACLES = {
     "separation": f"WITH {SCORED} SELECT a.mmsi, a.score, round(a.score - b.score, 5) AS margin, coalesce(a.score - b.score, 100e0) >= 10 AS separated FROM best a LEFT JOIN best b ON b.rank = 2 WHERE a.rank = 1",
     "triage": f"WITH {COMP} SELECT scene, component_id, CASE WHEN o + 0.5 - l >= 1.5 THEN 'OIL_LIKELY' WHEN l - o - 0.5 >= 1.5 THEN 'LOOKALIKE_LIKELY' ELSE 'UNCERTAIN' END AS label, o + 0.5e0 AS oil_points, l AS lookalike_points, ship_trail, round(o + 0.5e0 - l + pr, 3) AS triage_score, CAST(row_number() OVER (PARTITION BY scene ORDER BY round(o + 0.5e0 - l + pr, 3) DESC, component_id) AS INT) AS triage_rank FROM tg1",
     "triage_counts": f"WITH {COMP} SELECT CASE WHEN o - l - 1.5 >= 1.5 THEN 'OIL_LIKELY' WHEN l + 1.5 - o >= 1.5 THEN 'LOOKALIKE_LIKELY' ELSE 'UNCERTAIN' END AS label, count(*) AS n, count(*) FILTER (ship_trail) AS trails FROM tg1 GROUP BY 1",
-    "robustness": """WITH fac AS (SELECT i, CAST(419000000 + i AS VARCHAR) AS mmsi, CAST(i + 1 AS INT) AS base_rank, j, ((i * 7 + j * 5) % 11) / 10e0 AS v FROM range(8) a(i), range(4) b(j)), w AS (SELECT s, j, (s * (17 + 6 * j) + 11 * j) % 97 / 97e0 AS w FROM range(400) a(s), range(4) b(j)),
+    "robustness": """WITH fac AS (SELECT i, CAST(419000000 + i AS VARCHAR) AS mmsi, CAST(i + 1 AS INT) AS base_rank, j, ((i * 7 + j * 5) % 11) / 10e0 AS v FROM (SELECT s_suppkey AS i FROM supplier) a, range(4) b(j)), w AS (SELECT s, j, (s * (17 + 6 * j) + 11 * j) % 97 / 97e0 AS w FROM range(400) a(s), range(4) b(j)),
 sc AS (SELECT s, mmsi, base_rank, round(sum(v * w) / sum(w), 9) AS x FROM fac JOIN w USING (j) WHERE w > 0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY x DESC, base_rank) AS r FROM sc)
 SELECT mmsi, base_rank, round(avg(CAST(r = 1 AS INT)), 6) AS p_first, round(avg(CAST(r <= 3 AS INT)), 6) AS p_top3, CAST(floor(quantile_cont(r, 0.05)) AS INT) AS rank_p05, CAST(floor(quantile_cont(r, 0.95)) AS INT) AS rank_p95, CASE WHEN base_rank = 1 THEN CASE WHEN avg(CAST(r = 1 AS INT)) >= 0.8 THEN 'ROBUST' WHEN avg(CAST(r = 1 AS INT)) >= 0.5 THEN 'LIKELY' ELSE 'CONTESTED' END END AS verdict FROM rk GROUP BY mmsi, base_rank""",
     "hist2d": f"WITH {DRIFT} SELECT label, ix, iy, n FROM hist",
@@ -166,12 +168,12 @@ SELECT mmsi, base_rank, round(avg(CAST(r = 1 AS INT)), 6) AS p_first, round(avg(
     "mass_maps": f"WITH {DRIFT}, m AS (SELECT label, ix, iy, density / sum(density) OVER (PARTITION BY label) AS p FROM kde) SELECT ix, iy, round(sum(p) / 3, 9) AS p FROM m GROUP BY ix, iy",
     "hdr": f"WITH {DRIFT}, {SHARE}, o AS (SELECT *, sum(p) OVER (PARTITION BY label ORDER BY p DESC, ix, iy ROWS UNBOUNDED PRECEDING) - p AS before FROM sh), e AS (SELECT label, min(p) FILTER (before < 0.7995) AS edge FROM o GROUP BY label) SELECT label, ix, iy, round(p, 9) AS p FROM o JOIN e USING (label) WHERE p >= edge",
     "centre_spread": f"WITH {DRIFT}, {SHARE}, s AS (SELECT label, sum(p * x) / sum(p) AS cx, sum(p * y) / sum(p) AS cy, sum(p * x * x) / sum(p) AS xx, sum(p * y * y) / sum(p) AS yy FROM (SELECT *, -60e0 + (ix + 0.5e0) * 2 AS x, -40e0 + (iy + 0.5e0) * 2 AS y FROM sh) GROUP BY label) SELECT label, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(greatest(0e0, xx - cx * cx + yy - cy * cy)), 6) AS spread FROM s",
-    "fill_stranded": f"WITH {GRID}, {CLOUD}, g AS (SELECT pid, CAST((tq - 1704844800e0) / 3600 AS INT) AS step, px, py FROM cloud), n AS (SELECT *, step > 0 AND (step + pid) % 4 = 3 AS gone FROM g) SELECT a.pid, a.step, round(CASE WHEN a.gone THEN b.px ELSE a.px END, 6) AS px, round(CASE WHEN a.gone THEN b.py ELSE a.py END, 6) AS py FROM n a LEFT JOIN n b ON a.pid = b.pid AND b.step = a.step - 1",
+    "fill_stranded": f"WITH {PARTICLES}, g AS (SELECT pid, CAST((tq - 1704844800e0) / 3600 AS INT) AS step, px, py FROM cloud), n AS (SELECT pid, step, CASE WHEN step = 0 OR (step + pid) % 4 <> 3 THEN px END AS px, CASE WHEN step = 0 OR (step + pid) % 4 <> 3 THEN py END AS py FROM g) SELECT pid, step, round(coalesce(px, lag(px) OVER w), 6) AS px, round(coalesce(py, lag(py) OVER w), 6) AS py FROM n WINDOW w AS (PARTITION BY pid ORDER BY step)",
     "advect": "WITH RECURSIVE a AS (SELECT CAST(i % 6 AS INT) AS member, i AS pid, 0 AS step, CAST((i * 13) % 20 - 10 AS DOUBLE) AS x, CAST((i * 7) % 20 - 10 AS DOUBLE) AS y, 0.02e0 + 0.004e0 * (i % 6) AS f FROM range(300) r(i) UNION ALL SELECT member, pid, step + 1, x + 1e0 * (0.5e0 - 0.02e0 * y + f * 6e0), y + 1e0 * (0.1e0 + 0.02e0 * x + f * -3e0), f FROM a WHERE step < 24) SELECT member, pid, step, round(x, 6) AS x, round(y, 6) AS y FROM a",
-    "field_sample": """WITH f AS (SELECT i // 121 AS it, i // 11 % 11 AS iy, i % 11 AS ix FROM range(726) r(i)), p AS (SELECT i AS id, i % 40 / 9e0 AS ft, i * 7 % 80 / 9e0 AS fy, i * 11 % 80 / 9e0 AS fx FROM range(500) r(i)),
+    "field_sample": """WITH f AS (SELECT i // 121 AS it, i // 11 % 11 AS iy, i % 11 AS ix FROM range(726) r(i)), p AS (SELECT i AS id, i % 40 / 9e0 AS ft, i * 7 % 80 / 9e0 AS fy, i * 11 % 80 / 9e0 AS fx FROM (SELECT event_id AS i FROM events)),
 w AS (SELECT id, greatest(0e0, 1 - abs(ft - it)) * greatest(0e0, 1 - abs(fy - iy)) * greatest(0e0, 1 - abs(fx - ix)) AS w, 0.1e0 * it + 0.3e0 * iy * ix AS u, 1e0 * it - 0.2e0 * ix AS v FROM p JOIN f ON abs(ft - it) < 1 AND abs(fy - iy) < 1 AND abs(fx - ix) < 1) SELECT id, round(sum(w * u), 6) AS u, round(sum(w * v), 6) AS v FROM w GROUP BY id""",
-    "coverage": """WITH f AS (SELECT 'om_' || i AS file, 68e0 + i % 5 AS w, 15e0 + i % 4 AS s, 72e0 + i % 7 AS e, 19e0 + i % 5 AS n, 1704844800e0 - (i % 3) * 86400e0 AS t0, 1704844800e0 + (i % 6) * 86400e0 AS t1 FROM range(60) r(i)),
-q AS (SELECT i AS rid, floor((70.1e0 + (i % 9) * 0.2e0) * 4) / 4 AS w, floor((16.3e0 + (i % 5) * 0.3e0) * 4) / 4 AS s, ceil((72.4e0 + (i % 7) * 0.6e0) * 4) / 4 AS e, ceil((18.2e0 + (i % 4) * 0.7e0) * 4) / 4 AS n, floor((1704844800e0 + (i % 10) * 3600e0) / 86400) * 86400 AS t0, ceil((1704844800e0 + 3600e0 * (12 + i % 60)) / 86400) * 86400 AS t1 FROM range(80) r(i))
+    "coverage": """WITH f AS (SELECT 'om_' || i AS file, 68e0 + i % 5 AS w, 15e0 + i % 4 AS s, 72e0 + i % 7 AS e, 19e0 + i % 5 AS n, 1704844800e0 - (i % 3) * 86400e0 AS t0, 1704844800e0 + (i % 6) * 86400e0 AS t1 FROM (SELECT s_suppkey AS i FROM supplier)),
+q AS (SELECT i AS rid, floor((70.1e0 + (i % 9) * 0.2e0) * 4) / 4 AS w, floor((16.3e0 + (i % 5) * 0.3e0) * 4) / 4 AS s, ceil((72.4e0 + (i % 7) * 0.6e0) * 4) / 4 AS e, ceil((18.2e0 + (i % 4) * 0.7e0) * 4) / 4 AS n, floor((1704844800e0 + (i % 10) * 3600e0) / 86400) * 86400 AS t0, ceil((1704844800e0 + 3600e0 * (12 + i % 60)) / 86400) * 86400 AS t1 FROM (SELECT p_partkey AS i FROM part))
 SELECT rid, arg_min(f.file, ((f.e - f.w) * (f.n - f.s), f.file)) FILTER (f.file IS NOT NULL) AS file FROM q LEFT JOIN f ON f.w <= q.w AND f.s <= q.s AND f.e >= q.e AND f.n >= q.n AND f.t0 <= q.t0 AND f.t1 >= q.t1 GROUP BY rid""",
     "severity": f"WITH {SPILL} SELECT spill_id, round(size, 6) AS size, round(coast, 6) AS coast, round(beaching, 6) AS beaching, round(sensitivity, 6) AS sensitivity, round(persistence, 6) AS persistence, round(score, 6) AS score, level, round(tonnes, 6) AS tonnes, tier_low, tier, tier_high FROM sev",
     "action_rules": f"WITH {SPILL}, r AS (" + " UNION ALL ".join(f"SELECT spill_id, {p} AS priority, '{a}' AS action, {h}e0 AS deadline_h FROM sev WHERE {c}" for p, a, h, c in (
@@ -198,8 +200,8 @@ SELECT id_a, id_b, round(hours, 6) AS hours, round(d, 6) AS d_km, round(dir, 6)
     "manifest_chain": f"WITH {MAN} SELECT bundle // 8 AS analysis, bundle, sha256(coalesce(lag(root) OVER (PARTITION BY bundle // 8 ORDER BY bundle), '') || '|' || root) AS chain FROM roots",
     "manifest_verify": f"WITH {MAN} SELECT bundle, path, CASE WHEN k % 17 = 0 THEN 'missing' WHEN k % 13 = 0 THEN 'modified' ELSE 'ok' END AS status FROM man UNION ALL SELECT bundle, path || '.new', 'added' FROM man WHERE k % 29 = 0",
     "components": f"WITH RECURSIVE {PIX}, g AS (SELECT scene, r, c, CAST(r AS BIGINT) * 4294967296 + c AS label FROM mask WHERE m = 1), t AS (SELECT * FROM g UNION SELECT b.scene, b.r, b.c, t.label FROM t JOIN g b ON b.scene = t.scene AND abs(b.r - t.r) <= 1 AND abs(b.c - t.c) <= 1 AND t.label < b.label) SELECT scene, r, c, min(label) AS label FROM (SELECT * FROM t) GROUP BY scene, r, c",
-    "cfar": f"""WITH {PIX}, axis AS (SELECT i, CASE WHEN i < 0 THEN -1 - i WHEN i > 63 THEN 127 - i ELSE i END AS at FROM range(-12, 76) q(i)),
-pad AS (SELECT px.scene, y.i AS r, x.i AS c, px.v FROM px JOIN axis y ON y.at = px.r JOIN axis x ON x.at = px.c),
+    "cfar": f"""WITH {PIX}, down AS (SELECT i, CASE WHEN i < 0 THEN -1 - i WHEN i > 29 THEN 59 - i ELSE i END AS at FROM range(-12, 42) q(i)), axis AS (SELECT i, CASE WHEN i < 0 THEN -1 - i WHEN i > 49 THEN 99 - i ELSE i END AS at FROM range(-12, 62) q(i)),
+pad AS (SELECT px.scene, y.i AS r, x.i AS c, px.v FROM px JOIN down y ON y.at = px.r JOIN axis x ON x.at = px.c),
 s AS (SELECT a.scene, a.r, a.c, a.v, count(*) AS n, sum(b.v) AS s, sum(b.v * b.v) AS q FROM px a JOIN pad b ON a.scene = b.scene AND abs(a.r - b.r) <= 12 AND abs(a.c - b.c) <= 12 AND NOT (abs(a.r - b.r) <= 4 AND abs(a.c - b.c) <= 4) GROUP BY ALL),
 m AS (SELECT scene, r, c, v, s / n AS mean, sqrt(greatest(1e-9, q / n - (s / n) * (s / n))) AS sd FROM s) SELECT scene, r, c, v, round(mean, 6) AS mean, round(sd, 6) AS sd FROM m WHERE v > least(mean + 4 * sd, 254.5e0)""",
     "sized_components": f"WITH RECURSIVE {PIX}, {LABELS} SELECT lb.*, n_pixels FROM lb JOIN sz USING (scene, label) WHERE n_pixels BETWEEN 3 AND 400",
@@ -218,22 +220,25 @@ SELECT scene, label, round(around - inside, 6) AS contrast, round((around - insi
     "upsert_latest": f"WITH {STATES}, a AS ({LAST(f'ts IS NULL OR ts < {UPSERT_FROM}')}), b AS ({LAST(f'ts >= {UPSERT_FROM}')}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE user_id NOT IN (SELECT user_id FROM b)",
     "provenance_mix": "WITH p AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'LOCAL_FILE' ELSE ['REAL', 'SYNTHETIC', 'LOCAL_FILE'][event_id % 3 + 1] END AS p FROM events) SELECT user_id, CASE WHEN count(*) > 1 THEN 'MIXED:' ELSE '' END || string_agg(p, ',' ORDER BY p) AS provenance FROM p GROUP BY user_id",
     "search_window": f"WITH {RAW}, {GRID}, {INTERP}, b AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM interp) SELECT round(w - 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS w, round(s - 40 / 111.32e0, 6) AS s, round(e + 40 / 111.32e0 / cos(radians((s + n) / 2)), 6) AS e, round(n + 40 / 111.32e0, 6) AS n, 1705017600e0 - 54 * 3600 AS t0, 1705017600e0 + 6 * 3600 AS t1 FROM b",
-    "drift_vector": f"WITH {GRID}, {CLOUD}, c AS (SELECT tq, avg(px) AS x, avg(py) AS y FROM cloud GROUP BY tq), a AS (SELECT (SELECT x FROM c ORDER BY tq LIMIT 1) AS x0, (SELECT y FROM c ORDER BY tq LIMIT 1) AS y0, (SELECT x FROM c ORDER BY tq DESC LIMIT 1) AS x1, (SELECT y FROM c ORDER BY tq DESC LIMIT 1) AS y1) SELECT round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / 48, 6) AS speed_kmh, round({modulo('(degrees(atan2(x1 - x0, y1 - y0)) + 360)')}, 6) AS bearing_deg FROM a",
-    "scene_search": """WITH q AS (SELECT 'S' || i AS scene, 1704844800e0 + (i * 37 % 91) * 3600e0 AS t, 66e0 + i % 9 AS w, 14e0 + i % 6 AS s, 69e0 + i % 9 AS e, 16.5e0 + i % 6 AS n FROM range(90) r(i) WHERE i % 5 <> 0 AND i % 4 <> 0),
+    "drift_vector": f"WITH {PARTICLES}, c AS (SELECT tq, avg(px) AS x, avg(py) AS y FROM cloud GROUP BY tq), a AS (SELECT (SELECT x FROM c ORDER BY tq LIMIT 1) AS x0, (SELECT y FROM c ORDER BY tq LIMIT 1) AS y0, (SELECT x FROM c ORDER BY tq DESC LIMIT 1) AS x1, (SELECT y FROM c ORDER BY tq DESC LIMIT 1) AS y1) SELECT round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / 48, 6) AS speed_kmh, round({modulo('(degrees(atan2(x1 - x0, y1 - y0)) + 360)')}, 6) AS bearing_deg FROM a",
+    "scene_search": """WITH q AS (SELECT 'S' || i AS scene, 1704844800e0 + (i * 37 % 91) * 3600e0 AS t, 66e0 + i % 9 AS w, 14e0 + i % 6 AS s, 69e0 + i % 9 AS e, 16.5e0 + i % 6 AS n FROM (SELECT p_partkey AS i FROM part) WHERE i % 5 <> 0 AND i % 4 <> 0),
 c AS (SELECT scene, t, greatest(0e0, least(e, 72e0) - greatest(w, 70e0)) * greatest(0e0, least(n, 18e0) - greatest(s, 17e0)) / 2 AS coverage FROM q) SELECT scene, t, round(coverage, 6) AS coverage FROM c WHERE coverage > 0""",
-    "scene_clip": """WITH q AS (SELECT i AS rid, 70e0 + i % 7 * 0.31e0 AS w, 17e0 + i % 5 * 0.29e0 AS s, 71e0 + i % 7 * 0.31e0 AS e, 17.8e0 + i % 5 * 0.29e0 AS n FROM range(70) r(i)),
+    "scene_clip": """WITH q AS (SELECT i AS rid, 70e0 + i % 7 * 0.31e0 AS w, 17e0 + i % 5 * 0.29e0 AS s, 71e0 + i % 7 * 0.31e0 AS e, 17.8e0 + i % 5 * 0.29e0 AS n FROM (SELECT p_partkey AS i FROM part)),
 c AS (SELECT *, greatest(0e0, least(e, 72.2e0) - greatest(w, 70.1e0)) * greatest(0e0, least(n, 18.6e0) - greatest(s, 17.1e0)) / ((e - w) * (n - s)) AS share FROM q), v AS (SELECT *, CASE WHEN share < 0.05 THEN 'outside' WHEN share > 0.95 THEN 'whole' ELSE 'clipped' END AS verdict FROM c)
 SELECT rid, round(share, 6) AS share, verdict, round(CASE WHEN verdict = 'clipped' THEN greatest(w, 70.1e0) ELSE w END, 6) AS ow, round(CASE WHEN verdict = 'clipped' THEN greatest(s, 17.1e0) ELSE s END, 6) AS os, round(CASE WHEN verdict = 'clipped' THEN least(e, 72.2e0) ELSE e END, 6) AS oe, round(CASE WHEN verdict = 'clipped' THEN least(n, 18.6e0) ELSE n END, 6) AS "on" FROM v""",
-    "georeference": """WITH q AS (SELECT i AS image, 500 + i * 13 AS width, 400 + i * 7 AS height, 70e0 + i % 9 * 0.1e0 AS w, 16e0 + i % 7 * 0.2e0 AS s, 70.6e0 + i % 8 * 0.1e0 AS e, 16.7e0 + i % 7 * 0.2e0 AS n FROM range(50) r(i)), m AS (SELECT *, cos(radians((s + n) / 2)) AS k FROM q WHERE w < e)
+    "georeference": """WITH q AS (SELECT i AS image, 500 + i * 13 AS width, 400 + i * 7 AS height, 70e0 + i % 9 * 0.1e0 AS w, 16e0 + i % 7 * 0.2e0 AS s, 70.6e0 + i % 8 * 0.1e0 AS e, 16.7e0 + i % 7 * 0.2e0 AS n FROM (SELECT s_suppkey AS i FROM supplier)), m AS (SELECT *, cos(radians((s + n) / 2)) AS k FROM q WHERE w < e)
 SELECT image, round((e - w) / width, 7) AS dx, round(-((n - s) / height), 7) AS dy, round(((e - w) / width * 111320 * k + (n - s) / height * 111320) / 2, 7) AS pixel_m, CAST(ceil((e - w) * 111320e0 * k / 10) AS BIGINT) AS columns, CAST(ceil((n - s) * 111320e0 * 1e0 / 10) AS BIGINT) AS rows FROM m""",
-    "release_window": "WITH h(h) AS (VALUES (0e0), (0.5e0), (1e0), (3e0), (6e0), (12e0), (24e0), (36e0), (48e0)), q AS (SELECT i AS spill_id, h FROM range(60) r(i), h WHERE h >= i OR i > 48) SELECT spill_id, CAST(count(*) AS INT) AS n, min(h) AS first, sum(h) AS total FROM q GROUP BY spill_id",
+    "release_window": "WITH h(h) AS (VALUES (0e0), (0.5e0), (1e0), (3e0), (6e0), (12e0), (24e0), (36e0), (48e0)), q AS (SELECT i AS spill_id, h FROM (SELECT p_partkey AS i FROM part), h WHERE h >= i % 60 OR i % 60 > 48) SELECT spill_id, CAST(count(*) AS INT) AS n, min(h) AS first, sum(h) AS total FROM q GROUP BY spill_id",
     "drift_reach": "WITH p AS (SELECT user_id % 20 AS area, quantile_cont(value / 500e0, 0.95) AS p95 FROM events GROUP BY 1) SELECT area, round(p95, 6) AS p95, round(least(0.5e0, greatest(0.15e0, 1.3e0 * p95)), 6) AS reach FROM p",
     "synthetic_forcing": "WITH q AS (SELECT CAST(i // 80 AS INT) AS it, CAST(i // 10 % 8 AS INT) AS iy, CAST(i % 10 AS INT) AS ix FROM range(2000) r(i)) SELECT it, iy, ix, round(0.3e0 + 0.1e0 * sin(ix * 0.5e0 + iy * 0.25e0) + 0.15e0 * sin(it * (2 * pi() / 12.42e0)), 6) AS u, round(-0.1e0 + 0.1e0 * cos(iy * 0.5e0) + 0.05e0 * sin(it * (2 * pi() / 24)), 6) AS v FROM q",
-    "tile_merge": """WITH q AS (SELECT i // 1024 // 2 * 24 AS tr, i // 1024 % 2 * 24 AS tc, i // 32 % 32 AS a, i % 32 AS b FROM range(4096) r(i)), z AS (SELECT *, tr + a AS r, tc + b AS c, greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * a / 31)) * greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * b / 31)) AS w FROM q),
-m AS (SELECT r, c, sum(w * (((r * 31 + c * 17 + tr + tc) % 23 - 11) / 4e0)) / sum(w) AS z FROM z GROUP BY r, c) SELECT 0 AS scene, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(1 / (1 + exp(-z)), 6) AS probability FROM m""",
+    "tile_merge": """WITH q AS (SELECT o_orderkey // 4096 AS scene, o_orderkey // 1024 % 4 // 2 * 24 AS tr, o_orderkey // 1024 % 2 * 24 AS tc, o_orderkey // 32 % 32 AS a, o_orderkey % 32 AS b FROM orders), z AS (SELECT *, tr + a AS r, tc + b AS c, greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * a / 31)) * greatest(1e-3, 0.5e0 - 0.5e0 * cos(2 * pi() * b / 31)) AS w FROM q),
+m AS (SELECT scene, r, c, sum(w * (((r * 31 + c * 17 + tr + tc) % 23 - 11) / 4e0)) / sum(w) AS z FROM z GROUP BY scene, r, c) SELECT CAST(scene AS INT) AS scene, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(1 / (1 + exp(-z)), 6) AS probability FROM m""",
     "calibration": "WITH t AS (SELECT p_partkey % 12 AS scene, p_partkey AS setting, p_partkey * 7 % 100 / 100e0 AS recall, p_size % 20 / 100e0 AS fp FROM part) SELECT scene, setting, round(recall, 6) AS recall, round(fp, 6) AS false_positive FROM t QUALIFY row_number() OVER (PARTITION BY scene ORDER BY round(recall - 4 * fp, 9) DESC, setting) = 1",
-    "component_targets": """WITH b AS (SELECT p_partkey % 4 AS scene, p_partkey AS component_id, p_partkey * 17 % 90 + 0.25e0 AS x0, p_partkey * 23 % 80 + 0.25e0 AS y0 FROM part), t AS (SELECT i % 4 AS scene, CAST(i * 29 % 91 AS DOUBLE) AS x, CAST(i * 31 % 83 AS DOUBLE) AS y FROM range(400) r(i)),
+    "component_targets": """WITH b AS (SELECT p_partkey % 4 AS scene, p_partkey AS component_id, p_partkey * 17 % 90 + 0.25e0 AS x0, p_partkey * 23 % 80 + 0.25e0 AS y0 FROM part), t AS (SELECT i % 4 AS scene, CAST(i * 29 % 91 AS DOUBLE) AS x, CAST(i * 31 % 83 AS DOUBLE) AS y FROM (SELECT s_suppkey AS i FROM supplier)),
 d AS (SELECT b.scene, component_id, sqrt(pow(greatest(0e0, x0 - x, x - x0 - 1.5e0), 2) + pow(greatest(0e0, y0 - y, y - y0 - 1e0), 2)) AS k FROM b JOIN t USING (scene)) SELECT scene, component_id, round(min(k) FILTER (k <= 3), 6) AS target_km FROM d GROUP BY scene, component_id""",
     "component_stats": f"WITH RECURSIVE {PIX}, g AS (SELECT scene, r, c, CAST(r AS BIGINT) * 4294967296 + c AS label FROM mask WHERE m = 1), t AS (SELECT * FROM g UNION SELECT b.scene, b.r, b.c, t.label FROM t JOIN g b ON b.scene = t.scene AND abs(b.r - t.r) + abs(b.c - t.c) <= 1 AND t.label < b.label), l AS (SELECT scene, r, c, min(label) AS label FROM t GROUP BY scene, r, c) SELECT scene, label, count(*) AS n_pixels, round(avg(r), 6) AS row, round(avg(c), 6) AS col, max(v) AS peak, round(avg(v), 6) AS mean_v, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM l JOIN px USING (scene, r, c) GROUP BY scene, label",
-    "position_format": f"WITH {SLICK}, p AS (SELECT spill_id, lat + 0.2567e0 AS a, lon - spill_id * 3.337e0 AS o FROM slicks), t AS (SELECT spill_id, a, o, CAST(round(abs(a) * 600) AS BIGINT) AS ta, CAST(round(abs(o) * 600) AS BIGINT) AS t_o FROM p) SELECT spill_id, printf('%02d°%04.1f''%s %03d°%04.1f''%s', ta // 600, (ta % 600) / 10e0, CASE WHEN a >= 0 THEN 'N' ELSE 'S' END, t_o // 600, (t_o % 600) / 10e0, CASE WHEN o >= 0 THEN 'E' ELSE 'W' END) AS position FROM t",
+    "position_format": f"WITH {SLICK}, p AS (SELECT spill_id, lat + 0.2567e0 AS a, lon - spill_id % 60 * 3.337e0 AS o FROM slicks), t AS (SELECT spill_id, a, o, CAST(round(abs(a) * 600) AS BIGINT) AS ta, CAST(round(abs(o) * 600) AS BIGINT) AS t_o FROM p) SELECT spill_id, printf('%02d°%04.1f''%s %03d°%04.1f''%s', ta // 600, (ta % 600) / 10e0, CASE WHEN a >= 0 THEN 'N' ELSE 'S' END, t_o // 600, (t_o % 600) / 10e0, CASE WHEN o >= 0 THEN 'E' ELSE 'W' END) AS position FROM t",
+    "polygon_points": """WITH c AS (SELECT p_partkey AS k, i, p_partkey % 40 + (4 + p_partkey % 5) * cos(i * 2.5e0 + p_partkey % 7) AS x, p_partkey % 30 + (2 + i) * sin(i * 2.5e0) AS y FROM part, range(5) q(i)),
+b AS (SELECT k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c GROUP BY k), g AS (SELECT k, CAST(n AS INT) AS i, x0 + (n * 0.7548776662466927e0 - floor(n * 0.7548776662466927e0)) * (x1 - x0) AS x, y0 + (n * 0.5698402909980532e0 - floor(n * 0.5698402909980532e0)) * (y1 - y0) AS y FROM b, range(1, 21) q(n)),
+s AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM c a JOIN c b ON a.k = b.k AND b.i = (a.i + 1) % 5) SELECT k AS ring, i, round(x, 6) AS x, round(y, 6) AS y FROM g JOIN s USING (k) GROUP BY k, i, x, y HAVING count(*) FILTER ((ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax) % 2 = 1""",
 }

@@ -20,6 +20,11 @@ UPSERT_FROM = "2024-01-16 00:00:00"
 REGION = [(-35.0, -20.0), (-10.0, -22.0), (0.0, -5.0), (-12.0, 8.0), (-32.0, 4.0)]
 
 
+def numbered(s: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """The keys of a table as `id`: a row of input for each of its rows."""
+    return tables.table(s, d, name).select(F.col(key).alias("id"))
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in names or [c for c, t in df.dtypes if t == "double"]})
 
@@ -101,12 +106,21 @@ def nearest_frame(s, d):
     return corridor.nearest_frame(fixes(s, d).filter(F.col("t").between(WINDOW_START, WINDOW_END)).select("mmsi", F.col("t").alias("tq")), WINDOW_START, 21600.0, steps)
 
 
+def _particles(s, d):
+    """Drifting particles, an order an hourly position: forty-nine hours a particle, in the local plane (km)."""
+    k = F.col("o_orderkey")
+    p, h = F.floor(k / 49), (k % 49).cast("double")
+    return tables.table(s, d, "orders").select(
+        (WINDOW_START + h * STEP_S).alias("tq"), p.cast("int").alias("pid"), (-30.0 + 1.1 * h + 6.0 * F.sin(p * 1.7) + 2.0 * F.sin(p * 0.37 + h)).alias("px"), (-10.0 + 0.6 * h + 6.0 * F.cos(p * 2.3) + 2.0 * F.cos(p * 0.53 + h)).alias("py"),
+    )
+
+
 def _between_steps(s):
     return s.range(60).select((F.lit(WINDOW_START) + F.col("id") * 1000.0).alias("tq"))
 
 
 def cloud_interp(s, d):
-    return rounded(corridor.cloud_at(tables.particle_cloud(s), _between_steps(s), STEP_S))
+    return rounded(corridor.cloud_at(_particles(s, d), _between_steps(s), STEP_S))
 
 
 def corridor_nn(s, d):
@@ -209,42 +223,46 @@ def triage_counts(s, d):
 
 
 def robustness(s, d):
-    factors = s.createDataFrame([(str(419000000 + i), i + 1, f, ((i * 7 + j * 5) % 11) / 10) for i in range(8) for j, f in enumerate(("spatial", "temporal", "trajectory", "type"))], "mmsi string, base_rank int, factor string, value double")
+    k = F.col("s_suppkey")
+    parts = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), ((k * 7 + 5 * j) % 11 / 10.0).alias("value")) for j, f in enumerate(("spatial", "temporal", "trajectory", "type"))))).alias("p")
+    factors = tables.table(s, d, "supplier").select((F.lit(419000000) + k).cast("string").alias("mmsi"), (k + 1).cast("int").alias("base_rank"), parts).select("mmsi", "base_rank", "p.*")
     n = F.col("id")
     w = s.range(400).select(n.alias("sample"), F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), ((n * (17 + 6 * j) + 11 * j) % 97 / 97.0).alias("weight")) for j, f in enumerate(("spatial", "temporal", "trajectory", "type"))))).alias("w")).select("sample", "w.*")
     return rounded(scoring.robustness(factors, w))
 
 
-def _labelled(s):
-    return tables.particle_cloud(s).filter(F.col("tq").isin(WINDOW_START, WINDOW_START + 6 * 3600, WINDOW_START + 24 * 3600)).select(((F.col("tq") - WINDOW_START) / 3600).cast("int").alias("label"), "px", "py")
+def _labelled(s, d):
+    """Places with one of three release times, an event each (km)."""
+    k = F.col("event_id")
+    return tables.table(s, d, "events").select((k % 3).cast("int").alias("label"), (k * 37 % 1201 / 10.0 - 60).alias("px"), (k * 53 % 803 / 10.0 - 40).alias("py"))
 
 
 def hist2d(s, d):
-    return surface.histogram(_labelled(s), -60.0, -40.0, 2.0)
+    return surface.histogram(_labelled(s, d), -60.0, -40.0, 2.0)
 
 
 def kde(s, d):
-    return rounded(surface.smoothed(surface.histogram(_labelled(s), -60.0, -40.0, 2.0), 1.5))
+    return rounded(surface.smoothed(surface.histogram(_labelled(s, d), -60.0, -40.0, 2.0), 1.5))
 
 
 def mass_maps(s, d):
-    masses = surface.mass(surface.smoothed(surface.histogram(_labelled(s), -60.0, -40.0, 2.0), 1.5), "density")
+    masses = surface.mass(surface.smoothed(surface.histogram(_labelled(s, d), -60.0, -40.0, 2.0), 1.5), "density")
     return rounded(surface.combined(masses, 3), digits=9)
 
 
 def hdr(s, d):
     """On exact shares (histogram counts), so that equal cells tie on any engine."""
-    return rounded(surface.highest_density(surface.mass(surface.histogram(_labelled(s), -60.0, -40.0, 2.0), "n"), 0.7995), digits=9)
+    return rounded(surface.highest_density(surface.mass(surface.histogram(_labelled(s, d), -60.0, -40.0, 2.0), "n"), 0.7995), digits=9)
 
 
 def centre_spread(s, d):
-    return rounded(surface.centre_spread(surface.mass(surface.histogram(_labelled(s), -60.0, -40.0, 2.0), "n"), -60.0, -40.0, 2.0))
+    return rounded(surface.centre_spread(surface.mass(surface.histogram(_labelled(s, d), -60.0, -40.0, 2.0), "n"), -60.0, -40.0, 2.0))
 
 
 def fill_stranded(s, d):
     h = ((F.col("tq") - WINDOW_START) / 3600).cast("int")
     gone = (h > 0) & ((h + F.col("pid")) % 4 == 3)
-    return rounded(surface.filled(tables.particle_cloud(s).select("pid", h.alias("step"), F.when(~gone, F.col("px")).alias("px"), F.when(~gone, F.col("py")).alias("py"))))
+    return rounded(surface.filled(_particles(s, d).select("pid", h.alias("step"), F.when(~gone, F.col("px")).alias("px"), F.when(~gone, F.col("py")).alias("py"))))
 
 
 def advect(s, d):
@@ -257,19 +275,19 @@ def field_sample(s, d):
     f = s.range(6 * 11 * 11).select((F.col("id") / 121).cast("int").alias("it"), (F.col("id") / 11 % 11).cast("int").alias("iy"), (F.col("id") % 11).cast("int").alias("ix"))
     f = f.withColumns({"u": 0.1 * F.col("it") + 0.3 * F.col("iy") * F.col("ix"), "v": 1.0 * F.col("it") - 0.2 * F.col("ix")})
     n = F.col("id")
-    pts = s.range(500).select(n.alias("id"), (n % 40 / 9.0).alias("ft"), (n * 7 % 80 / 9.0).alias("fy"), (n * 11 % 80 / 9.0).alias("fx"))
+    pts = numbered(s, d, "events", "event_id").select(n.alias("id"), (n % 40 / 9.0).alias("ft"), (n * 7 % 80 / 9.0).alias("fy"), (n * 11 % 80 / 9.0).alias("fx"))
     return rounded(surface.sampled_field(pts, f, (1.0, 1.0, 1.0)))
 
 
-def _files(s):
+def _files(s, d):
     n = F.col("id")
-    return s.range(60).select(F.concat(F.lit("om_"), n.cast("string")).alias("file"), (68.0 + n % 5).alias("w"), (15.0 + n % 4).alias("s"), (72.0 + n % 7).alias("e"), (19.0 + n % 5).alias("n"), (WINDOW_START - (n % 3) * DAY).alias("t0"), (WINDOW_START + (n % 6) * DAY).alias("t1"))
+    return numbered(s, d, "supplier", "s_suppkey").select(F.concat(F.lit("om_"), n.cast("string")).alias("file"), (68.0 + n % 5).alias("w"), (15.0 + n % 4).alias("s"), (72.0 + n % 7).alias("e"), (19.0 + n % 5).alias("n"), (WINDOW_START - (n % 3) * DAY).alias("t0"), (WINDOW_START + (n % 6) * DAY).alias("t1"))
 
 
 def coverage(s, d):
     n = F.col("id")
-    asked = s.range(80).select(n.alias("rid"), (70.1 + (n % 9) * 0.2).alias("w"), (16.3 + (n % 5) * 0.3).alias("s"), (72.4 + (n % 7) * 0.6).alias("e"), (18.2 + (n % 4) * 0.7).alias("n"), (WINDOW_START + (n % 10) * 3600.0).alias("t0"), (WINDOW_START + 3600.0 * (12 + n % 60)).alias("t1"))
-    return state.covering(_files(s), asked)
+    asked = numbered(s, d, "part", "p_partkey").select(n.alias("rid"), (70.1 + (n % 9) * 0.2).alias("w"), (16.3 + (n % 5) * 0.3).alias("s"), (72.4 + (n % 7) * 0.6).alias("e"), (18.2 + (n % 4) * 0.7).alias("n"), (WINDOW_START + (n % 10) * 3600.0).alias("t0"), (WINDOW_START + 3600.0 * (12 + n % 60)).alias("t1"))
+    return state.covering(_files(s, d), asked)
 
 
 def _spills(rows):
@@ -285,13 +303,13 @@ def action_rules(s, d):
     return impact.actions(impact.severity(_spills(tables.table(s, d, "orders"))))
 
 
-def _slicks(s):
+def _slicks(s, d):
     n = F.col("id")
-    return s.range(40).select(n.alias("spill_id"), (8.0 + (n * 5 % 14)).cast("double").alias("lat"), (70.0 + (n * 7 % 22)).cast("double").alias("lon"), (1.0 + n % 5).cast("double").alias("radius_km"), ((n % 6) * 0.5).alias("speed_kmh"), (n * 47 % 360).cast("double").alias("bearing_deg"))
+    return numbered(s, d, "supplier", "s_suppkey").select(n.alias("spill_id"), (8.0 + (n * 5 % 14)).cast("double").alias("lat"), (70.0 + (n * 7 % 22)).cast("double").alias("lon"), (1.0 + n % 5).cast("double").alias("radius_km"), ((n % 6) * 0.5).alias("speed_kmh"), (n * 47 % 360).cast("double").alias("bearing_deg"))
 
 
 def site_threat(s, d):
-    return rounded(impact.threatened_sites(_slicks(s), tables.sites(s)))
+    return rounded(impact.threatened_sites(_slicks(s, d), tables.sites(s)))
 
 
 def next_port(s, d):
@@ -299,11 +317,11 @@ def next_port(s, d):
 
 
 def nearest_place(s, d):
-    return rounded(impact.nearest_places(_slicks(s).select(F.col("spill_id").alias("id"), "lat", "lon"), tables.ports(s).withColumnRenamed("port", "place")))
+    return rounded(impact.nearest_places(_slicks(s, d).select(F.col("spill_id").alias("id"), "lat", "lon"), tables.ports(s).withColumnRenamed("port", "place")))
 
 
 def responsible_mrcc(s, d):
-    return _slicks(s).select("spill_id", domain.rescue_centre(F.col("lon"), F.col("lat")).alias("mrcc"), domain.basin(F.col("lon"), F.col("lat")).alias("basin"))
+    return _slicks(s, d).select("spill_id", domain.rescue_centre(F.col("lon"), F.col("lat")).alias("mrcc"), domain.basin(F.col("lon"), F.col("lat")).alias("basin"))
 
 
 def _observed(rows):
@@ -335,64 +353,65 @@ def manifest_verify(s, d):
     return impact.verified(m, there)
 
 
-def _pixels(s):
-    n = F.col("id")
-    r, c, sc = (n / 64 % 64).cast("int"), (n % 64).cast("int"), (n / 4096).cast("int")
-    rows = s.range(2 * 4096).select(sc.alias("scene"), r.alias("r"), c.alias("c"))
+def _pixels(s, d):
+    """Scenes of 30 rows and 50 columns, a pixel an order."""
+    n = F.col("o_orderkey")
+    r, c, sc = (F.floor(n / 50) % 30).cast("int"), (n % 50).cast("int"), F.floor(n / 1500).cast("int")
+    rows = tables.table(s, d, "orders").select(sc.alias("scene"), r.alias("r"), c.alias("c"))
     bright = F.when((F.col("r") % 23 == 7) & (F.col("c") % 29 == 11), 200.0).otherwise(0.0)
     return rows.withColumn("v", ((F.col("r") * 7919 + F.col("c") * 104729 + F.col("scene") * 31) % 101).cast("double") + bright)
 
 
-def _mask(s):
-    return _pixels(s).select("scene", "r", "c", F.when((F.floor(F.col("r") / 7) + F.floor(F.col("c") / 5) + F.col("scene")) % 3 == 0, 1).when((F.col("r") * 5 + F.col("c") * 3) % 41 == 0, 1).otherwise(0).alias("m"))
+def _mask(s, d):
+    return _pixels(s, d).select("scene", "r", "c", F.when((F.floor(F.col("r") / 7) + F.floor(F.col("c") / 5) + F.col("scene")) % 3 == 0, 1).when((F.col("r") * 5 + F.col("c") * 3) % 41 == 0, 1).otherwise(0).alias("m"))
 
 
 def components(s, d):
-    return raster.labelled(_mask(s))
+    return raster.labelled(_mask(s, d))
 
 
 def component_stats(s, d):
-    return rounded(raster.component_statistics(raster.labelled(_mask(s), eight=False), _pixels(s)))
+    return rounded(raster.component_statistics(raster.labelled(_mask(s, d), eight=False), _pixels(s, d)))
 
 
 def cfar(s, d):
-    return rounded(raster.cfar(_pixels(s), 4, 12, 4.0))
+    return rounded(raster.cfar(_pixels(s, d), 4, 12, 4.0))
 
 
 def sized_components(s, d):
-    return raster.sized_components(raster.labelled(_mask(s)), 3, 400)
+    return raster.sized_components(raster.labelled(_mask(s, d)), 3, 400)
 
 
 def ring_contrast(s, d):
-    found = raster.sized_components(raster.labelled(_mask(s)), 30, 400).select("scene", "r", "c", "label")
-    return rounded(raster.ring_contrast(found, _pixels(s), 1, 3))
+    found = raster.sized_components(raster.labelled(_mask(s, d)), 30, 400).select("scene", "r", "c", "label")
+    return rounded(raster.ring_contrast(found, _pixels(s, d), 1, 3))
 
 
 def morphology(s, d):
-    return raster.opened_closed(_mask(s), 1).filter("m = 1").select("scene", "r", "c")
+    return raster.opened_closed(_mask(s, d), 1).filter("m = 1").select("scene", "r", "c")
 
 
 def block_percentile_mad(s, d):
-    return rounded(raster.block_levels(_pixels(s), 16, 0.6))
+    return rounded(raster.block_levels(_pixels(s, d), 16, 0.6))
 
 
 def decimate(s, d):
-    return rounded(raster.decimated(_pixels(s), 4))
+    return rounded(raster.decimated(_pixels(s, d), 4))
 
 
 def dice_iou(s, d):
-    m = _mask(s).withColumnRenamed("m", "actual")
+    m = _mask(s, d).withColumnRenamed("m", "actual")
     return rounded(raster.overlap_scores(m.withColumn("predicted", F.when((F.col("r") + F.col("c")) % 11 == 0, 1 - F.col("actual")).otherwise(F.col("actual")))))
 
 
 def position_format(s, d):
-    return _slicks(s).select("spill_id", geo.nautical(F.col("lat") + 0.2567, F.col("lon") - F.col("spill_id") * 3.337).alias("position"))
+    return _slicks(s, d).select("spill_id", geo.nautical(F.col("lat") + 0.2567, F.col("lon") - F.col("spill_id") % 60 * 3.337).alias("position"))
 
 
 def velocity_parts(s, d):
     u, v = geo.towards(F.col("speed_kmh"), F.col("bearing_deg"))
     wu, wv = geo.coming_from(F.col("speed_kmh"), F.col("bearing_deg"))
-    rows = _slicks(s).withColumns({"u": u, "v": v, "wu": wu, "wv": wv})
+    rows = _slicks(s, d).withColumns({"u": u, "v": v, "wu": wu, "wv": wv})
     speed, toward = geo.polar(F.col("u") + 0.5, F.col("v") - 0.25)
     return rounded(rows.select("spill_id", "u", "v", "wu", "wv", speed.alias("speed"), toward.alias("toward"), geo.angle_difference(F.col("bearing_deg"), F.lit(350.0)).alias("turn")))
 
@@ -431,7 +450,7 @@ def search_window(s, d):
 
 def drift_vector(s, d):
     """Centroids of the first and last frame: speed and direction of the cloud."""
-    at = tables.particle_cloud(s).groupBy("tq").agg(F.avg("px").alias("x"), F.avg("py").alias("y"))
+    at = _particles(s, d).groupBy("tq").agg(F.avg("px").alias("x"), F.avg("py").alias("y"))
     ends = at.agg(F.min_by(F.struct("tq", "x", "y"), "tq").alias("a"), F.max_by(F.struct("tq", "x", "y"), "tq").alias("b"))
     speed, toward = geo.polar(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
     return rounded(ends.select((speed / ((F.col("b.tq") - F.col("a.tq")) / 3600)).alias("speed_kmh"), toward.alias("bearing_deg")))
@@ -439,25 +458,25 @@ def drift_vector(s, d):
 
 def scene_search(s, d):
     n = F.col("id")
-    rows = s.range(90).select(F.concat(F.lit("S"), n.cast("string")).alias("scene"), (WINDOW_START + (n * 37 % 91) * 3600.0).alias("t"), F.when(n % 5 == 0, "EW").otherwise("IW").alias("mode"), F.when(n % 4 == 0, F.array(F.lit("HH"))).otherwise(F.array(F.lit("VV"), F.lit("VH"))).alias("polarisations"), (66.0 + n % 9).alias("w"), (14.0 + n % 6).alias("s"), (69.0 + n % 9).alias("e"), (16.5 + n % 6).alias("n"))
+    rows = numbered(s, d, "part", "p_partkey").select(F.concat(F.lit("S"), n.cast("string")).alias("scene"), (WINDOW_START + (n * 37 % 91) * 3600.0).alias("t"), F.when(n % 5 == 0, "EW").otherwise("IW").alias("mode"), F.when(n % 4 == 0, F.array(F.lit("HH"))).otherwise(F.array(F.lit("VV"), F.lit("VH"))).alias("polarisations"), (66.0 + n % 9).alias("w"), (14.0 + n % 6).alias("s"), (69.0 + n % 9).alias("e"), (16.5 + n % 6).alias("n"))
     return rounded(scenes.found_scenes(rows, (70.0, 17.0, 72.0, 18.0)))
 
 
 def scene_clip(s, d):
     n = F.col("id")
-    rows = s.range(70).select(n.alias("rid"), (70.0 + n % 7 * 0.31).alias("w"), (17.0 + n % 5 * 0.29).alias("s"), (71.0 + n % 7 * 0.31).alias("e"), (17.8 + n % 5 * 0.29).alias("n"), F.lit(70.1).alias("fw"), F.lit(17.1).alias("fs"), F.lit(72.2).alias("fe"), F.lit(18.6).alias("fn"))
+    rows = numbered(s, d, "part", "p_partkey").select(n.alias("rid"), (70.0 + n % 7 * 0.31).alias("w"), (17.0 + n % 5 * 0.29).alias("s"), (71.0 + n % 7 * 0.31).alias("e"), (17.8 + n % 5 * 0.29).alias("n"), F.lit(70.1).alias("fw"), F.lit(17.1).alias("fs"), F.lit(72.2).alias("fe"), F.lit(18.6).alias("fn"))
     return rounded(scenes.clipped(rows))
 
 
 def georeference(s, d):
     n = F.col("id")
-    rows = s.range(50).select(n.alias("image"), (500 + n * 13).alias("width"), (400 + n * 7).alias("height"), (70.0 + n % 9 * 0.1).alias("w"), (16.0 + n % 7 * 0.2).alias("s"), (70.6 + n % 8 * 0.1).alias("e"), (16.7 + n % 7 * 0.2).alias("n"))
+    rows = numbered(s, d, "supplier", "s_suppkey").select(n.alias("image"), (500 + n * 13).alias("width"), (400 + n * 7).alias("height"), (70.0 + n % 9 * 0.1).alias("w"), (16.0 + n % 7 * 0.2).alias("s"), (70.6 + n % 8 * 0.1).alias("e"), (16.7 + n % 7 * 0.2).alias("n"))
     return rounded(scenes.georeferenced(rows), "dx", "dy", "pixel_m", digits=7)
 
 
 def release_window(s, d):
     hours = F.array(*map(F.lit, (0.0, 0.5, 1.0, 3.0, 6.0, 12.0, 24.0, 36.0, 48.0)))
-    rows = s.range(60).select(F.col("id").alias("spill_id"), scenes.release_offsets(hours, F.col("id").cast("double")).alias("o"))
+    rows = numbered(s, d, "part", "p_partkey").select(F.col("id").alias("spill_id"), scenes.release_offsets(hours, (F.col("id") % 60).cast("double")).alias("o"))
     return rows.select("spill_id", F.size("o").alias("n"), F.array_min("o").alias("first"), F.aggregate("o", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
@@ -471,8 +490,8 @@ def synthetic_forcing(s, d):
 
 def tile_merge(s, d):
     n = F.col("id")
-    tile = s.range(4 * 1024).select(F.floor(n / 1024).cast("int").alias("k"), F.floor(n / 32 % 32).cast("int").alias("i"), (n % 32).cast("int").alias("j"))
-    tile = tile.select(F.lit(0).alias("scene"), (F.floor(F.col("k") / 2) * 24).cast("int").alias("tr"), (F.col("k") % 2 * 24).cast("int").alias("tc"), "i", "j")
+    tile = numbered(s, d, "orders", "o_orderkey").select(F.floor(n / 4096).cast("int").alias("scene"), F.floor(n / 1024 % 4).cast("int").alias("k"), F.floor(n / 32 % 32).cast("int").alias("i"), (n % 32).cast("int").alias("j"))
+    tile = tile.select("scene", (F.floor(F.col("k") / 2) * 24).cast("int").alias("tr"), (F.col("k") % 2 * 24).cast("int").alias("tc"), "i", "j")
     rows = tile.withColumns({"r": F.col("tr") + F.col("i"), "c": F.col("tc") + F.col("j")}).withColumn("z", ((F.col("r") * 31 + F.col("c") * 17 + F.col("tr") + F.col("tc")) % 23 - 11) / 4.0)
     return rounded(scenes.merged_tiles(rows, 32))
 
@@ -487,19 +506,21 @@ def hash_sample(s, d):
 
 
 def polygon_points(s, d):
-    ring = s.createDataFrame([(0, [{"x": x, "y": y} for x, y in REGION])], "ring int, corners array<struct<x:double,y:double>>")
-    return rounded(scenes.points_within(ring, 500))
+    k = F.col("p_partkey")
+    corner = lambda i: F.struct((k % 40 + (4 + k % 5) * F.cos(i * 2.5 + k % 7)).alias("x"), (k % 30 + (2 + i) * F.sin(i * 2.5)).alias("y"))
+    rings = tables.table(s, d, "part").select(k.alias("ring"), F.transform(F.sequence(F.lit(0), F.lit(4)), corner).alias("corners"))
+    return rounded(scenes.points_within(rings, 20))
 
 
-def _linked(rows, s):
+def _linked(rows, s, d):
     k = F.col("p_partkey")
     boxes = rows.select((k % 4).alias("scene"), k.alias("component_id"), (k * 17 % 90 + 0.25).alias("x0"), (k * 23 % 80 + 0.25).alias("y0")).withColumns({"x1": F.col("x0") + 1.5, "y1": F.col("y0") + 1.0})
-    points = s.range(400).select((F.col("id") % 4).alias("scene"), (F.col("id") * 29 % 91).cast("double").alias("x"), (F.col("id") * 31 % 83).cast("double").alias("y"))
+    points = numbered(s, d, "supplier", "s_suppkey").select((F.col("id") % 4).alias("scene"), (F.col("id") * 29 % 91).cast("double").alias("x"), (F.col("id") * 31 % 83).cast("double").alias("y"))
     return rounded(scenes.with_nearest_target(boxes, points))
 
 
 def component_targets(s, d):
-    return _linked(tables.table(s, d, "part"), s)
+    return _linked(tables.table(s, d, "part"), s, d)
 
 
 QUERIES = {f.__name__: f for f in (
