@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import folder
 from ..functions import ellipsoid
-from ..operators import background, land, overlap, spatial, tiles, warp
+from ..operators import background, impact, land, overlap, response, sightings, spatial, tiles, warp
 from ..sources.keyed import KeyedTable
-from ..sources.tables import WINDOW_START, table
+from ..sources.tables import WINDOW_START, sites, table
 from .areas import CROSSED, DRIFT, OFF, T, TILES, _drift, _islands, _tiles
-from .oracles import bearing, haversine
-from .queries import rounded
+from .oracles import BRG, DIST, RAW, SITE, SPILL, bearing, haversine
+from .queries import _spills, fixes, rounded
 
 
 def _observations(s, d):
@@ -118,7 +118,30 @@ def ellipsoid_round_trip(s, d):
     return back.select("id", F.round("g.metres", 3).alias("metres"), F.round("g.azimuth", 6).alias("azimuth"))
 
 
-QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states, control_residuals, resampled_scenes, tile_probabilities, ellipsoid_round_trip)}
+def _scenes(s, d):
+    k = F.col("s_suppkey")
+    return table(s, d, "supplier").select(k.alias("scene"), (WINDOW_START + k * 37 % 48 * 3600.0).alias("t"), (70.9 + k % 3 * 0.1).alias("w"), (17.6 + k % 4 * 0.1).alias("s"), (72.2 + k % 3 * 0.1).alias("e"), (19.4 + k % 4 * 0.1).alias("n"))
+
+
+def radar_and_reports(s, d):
+    """Detections, an order each, against vessels within two hours of the scene (they report rarely)."""
+    k = F.col("o_orderkey")
+    found = table(s, d, "orders").select((k % 60).alias("scene"), k.alias("det_id"), (17.6 + k * 7 % 211 / 100.0).alias("lat"), (70.9 + k * 11 % 157 / 100.0).alias("lon"))
+    return rounded(sightings.compared(found, fixes(s, d), _scenes(s, d), 8.0, 7200.0))
+
+
+def response_plan(s, d):
+    k = F.col("o_orderkey")
+    orders = table(s, d, "orders")
+    at = orders.select(k.alias("spill_id"), (8.0 + k * 5 % 14).alias("lat"), (70.0 + k * 7 % 22).alias("lon"), (1.0 + k % 5).alias("radius_km"), (k % 6 * 0.5).alias("speed_kmh"), (k * 47 % 360).cast("double").alias("bearing_deg"), (k % 4 - 1).alias("n_dark"))
+    own = _spills(orders).select("spill_id", "coast_km", "beach_eta_h", "wind_ms").join(impact.severity(_spills(orders)).select("spill_id", "level", "tier"), "spill_id").join(at, "spill_id")
+    threats = impact.threatened_sites(at, sites(s)).join(F.broadcast(sites(s).select("site", "weight")), "site")
+    ranks = F.slice(F.array(*(F.lit(j) for j in range(1, 5))), 1, (k % 3 * 2).cast("int"))  # none, two or four vessels
+    suspects = orders.select(k.alias("spill_id"), F.explode(ranks).alias("rank")).withColumns({"mmsi": (F.col("spill_id") * 4 + F.col("rank")).cast("string"), "score": (90.0 - F.col("rank") * 10 - F.col("spill_id") % 37), "port": F.when(F.col("spill_id") % 2 == 0, "Mumbai"), "name": F.when(F.col("rank") % 2 == 1, F.concat(F.lit("V"), F.col("rank").cast("string")))})
+    return rounded(response.planned(own, threats, suspects))
+
+
+QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states, control_residuals, resampled_scenes, tile_probabilities, ellipsoid_round_trip, radar_and_reports, response_plan)}
 
 CORNERS = """ob AS (SELECT o_orderkey AS id, 1704844800e0 + o_orderkey * 7200e0 AS t, 18e0 + (o_orderkey % 7) * 0.2e0 + (o_orderkey % 97) * 0.0013e0 AS lat, 71e0 + (o_orderkey % 5) * 0.3e0 + (o_orderkey % 89) * 0.0017e0 AS lon,
   0.05e0 + (o_orderkey % 3) * 0.05e0 AS half, 5 + o_orderkey % 4 AS n, CAST(o_totalprice AS DOUBLE) AS area FROM orders),
@@ -199,3 +222,48 @@ SELECT scene, gr, gc, round(sum(w * v) / sum(w), 5) AS v FROM nb JOIN px USING (
     "tile_probabilities": f"WITH {TILES} SELECT scene, r, c, round(1 / (1 + exp(-(v / 8 / 4 - 1.5e0))), 6) AS probability FROM tl",
     "ellipsoid_round_trip": "SELECT s_suppkey AS id, 1000e0 + s_suppkey * 7919 % 4000000 AS metres, s_suppkey * 13 % 360 + 0.25e0 AS azimuth FROM supplier",
 }
+_THREAT = f"""slicks AS (SELECT o_orderkey AS spill_id, CAST(8 + o_orderkey * 5 % 14 AS DOUBLE) AS lat, CAST(70 + o_orderkey * 7 % 22 AS DOUBLE) AS lon, CAST(1 + o_orderkey % 5 AS DOUBLE) AS radius_km, (o_orderkey % 6) * 0.5e0 AS speed_kmh, CAST(o_orderkey * 47 % 360 AS DOUBLE) AS bearing_deg FROM orders),
+ta AS (SELECT s.spill_id, s.radius_km AS sr, speed_kmh, s.bearing_deg, t.site, t.kind, t.weight, t.radius_km AS tr, {DIST('s.lon', 's.lat', 't.lon', 't.lat')} AS cd, {BRG('s.lon', 's.lat', 't.lon', 't.lat')} AS b FROM slicks s, sites t),
+tb AS (SELECT *, greatest(0e0, cd - sr - tr) AS d_now, radians(b - bearing_deg) AS off FROM ta), tc AS (SELECT *, greatest(0e0, least(speed_kmh * 240, cd * cos(off))) AS along FROM tb WHERE d_now <= 400),
+td AS (SELECT *, CASE WHEN d_now <= 5 THEN 0e0 WHEN speed_kmh > 0 AND greatest(0e0, sqrt(pow(cd * cos(off) - along, 2) + pow(cd * sin(off), 2)) - tr) <= 15 THEN along / speed_kmh END AS eta FROM tc),
+te AS (SELECT *, CASE WHEN eta IS NULL THEN 0e0 ELSE weight / 10e0 * exp(-eta / 96) END AS ex FROM td WHERE eta IS NOT NULL OR d_now <= 60),
+th AS (SELECT spill_id, site, kind, weight, d_now, eta, coalesce(eta, 1e9) <= 240 AS threatened, row_number() OVER (PARTITION BY spill_id ORDER BY round(ex, 9) DESC, round(d_now, 9), site) AS rank FROM te QUALIFY rank <= 12),
+nr AS (SELECT spill_id, count(*) FILTER (threatened) AS nt, count(*) FILTER (weight >= 8 AND d_now < 30) AS ns FROM th GROUP BY spill_id)"""
+_ICG = "Indian Coast Guard"
+_CENTRE = "CASE WHEN lon >= 91 THEN 'MRCC Port Blair' WHEN lon < 77.6 OR (lat < 8.3 AND lon < 78.5) THEN 'MRCC Mumbai' ELSE 'MRCC Chennai' END"
+_RULES = (
+    ("true", 1, "'P1'", "1e0", f"'{_ICG} — ' || {_CENTRE}", f"'Report the detection to ' || {_CENTRE}", "notify"),
+    ("true", 2, "'P1'", "3e0", f"'{_ICG} (aerial / surface unit)'", "'Confirm the slick on scene'", "verify"),
+    ("true", 3, "'P1'", "6e0", f"'{_ICG} / pollution response team'", "'Collect oil samples for fingerprinting'", "evidence"),
+    ("eta IS NOT NULL AND nt = 0", 20, "CASE WHEN eta <= 24 THEN 'P1' ELSE 'P2' END", "greatest(eta - 6, 1e0)", "'Coastal State/UT · District administration'", "'Prepare shoreline response'", "protect"),
+    ("wind > 10", 30, "'P2'", "6e0", f"'{_ICG}'", "'Defer boom containment; monitor'", "contain"),
+    ("coalesce(wind, 0) <= 10", 30, "CASE WHEN level IN ('HIGH', 'CRITICAL') THEN 'P1' ELSE 'P2' END", "6e0", f"'{_ICG} (Pollution Response vessel)'", "'Contain and recover at sea'", "contain"),
+    ("coast_km > 20 AND ns = 0", 31, "'P3'", "12e0", f"'{_ICG} (approval authority)'", "'Consider dispersants only with approval'", "contain"),
+    ("coalesce(coast_km, 0) <= 20 OR ns > 0", 31, "'P2'", "6e0", f"'{_ICG}'", "'Do not use dispersants here'", "contain"),
+    ("dark > 0", 50, "'P2'", "12e0", f"'{_ICG} / Navy (MDA)'", "'Identify ' || dark || ' SAR-only vessel(s) without AIS'", "enforce"),
+    ("true", 60, "'P2'", "12e0", "'INCOIS / ICG'", "'Update the forecast with the next satellite pass'", "monitor"),
+    ("tier <> 'Tier 1'", 70, "'P1'", "2e0", f"'{_ICG} (Central Coordinating Authority)'", "'Activate ' || tier || ' response'", "notify"),
+)
+ORACLES |= {
+    "radar_and_reports": f"""WITH RECURSIVE {RAW}, sc AS (SELECT s_suppkey AS scene, 1704844800e0 + s_suppkey * 37 % 48 * 3600e0 AS ts, 70.9e0 + s_suppkey % 3 * 0.1e0 AS w, 17.6e0 + s_suppkey % 4 * 0.1e0 AS s, 72.2e0 + s_suppkey % 3 * 0.1e0 AS e, 19.4e0 + s_suppkey % 4 * 0.1e0 AS n FROM supplier),
+o AS (SELECT sc.*, mmsi, t - ts AS o, lat, lon FROM sc JOIN fixes ON t BETWEEN ts - 14400 AND ts + 14400),
+v0 AS (SELECT scene, mmsi, w, s, e, n, arg_max(struct_pack(o, lat, lon), o) FILTER (o <= 0) AS a, arg_min(struct_pack(o, lat, lon), o) FILTER (o >= 0) AS b, arg_min(struct_pack(o, lat, lon), struct_pack(x := abs(o), y := o)) AS r FROM o GROUP BY ALL),
+v1 AS (SELECT *, CASE WHEN b.o > a.o THEN -a.o / (b.o - a.o) ELSE 0e0 END AS f, coalesce(b.o - a.o <= 14400, false) AS near FROM v0 WHERE abs(r.o) <= 7200),
+v AS (SELECT scene, mmsi, r.o AS offset_s, CASE WHEN near THEN a.lat + f * (b.lat - a.lat) ELSE r.lat END AS lat, CASE WHEN near THEN a.lon + f * (b.lon - a.lon) ELSE r.lon END AS lon, w, s, e, n FROM v1),
+vs AS (SELECT * FROM v WHERE lon BETWEEN w AND e AND lat BETWEEN s AND n),
+dt AS (SELECT o_orderkey % 60 AS scene, o_orderkey AS det_id, 17.6e0 + o_orderkey * 7 % 211 / 100e0 AS lat, 70.9e0 + o_orderkey * 11 % 157 / 100e0 AS lon FROM orders),
+pr AS (SELECT * FROM (SELECT scene, det_id, mmsi, offset_s, {haversine('dt.lat', 'dt.lon', 'vs.lat', 'vs.lon')} AS d FROM dt JOIN vs USING (scene)) WHERE d <= 8),
+oq AS (SELECT scene, det_id, row_number() OVER (PARTITION BY scene ORDER BY det_id) AS k, list(struct_pack(mmsi, d, offset_s) ORDER BY d, mmsi) AS c FROM pr GROUP BY scene, det_id),
+g AS (SELECT DISTINCT scene, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS STRUCT(mmsi VARCHAR, d DOUBLE, offset_s DOUBLE)) AS p FROM oq
+  UNION ALL SELECT scene, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.mmsi) END, det_id, p FROM (SELECT g.scene, oq.k, g.used, oq.det_id, list_filter(oq.c, lambda x: NOT list_contains(g.used, x.mmsi))[1] AS p FROM g JOIN oq ON oq.scene = g.scene AND oq.k = g.k + 1)),
+m AS (SELECT scene, det_id, p.mmsi AS mmsi, p.d AS d, p.offset_s AS offset_s FROM g WHERE p IS NOT NULL)
+SELECT scene, det_id, mmsi, round(d, 6) AS d_km, round(offset_s, 6) AS offset_s, 'matched' AS status FROM m UNION ALL SELECT scene, det_id, NULL, NULL, NULL, 'radar_only' FROM dt WHERE det_id NOT IN (SELECT det_id FROM m)
+UNION ALL SELECT scene, NULL, mmsi, NULL, round(offset_s, 6), 'reports_only' FROM vs WHERE (scene, mmsi) NOT IN (SELECT (scene, mmsi) FROM m)""",
+    "response_plan": f"""WITH {SPILL}, {SITE}, {_THREAT}, al AS (SELECT sp.spill_id, coast_km, eta, wind, level, tier, lat, lon, spill_id % 4 - 1 AS dark, coalesce(nr.nt, 0) AS nt, coalesce(nr.ns, 0) AS ns FROM sp JOIN sev USING (spill_id) JOIN slicks USING (spill_id) LEFT JOIN nr USING (spill_id)),
+ac AS ("""
+    + " UNION ALL ".join(f"SELECT spill_id, {p} AS priority, {h} AS deadline_h, {a} AS agency, {t} AS title, '{kd}' AS kind, {o} AS ord FROM al WHERE {c}" for c, o, p, h, a, t, kd in _RULES)
+    + """ UNION ALL SELECT spill_id, CASE WHEN eta <= 24 THEN 'P1' WHEN eta <= 72 THEN 'P2' ELSE 'P3' END, greatest(eta - 6, 1e0), CASE kind WHEN 'intake' THEN 'Plant operator / NPCIL · ICG' WHEN 'port' THEN 'Port authority (Tier 1 resources) · ICG' WHEN 'fishing' THEN 'State fisheries / tourism department · District administration' WHEN 'tourism' THEN 'State fisheries / tourism department · District administration' ELSE 'State Forest / Environment dept · ICG · State Pollution Control Board' END,
+  CASE kind WHEN 'intake' THEN 'Alert ' || site || ' to protect intakes' WHEN 'port' THEN 'Prepare port-entrance protection at ' || site WHEN 'fishing' THEN 'Issue advisory for ' || site WHEN 'tourism' THEN 'Issue advisory for ' || site ELSE 'Protect ' || site END, 'protect', 9 + row_number() OVER (PARTITION BY spill_id ORDER BY eta, rank) AS o FROM th WHERE threatened QUALIFY o < 15
+  UNION ALL SELECT o_orderkey, CASE WHEN j = 1 AND 90e0 - j * 10 - o_orderkey % 37 >= 60 THEN 'P1' ELSE 'P2' END, 24e0, 'DG Shipping (Port State Control) · ICG', 'Inspect ' || CASE WHEN j % 2 = 1 THEN 'V' || j ELSE CAST(o_orderkey * 4 + j AS VARCHAR) END || CASE WHEN o_orderkey % 2 = 0 THEN ' at Mumbai' ELSE ' (no port ahead)' END, 'enforce', 39 + j FROM orders, range(1, 4) q(j) WHERE j <= o_orderkey % 3 * 2)
+SELECT spill_id, CAST(row_number() OVER (PARTITION BY spill_id ORDER BY priority, round(deadline_h, 9), ord) AS INT) AS step, priority, round(deadline_h, 6) AS deadline_h, agency, title, kind FROM ac QUALIFY step <= 14""",
+}
