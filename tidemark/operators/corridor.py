@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import polygon
 from ..functions.geo import plane_km
+from .sightings import one_to_one
 
 
 def in_plane(positions: DataFrame, lat0: float, lon0: float) -> DataFrame:
@@ -33,17 +35,13 @@ def nearest_particles(positions: DataFrame, cloud: DataFrame, radius_km: float)
     return found.join(sizes, "tq").select("mmsi", "tq", "d_km", "n_near", (F.col("n_near") / F.col("n")).alias("fraction"))
 
 
-def region_distances(positions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(mmsi, tq, d_region_km) to a polygon of edges (x1, y1, x2, y2): 0 inside, by ray parity.
+def region_distances(positions: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
+    """(mmsi, tq, d_region_km) to a polygon of tens of corners: 0 inside, by ray parity.
 
-    A region has tens of edges: they are sent to all tasks.
+    The outline is a constant that each row folds, so no row is copied and nothing is exchanged.
     """
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)))
-    away = F.sqrt(F.pow(F.col("x") - F.col("x1") - part * dx, F.lit(2)) + F.pow(F.col("y") - F.col("y1") - part * dy, F.lit(2)))
-    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < dx * (F.col("y") - F.col("y1")) / F.when(dy != 0, dy) + F.col("x1"))
-    rows = positions.crossJoin(F.broadcast(edges)).groupBy("mmsi", "tq").agg(F.min(away).alias("away"), F.sum(F.when(crosses, 1).otherwise(0)).alias("crossings"))
-    return rows.select("mmsi", "tq", F.when(F.col("crossings") % 2 == 1, 0.0).otherwise(F.col("away")).alias("d_region_km"))
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in corners))
+    return positions.select("mmsi", "tq", polygon.distance(ring, F.col("x"), F.col("y")).alias("d_region_km"))
 
 
 def candidates(nearest: DataFrame, regions: DataFrame, corridor_km: float = 10.0, source_km: float = 20.0) -> DataFrame:
@@ -76,7 +74,7 @@ def nearest_frame(queries: DataFrame, start: float, step_s: float, steps: int) -
 def greedy_pairs(detections: DataFrame, positions: DataFrame, radius_km: float) -> DataFrame:
     """One-to-one pairs (scene, det_id, mmsi, d_km): detections in order take the nearest free vessel.
 
-    Candidates within the radius come from a cell join; only those meet, scene by scene.
+    Candidates within the radius come from a cell join and are settled in rounds.
     """
     cell = lambda c: F.floor(F.col(c) / radius_km)
     around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((cell("dx") + i).alias("cx"), (cell("dy") + j).alias("cy"))))))
@@ -84,14 +82,4 @@ def greedy_pairs(detections: DataFrame, positions: DataFrame, radius_km: float)
     held = positions.select("scene", "mmsi", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.sqrt(F.pow(F.col("x") - F.col("dx"), F.lit(2)) + F.pow(F.col("y") - F.col("dy"), F.lit(2)))
     pairs = asked.join(held, ["scene", "cx", "cy"]).withColumn("d_km", d).filter(F.col("d_km") <= radius_km).select("scene", "det_id", "mmsi", "d_km")
-
-    def take(scene):
-        used, rows = set(), []
-        for _, own in scene.sort_values(["det_id", "d_km", "mmsi"]).groupby("det_id", sort=True):
-            free = own[~own["mmsi"].isin(used)]
-            if len(free):
-                used.add(free["mmsi"].iloc[0])
-                rows.append(free.index[0])
-        return scene.loc[rows]
-
-    return pairs.groupBy("scene").applyInPandas(take, "scene long, det_id long, mmsi string, d_km double")
+    return one_to_one(pairs)

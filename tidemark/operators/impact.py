@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domain import SEVERITY_WEIGHTS, basin, basins_connect, clamp, persistence, response_tier, severity_level, weighted
@@ -23,23 +23,49 @@ def last_leg(fixes: DataFrame) -> DataFrame:
     return out.select("mmsi", F.col("t1").alias("t"), F.col("at.lat").alias("lat"), F.col("at.lon").alias("lon"), F.col("s.b").alias("course_deg"), (F.col("s.d") / ((F.col("t1") - F.col("s.t")) / 3600) / 1.852).alias("speed_kn"))
 
 
+#: Places of a list that every row is compared with; longer ones need a spatial join.
+SHORT = 1000
+
+
+def listed(places: DataFrame) -> Column:
+    """A short list of places as a constant array, so that rows meet it without a join."""
+    rows = places.limit(SHORT + 1).collect()
+    if len(rows) > SHORT:
+        raise ValueError(f"more than {SHORT} places; join them by cells instead")
+    kinds = dict(places.dtypes)
+    structs = [F.struct(*(F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items())) for r in rows]
+    return F.array(*structs).cast("array<struct<" + ", ".join(f"{c}: {t}" for c, t in kinds.items()) + ">>")
+
+
 def next_ports(legs: DataFrame, ports: DataFrame) -> DataFrame:
     """Nearest port within 40 degrees of the course in a connected basin, with its time; ports are a short list."""
-    p = ports.select("port", F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-    rows = legs.crossJoin(F.broadcast(p))
-    d, b = plane_distance_bearing(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-    rows = rows.withColumns({"d": d, "off": F.abs(F.pmod(b - F.col("course_deg") + 540, F.lit(360.0)) - 180)})
-    ahead = basins_connect(basin(F.col("lon"), F.col("lat")), basin(F.col("plon"), F.col("plat"))) & (F.col("off") <= 40) & (F.col("d") <= 2000)
-    best = rows.groupBy("mmsi", "course_deg", "speed_kn").agg(F.min_by(F.struct("port", "d", "off"), F.when(ahead, F.struct("d", "port"))).alias("n"), F.min_by("port", F.struct("d", "port")).alias("nearest_port"))
+    here = basin(F.col("lon"), F.col("lat"))
+
+    def seen(p: Column) -> Column:
+        d, b = plane_distance_bearing(F.col("lon"), F.col("lat"), p["lon"], p["lat"])
+        off = F.abs(F.pmod(b - F.col("course_deg") + 540, F.lit(360.0)) - 180)
+        return F.struct(d.alias("d"), p["port"].alias("port"), off.alias("off"), basins_connect(here, basin(p["lon"], p["lat"])).alias("open"))
+
+    rows = legs.withColumn("all", F.transform(listed(ports.select("port", "lon", "lat")), seen))
+    rows = rows.withColumn("n", F.array_min(F.filter("all", lambda p: p["open"] & (p["off"] <= 40) & (p["d"] <= 2000))))
     named = (F.col("speed_kn") > 0.5) & F.col("n").isNotNull()
-    return best.select("mmsi", "course_deg", "speed_kn", "nearest_port", F.when(named, F.col("n.port")).alias("port"), F.when(named, F.col("n.d")).alias("distance_km"), F.when(named, F.col("n.off")).alias("offset_deg"), F.when(named, F.col("n.d") / (F.col("speed_kn") * 1.852)).alias("eta_hours"))
+    return rows.select("mmsi", "course_deg", "speed_kn", F.array_min("all")["port"].alias("nearest_port"), F.when(named, F.col("n.port")).alias("port"), F.when(named, F.col("n.d")).alias("distance_km"), F.when(named, F.col("n.off")).alias("offset_deg"), F.when(named, F.col("n.d") / (F.col("speed_kn") * 1.852)).alias("eta_hours"))
+
+
+def arrivals(ports: DataFrame, legs: DataFrame, now: float) -> DataFrame:
+    """Rows of next_ports with when the vessel gets there (`arrives`, seconds) and how long it has been silent
+    (`silent_h`, from its last report t in legs): `note` is en_route, due (should be there by now) or no_port."""
+    rows = ports.join(legs.select("mmsi", "t"), "mmsi")
+    arrives = F.col("t") + F.col("eta_hours") * 3600
+    note = F.when(F.col("port").isNull(), "no_port").when(arrives <= now, "due").otherwise("en_route")
+    return rows.select(*ports.columns, arrives.alias("arrives"), ((now - F.col("t")) / 3600).alias("silent_h"), note.alias("note"))
 
 
 def nearest_places(points: DataFrame, places: DataFrame) -> DataFrame:
     """(id, place, d_km): nearest of a short list of places to each point (id, lat, lon)."""
-    rows = points.crossJoin(F.broadcast(places.select("place", F.col("lon").alias("plon"), F.col("lat").alias("plat"))))
-    rows = rows.withColumn("d_km", haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
-    return rows.groupBy("id").agg(F.min_by(F.struct("place", "d_km"), F.struct("d_km", "place")).alias("n")).select("id", "n.place", "n.d_km")
+    away = lambda p: F.struct(haversine_km(F.col("lat"), F.col("lon"), p["lat"], p["lon"]).alias("d_km"), p["place"].alias("place"))
+    rows = points.withColumn("n", F.array_min(F.transform(listed(places.select("place", "lat", "lon")), away)))
+    return rows.select("id", "n.place", "n.d_km")
 
 
 def threatened_sites(spills: DataFrame, sites: DataFrame, keep: int = 12) -> DataFrame:
@@ -47,9 +73,9 @@ def threatened_sites(spills: DataFrame, sites: DataFrame, keep: int = 12) -> Dat
 
     A site within 15 km of the extrapolated path gets its arrival; exposure is weight times exp(-eta / 96 h).
     """
-    s = sites.select("site", "kind", "weight", F.col("radius_km").alias("site_km"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    s = listed(sites.select("site", "kind", "weight", F.col("radius_km").alias("site_km"), F.col("lat").alias("slat"), F.col("lon").alias("slon")))
     d, b = plane_distance_bearing(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
-    rows = spills.crossJoin(F.broadcast(s)).withColumns({"centre_km": d, "to_deg": b})
+    rows = spills.select("*", F.inline(s)).withColumns({"centre_km": d, "to_deg": b})
     rows = rows.withColumn("d_now_km", F.greatest(F.lit(0.0), F.col("centre_km") - F.col("radius_km") - F.col("site_km"))).filter("d_now_km <= 400")
     off = F.radians(F.col("to_deg") - F.col("bearing_deg"))
     reach = F.col("speed_kmh") * 240

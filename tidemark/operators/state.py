@@ -37,9 +37,13 @@ def covering(files: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (rid, w, s, e, n, t0, t1) the smallest cached file that covers it, snapped outward to 0.25 degrees and whole days."""
     down, up = (lambda c: F.floor(F.col(c) * 4) / 4), (lambda c: F.ceil(F.col(c) * 4) / 4)
     r = requests.select("rid", down("w").alias("w"), down("s").alias("s"), up("e").alias("e"), up("n").alias("n"), (F.floor(F.col("t0") / 86400) * 86400).alias("t0"), (F.ceil(F.col("t1") / 86400) * 86400).alias("t1"))
-    f = files.select("file", *(F.col(c).alias(f"f{c}") for c in ("w", "s", "e", "n", "t0", "t1")))
+    # a request's corner and first day lie in one cell; a file is listed in the cells it covers
+    cells = {"cx": ("w", "e", 5.0), "cy": ("s", "n", 5.0), "day": ("t0", "t1", 10 * 86400.0)}
+    f = files.select("file", *(F.col(c).alias(f"f{c}") for c in ("w", "s", "e", "n", "t0", "t1"))).filter("fw <= fe and fs <= fn and ft0 <= ft1")
+    for name, (low, high, size) in cells.items():
+        r = r.withColumn(name, F.floor(F.col(low) / size))
+        f = f.withColumn(name, F.explode(F.sequence(F.floor(F.col(f"f{low}") / size), F.floor(F.col(f"f{high}") / size))))
     holds = (F.col("fw") <= F.col("w")) & (F.col("fs") <= F.col("s")) & (F.col("fe") >= F.col("e")) & (F.col("fn") >= F.col("n")) & (F.col("ft0") <= F.col("t0")) & (F.col("ft1") >= F.col("t1"))
     area = (F.col("fe") - F.col("fw")) * (F.col("fn") - F.col("fs"))
-    found = r.join(F.broadcast(f), holds)  # a catalogue of cached files: small
-    best = found.groupBy("rid").agg(F.min_by("file", F.struct(area, "file")).alias("file"))
+    best = r.join(f, list(cells)).filter(holds).groupBy("rid").agg(F.min_by("file", F.struct(area, "file")).alias("file"))
     return requests.select("rid").join(best, "rid", "left")

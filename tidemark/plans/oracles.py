@@ -242,3 +242,15 @@ d AS (SELECT b.scene, component_id, sqrt(pow(greatest(0e0, x0 - x, x - x0 - 1.5e
 b AS (SELECT k, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c GROUP BY k), g AS (SELECT k, CAST(n AS INT) AS i, x0 + (n * 0.7548776662466927e0 - floor(n * 0.7548776662466927e0)) * (x1 - x0) AS x, y0 + (n * 0.5698402909980532e0 - floor(n * 0.5698402909980532e0)) * (y1 - y0) AS y FROM b, range(1, 21) q(n)),
 s AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM c a JOIN c b ON a.k = b.k AND b.i = (a.i + 1) % 5) SELECT k AS ring, i, round(x, 6) AS x, round(y, 6) AS y FROM g JOIN s USING (k) GROUP BY k, i, x, y HAVING count(*) FILTER ((ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax) % 2 = 1""",
 }
+PAIRED = """dt AS (SELECT o_orderkey // 30 AS scene, o_orderkey AS det_id, -30e0 + o_orderkey * 37 % 60 AS dx, -20e0 + o_orderkey * 53 % 45 AS dy FROM orders), se AS (SELECT event_id // 20 AS scene, CAST(419000000 + event_id AS VARCHAR) AS mmsi, -30.3e0 + event_id * 41 % 61 AS x, -20.4e0 + event_id * 29 % 46 AS y FROM events),
+pr AS (SELECT * FROM (SELECT scene, det_id, mmsi, sqrt(pow(x - dx, 2) + pow(y - dy, 2)) AS d FROM dt JOIN se USING (scene)) WHERE d <= 1.5),
+oq AS (SELECT scene, det_id, row_number() OVER (PARTITION BY scene ORDER BY det_id) AS k, list(struct_pack(mmsi, d) ORDER BY d, mmsi) AS c FROM pr GROUP BY scene, det_id),
+g AS (SELECT DISTINCT scene, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS STRUCT(mmsi VARCHAR, d DOUBLE)) AS p FROM oq
+  UNION ALL SELECT scene, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.mmsi) END, det_id, p FROM (SELECT g.scene, oq.k, g.used, oq.det_id, list_filter(oq.c, lambda x: NOT list_contains(g.used, x.mmsi))[1] AS p FROM g JOIN oq ON oq.scene = g.scene AND oq.k = g.k + 1)),
+m AS (SELECT scene, det_id, p.mmsi AS mmsi, p.d AS d FROM g WHERE p IS NOT NULL)"""
+ORACLES |= {
+    "sar_ais_pairs": f"WITH RECURSIVE {PAIRED} SELECT scene, det_id, mmsi, round(d, 6) AS d_km FROM m",
+    "sar_only": f"WITH RECURSIVE {PAIRED} SELECT scene, det_id FROM dt WHERE det_id NOT IN (SELECT det_id FROM m)",
+    "ais_only": f"WITH RECURSIVE {PAIRED} SELECT scene, mmsi FROM se WHERE mmsi NOT IN (SELECT mmsi FROM m)",
+    "port_arrivals": ORACLES["next_port"].replace("SELECT h.mmsi,", "SELECT h.mmsi, round(h.t1 + a.pd / (a.kn * 1.852e0) * 3600, 3) AS arrives, round((1706745600e0 - h.t1) / 3600, 6) AS silent_h, CASE WHEN a.port IS NULL THEN 'no_port' WHEN h.t1 + a.pd / (a.kn * 1.852e0) * 3600 <= 1706745600e0 THEN 'due' ELSE 'en_route' END AS note,"),
+}

@@ -47,10 +47,6 @@ def positions(s: SparkSession, d: str) -> DataFrame:
     return corridor.in_plane(at, ORIGIN_LAT, ORIGIN_LON)
 
 
-def edges(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(*a, *b) for a, b in zip(REGION, REGION[1:] + REGION[:1], strict=True)], "x1 double, y1 double, x2 double, y2 double")
-
-
 def bbox_time_scan(s, d):
     rows = tracks.valid(raw(s, d)).filter(geo.inside_bbox(F.col("lat"), F.col("lon"), BBOX) & F.col("t").between(WINDOW_START, WINDOW_END))
     return rounded(rows.select("src_order", "dup", "mmsi", "t", "lat", "lon"))
@@ -132,12 +128,12 @@ def corridor_fraction(s, d):
 
 
 def region_distance(s, d):
-    return rounded(corridor.region_distances(positions(s, d), edges(s)))
+    return rounded(corridor.region_distances(positions(s, d), REGION))
 
 
 def _candidates(s, d):
     at = written(positions(s, d), "positions")  # read by both joins
-    return corridor.candidates(corridor.nearest_particles(at, tables.particle_cloud(s), 10.0), corridor.region_distances(at, edges(s)))
+    return corridor.candidates(corridor.nearest_particles(at, tables.particle_cloud(s), 10.0), corridor.region_distances(at, REGION))
 
 
 def corridor_candidates(s, d):
@@ -189,24 +185,26 @@ def separation(s, d):
     return rounded(scoring.separation(_best(s, d)), digits=5)
 
 
-def _detections(s):
-    return s.range(120).select((F.col("id") % 4).alias("scene"), F.col("id").alias("det_id"), (-30.0 + (F.col("id") * 37 % 60)).cast("double").alias("dx"), (-20.0 + (F.col("id") * 53 % 45)).cast("double").alias("dy"))
+def _detections(s, d):
+    k = F.col("o_orderkey")
+    return tables.table(s, d, "orders").select(F.floor(k / 30).alias("scene"), k.alias("det_id"), (-30.0 + k * 37 % 60).alias("dx"), (-20.0 + k * 53 % 45).alias("dy"))
 
 
-def _seen(s):
-    return s.range(160).select((F.col("id") % 4).alias("scene"), (F.lit(419000000) + F.col("id")).cast("string").alias("mmsi"), (-30.3 + (F.col("id") * 41 % 61)).cast("double").alias("x"), (-20.4 + (F.col("id") * 29 % 46)).cast("double").alias("y"))
+def _seen(s, d):
+    k = F.col("event_id")
+    return tables.table(s, d, "events").select(F.floor(k / 20).alias("scene"), (F.lit(419000000) + k).cast("string").alias("mmsi"), (-30.3 + k * 41 % 61).alias("x"), (-20.4 + k * 29 % 46).alias("y"))
 
 
 def sar_ais_pairs(s, d):
-    return rounded(corridor.greedy_pairs(_detections(s), _seen(s), 1.5))
+    return rounded(corridor.greedy_pairs(_detections(s, d), _seen(s, d), 1.5))
 
 
 def sar_only(s, d):
-    return _detections(s).join(corridor.greedy_pairs(_detections(s), _seen(s), 1.5), ["scene", "det_id"], "left_anti").select("scene", "det_id")
+    return _detections(s, d).join(corridor.greedy_pairs(_detections(s, d), _seen(s, d), 1.5), ["scene", "det_id"], "left_anti").select("scene", "det_id")
 
 
 def ais_only(s, d):
-    return _seen(s).join(corridor.greedy_pairs(_detections(s), _seen(s), 1.5), ["scene", "mmsi"], "left_anti").select("scene", "mmsi")
+    return _seen(s, d).join(corridor.greedy_pairs(_detections(s, d), _seen(s, d), 1.5), ["scene", "mmsi"], "left_anti").select("scene", "mmsi")
 
 
 def _components(s, d):
@@ -316,6 +314,13 @@ def next_port(s, d):
     return rounded(impact.next_ports(impact.last_leg(searched(s, d)), tables.ports(s)))
 
 
+def port_arrivals(s, d):
+    """As of the end of the month."""
+    legs = written(impact.last_leg(searched(s, d)), "legs")
+    found = impact.arrivals(impact.next_ports(legs, tables.ports(s)), legs, 1706745600.0)
+    return rounded(rounded(found, "arrives", digits=3), *(c for c, t in found.dtypes if t == "double" and c != "arrives"))
+
+
 def nearest_place(s, d):
     return rounded(impact.nearest_places(_slicks(s, d).select(F.col("spill_id").alias("id"), "lat", "lon"), tables.ports(s).withColumnRenamed("port", "place")))
 
@@ -527,7 +532,7 @@ QUERIES = {f.__name__: f for f in (
     bbox_time_scan, vessel_semi_select, cleaning_report, dedupe_keep_first, thin_bins, static_first_nonnull, vessel_type, kinematics, spike_fixpoint, gaps, track_quality,
     interp_at, nearest_frame, cloud_interp, corridor_nn, corridor_fraction, region_distance, corridor_candidates, temporal_feature, behaviour, continuity, evidence_score,
     top_candidates, separation, sar_ais_pairs, sar_only, ais_only, triage, triage_counts, robustness, hist2d, kde, mass_maps, hdr, centre_spread, fill_stranded, advect, field_sample,
-    coverage, severity, action_rules, site_threat, next_port, nearest_place, responsible_mrcc, spill_compare, manifest_root, manifest_chain, manifest_verify, components,
+    coverage, severity, action_rules, site_threat, next_port, port_arrivals, nearest_place, responsible_mrcc, spill_compare, manifest_root, manifest_chain, manifest_verify, components,
     component_stats, sized_components, ring_contrast, cfar, morphology, block_percentile_mad, decimate, dice_iou, position_format, velocity_parts, latest_state, upsert_latest, provenance_mix, track_simplify,
     search_window, drift_vector, scene_search, scene_clip, georeference, release_window, drift_reach, synthetic_forcing, tile_merge, calibration, hash_sample, polygon_points, component_targets,
 )}
