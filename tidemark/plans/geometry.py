@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..checkpoint import folder
 from ..functions import ellipsoid
-from ..operators import background, impact, land, overlap, response, sightings, spatial, tiles, warp
+from ..operators import background, detection, impact, land, overlap, response, sightings, spatial, tiles, warp
 from ..sources.keyed import KeyedTable
 from ..sources.tables import WINDOW_START, sites, table
-from .areas import CROSSED, DRIFT, OFF, T, TILES, _drift, _islands, _tiles
+from .areas import ORACLES as AREAS
+from .areas import BOXES, CROSSED, DRIFT, OFF, T, TILES, _drift, _islands, _tiles
 from .oracles import BRG, DIST, RAW, SITE, SPILL, bearing, haversine
 from .queries import _spills, fixes, rounded
 
@@ -141,7 +142,15 @@ def response_plan(s, d):
     return rounded(response.planned(own, threats, suspects))
 
 
-QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states, control_residuals, resampled_scenes, tile_probabilities, ellipsoid_round_trip, radar_and_reports, response_plan)}
+def slick_triage(s, d):
+    """Dark components of the tiles against their brightest pixels, half a kilometre a pixel."""
+    pixels = _tiles(s, d).withColumn("probability", F.col("v") / 128)
+    targets = pixels.filter("v = 100").select("scene", ((F.col("c") + 0.5) * 0.5).alias("x"), (-(F.col("r") + 0.5) * 0.5).alias("y"))
+    found = detection.triaged(pixels, targets, 0.5, 0.25, 7.0)
+    return rounded(found.select("scene", "component_id", "contrast_db", "elongation", "solidity", "area_km2", "target_km", "label", "oil_points", "lookalike_points", "ship_trail", F.round("triage_score", 3).alias("triage_score"), "triage_rank"), digits=5)
+
+
+QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states, control_residuals, resampled_scenes, tile_probabilities, ellipsoid_round_trip, radar_and_reports, response_plan, slick_triage)}
 
 CORNERS = """ob AS (SELECT o_orderkey AS id, 1704844800e0 + o_orderkey * 7200e0 AS t, 18e0 + (o_orderkey % 7) * 0.2e0 + (o_orderkey % 97) * 0.0013e0 AS lat, 71e0 + (o_orderkey % 5) * 0.3e0 + (o_orderkey % 89) * 0.0017e0 AS lon,
   0.05e0 + (o_orderkey % 3) * 0.05e0 AS half, 5 + o_orderkey % 4 AS n, CAST(o_totalprice AS DOUBLE) AS area FROM orders),
@@ -267,3 +276,25 @@ ac AS ("""
   UNION ALL SELECT o_orderkey, CASE WHEN j = 1 AND 90e0 - j * 10 - o_orderkey % 37 >= 60 THEN 'P1' ELSE 'P2' END, 24e0, 'DG Shipping (Port State Control) · ICG', 'Inspect ' || CASE WHEN j % 2 = 1 THEN 'V' || j ELSE CAST(o_orderkey * 4 + j AS VARCHAR) END || CASE WHEN o_orderkey % 2 = 0 THEN ' at Mumbai' ELSE ' (no port ahead)' END, 'enforce', 39 + j FROM orders, range(1, 4) q(j) WHERE j <= o_orderkey % 3 * 2)
 SELECT spill_id, CAST(row_number() OVER (PARTITION BY spill_id ORDER BY priority, round(deadline_h, 9), ord) AS INT) AS step, priority, round(deadline_h, 6) AS deadline_h, agency, title, kind FROM ac QUALIFY step <= 14""",
 }
+_OUTLINES = AREAS["outline_rings"].rsplit("SELECT scene, label, CAST(ring_r", 1)[0].rstrip()
+_BAND = AREAS["band_contrast"].split("i3 AS (", 1)[1].rsplit("SELECT scene, label, round(", 1)[0].rstrip()
+_HULL = BOXES.split("\nhl AS", 1)[0].rstrip().rstrip(",")
+ORACLES["slick_triage"] = f"""{_OUTLINES}, i3 AS ({_BAND},
+cr AS (SELECT scene || '-' || label AS k, scene, label, ring_r, ring_c, c0 * 0.5e0 AS ax, -r0 * 0.5e0 AS ay, c1 * 0.5e0 AS bx, -r1 * 0.5e0 AS b_y FROM bs),
+ra AS (SELECT k, ring_r, ring_c, abs(sum(ax * b_y - bx * ay)) / 2 AS a FROM cr GROUP BY ALL), oz AS (SELECT k, arg_max(struct_pack(ring_r, ring_c), a) AS o, max(a) AS area FROM ra GROUP BY k),
+sd AS (SELECT cr.k, scene, label, ax, ay, bx, b_y, area FROM cr JOIN oz ON cr.k = oz.k AND cr.ring_r = o.ring_r AND cr.ring_c = o.ring_c),
+pt AS (SELECT k, x, y, row_number() OVER (PARTITION BY k ORDER BY x, y) AS i FROM (SELECT DISTINCT k, ay AS y, unnest([min(ax), max(ax)]) AS x FROM sd GROUP BY k, ay)), {_HULL},
+nv AS (SELECT DISTINCT h.k, p.x, p.y FROM hs h JOIN pt p ON p.k = h.k AND abs((h.bx - h.ax) * (p.y - h.ay) - (h.b_y - h.ay) * (p.x - h.ax)) < 1e-9 AND (p.x - h.ax) * (p.x - h.bx) + (p.y - h.ay) * (p.y - h.b_y) < -1e-9),
+hl AS (SELECT k, sum(ax * b_y - bx * ay) / 2 AS hull FROM hs WHERE (k, ax, ay) NOT IN (SELECT (k, x, y) FROM nv) AND (k, bx, b_y) NOT IN (SELECT (k, x, y) FROM nv) GROUP BY k),
+bo AS (SELECT k, scene, label, any_value(area) AS area, min(ax) - 3 AS x0, max(ax) + 3 AS x1, min(ay) - 3 AS y0, max(ay) + 3 AS y1 FROM sd GROUP BY ALL),
+tp AS (SELECT bo.k, (c + 0.5e0) * 0.5e0 AS x, -(r + 0.5e0) * 0.5e0 AS y FROM bo JOIN tl ON tl.scene = bo.scene AND v = 100 WHERE (c + 0.5e0) * 0.5e0 BETWEEN x0 AND x1 AND -(r + 0.5e0) * 0.5e0 BETWEEN y0 AND y1),
+ds AS (SELECT k, x, y, CASE WHEN count(*) FILTER ({CROSSED}) % 2 = 1 THEN 0e0 ELSE min({OFF}) END AS d FROM (SELECT *, {T} FROM tp JOIN sd USING (k)) GROUP BY k, x, y),
+lo AS (SELECT *, x * ux + y * uy AS pu, y * ux - x * uy AS pv, (u0 + u1) / 2 AS cu, (v0 + v1) / 2 AS cv FROM ds JOIN bx USING (k)),
+en AS (SELECT k, x, y, d, CASE WHEN u1 - u0 >= v1 - v0 THEN least(sqrt(pow(pu - u0, 2) + pow(pv - cv, 2)), sqrt(pow(pu - u1, 2) + pow(pv - cv, 2))) ELSE least(sqrt(pow(pu - cu, 2) + pow(pv - v0, 2)), sqrt(pow(pu - cu, 2) + pow(pv - v1, 2))) END AS e FROM lo),
+nt AS (SELECT k, min(d) AS tk, arg_min(e, struct_pack(d, x, y)) AS ek FROM en GROUP BY k),
+cb AS (SELECT own.scene, own.label, CASE WHEN rn.n >= 20 AND own.n >= 5 THEN (rn.v - own.v) * 0.25e0 END AS co, own.v / 128 AS pb FROM own LEFT JOIN rn USING (scene, label)),
+fx AS (SELECT bo.scene, bo.label AS component_id, co, greatest(u1 - u0, v1 - v0) AS lk, greatest(u1 - u0, v1 - v0) / least(u1 - u0, v1 - v0) AS el, area / hull AS so, area AS ar, tk, ek, pb FROM bo JOIN bx USING (k) JOIN hl USING (k) JOIN cb ON cb.scene = bo.scene AND cb.label = bo.label LEFT JOIN nt USING (k)),
+g0 AS (SELECT *, coalesce(tk <= 1 AND el >= 4 AND ek <= greatest(1e0, 0.15e0 * lk), false) AS ship_trail FROM fx),
+g1 AS (SELECT *, 0.5e0 + CASE WHEN ship_trail THEN 2e0 ELSE 0e0 END + CASE WHEN el >= 4 THEN 1e0 ELSE 0e0 END + CASE WHEN co >= 2 THEN 1e0 ELSE 0e0 END AS o, CASE WHEN co < 1 THEN 1e0 ELSE 0e0 END + CASE WHEN so < 0.3 AND el < 3 THEN 1e0 ELSE 0e0 END + CASE WHEN ar > 50 AND el < 3 THEN 1e0 ELSE 0e0 END AS l FROM g0)
+SELECT scene, component_id, round(co, 5) AS contrast_db, round(el, 5) AS elongation, round(so, 5) AS solidity, round(ar, 5) AS area_km2, round(tk, 5) AS target_km, CASE WHEN o - l >= 1.5 THEN 'OIL_LIKELY' WHEN l - o >= 1.5 THEN 'LOOKALIKE_LIKELY' ELSE 'UNCERTAIN' END AS label,
+  o AS oil_points, l AS lookalike_points, ship_trail, round(o - l + pb, 3) AS triage_score, CAST(row_number() OVER (PARTITION BY scene ORDER BY round(o - l + pb, 3) DESC, component_id) AS INT) AS triage_rank FROM g1"""
