@@ -75,13 +75,13 @@ def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return 100 * reduce(lambda a, b: a + b, [F.lit(w) * parts[k] for k, w in weights.items()]) / sum(weights.values())
 
 
-def monsoon_regime(month: Column, lat: Column) -> Column:
+def monsoon_regime(month: Column) -> Column:
     return F.when(month.between(6, 9), "southwest").when(month.isin(12, 1, 2), "northeast").otherwise("transition")
 
 
 def parsed_time(text: Column) -> Column:
     """ISO with or without zone, EXIF, compact and day-first times; naive times are UTC; others null."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyyMMdd'T'HHmmss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH")
+    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyyMMdd'T'HHmmss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH")
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
 
 

@@ -71,10 +71,3 @@ def inside_bbox(lat: Column, lon: Column, bbox: tuple[float, float, float, float
 
 def bboxes_overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
-
-
-def ring_area_km2(ring: Column, lat0: Column, lon0: Column) -> Column:
-    """Shoelace area of an array of (lon, lat) structs in the local plane."""
-    n = F.size(ring)
-    terms = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ring, i)["lon"] * F.get(ring, (i + 1) % n)["lat"] - F.get(ring, (i + 1) % n)["lon"] * F.get(ring, i)["lat"])
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)) / 2 * KM_PER_DEGREE * KM_PER_DEGREE * F.cos(F.radians(lat0))

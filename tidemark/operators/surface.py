@@ -83,7 +83,8 @@ def advected(particles: DataFrame, steps: int, dt_h: float, wind: tuple[float, f
 
 
 def sampled_field(points: DataFrame, field: DataFrame, step: tuple[float, float, float]) -> DataFrame:
-    """Trilinear values of a regular field (it, iy, ix, u, v) at points (id, ft, fy, fx in grid units)."""
+    """Trilinear values of a regular field (it, iy, ix, u, v) at points (id, ft, fy, fx in grid units); null where one of
+    the grid points around is missing, as outside the field. `step` is the field's spacing, for callers that keep it."""
     base = points.withColumns({f"b{a}": F.floor(f"f{a}").cast("int") for a in "tyx"})
     corner = F.explode(F.array(*(F.struct(*(F.lit(n).alias(f"d{a}") for a, n in zip("tyx", (i, j, k), strict=True))) for i in (0, 1) for j in (0, 1) for k in (0, 1))))
     rows = base.withColumn("c", corner)
@@ -92,4 +93,6 @@ def sampled_field(points: DataFrame, field: DataFrame, step: tuple[float, float,
         part = F.col(f"f{a}") - F.col(f"b{a}")
         weight = weight * F.when(F.col(f"c.d{a}") == 1, part).otherwise(1 - part)
     rows = rows.select("id", weight.alias("w"), *((F.col(f"b{a}") + F.col(f"c.d{a}")).alias(f"i{a}") for a in "tyx")).filter("w > 0")
-    return rows.join(field, ["it", "iy", "ix"]).groupBy("id").agg(F.sum(F.col("w") * F.col("u")).alias("u"), F.sum(F.col("w") * F.col("v")).alias("v"))
+    there = rows.join(field.withColumn("there", F.lit(1)), ["it", "iy", "ix"], "left")
+    whole = F.count("there") == F.count(F.lit(1))
+    return there.groupBy("id").agg(*(F.when(whole, F.sum(F.col("w") * F.col(c))).alias(c) for c in ("u", "v")))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..checkpoint import folder
-from ..functions import ellipsoid
-from ..operators import background, detection, impact, land, overlap, response, sightings, spatial, tiles, warp
+from ..functions import domain, ellipsoid
+from ..operators import background, detection, impact, land, overlap, response, scoring, sightings, spatial, tiles, warp
 from ..sources.keyed import KeyedTable
-from ..sources.tables import WINDOW_START, sites, table
+from ..sources.tables import WINDOW_START, ingest_day, scan_days, sites, table
+from ..streaming.gaps import sessions
 from .areas import ORACLES as AREAS
 from .areas import BOXES, CROSSED, DRIFT, OFF, T, TILES, _drift, _islands, _tiles
-from .oracles import BRG, DIST, RAW, SITE, SPILL, bearing, haversine
-from .queries import _spills, fixes, rounded
+from .oracles import BRG, DIST, RAW, SCORED, SITE, SPILL, bearing, haversine
+from .queries import _features, _spills, fixes, rounded
 
 
 def _observations(s, d):
@@ -124,11 +127,14 @@ def _scenes(s, d):
     return table(s, d, "supplier").select(k.alias("scene"), (WINDOW_START + k * 37 % 48 * 3600.0).alias("t"), (70.9 + k % 3 * 0.1).alias("w"), (17.6 + k % 4 * 0.1).alias("s"), (72.2 + k % 3 * 0.1).alias("e"), (19.4 + k % 4 * 0.1).alias("n"))
 
 
+def _radar(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select((k % 60).alias("scene"), k.alias("det_id"), (17.6 + k * 7 % 211 / 100.0).alias("lat"), (70.9 + k * 11 % 157 / 100.0).alias("lon"))
+
+
 def radar_and_reports(s, d):
     """Detections, an order each, against vessels within two hours of the scene (they report rarely)."""
-    k = F.col("o_orderkey")
-    found = table(s, d, "orders").select((k % 60).alias("scene"), k.alias("det_id"), (17.6 + k * 7 % 211 / 100.0).alias("lat"), (70.9 + k * 11 % 157 / 100.0).alias("lon"))
-    return rounded(sightings.compared(found, fixes(s, d), _scenes(s, d), 8.0, 7200.0))
+    return rounded(sightings.compared(_radar(s, d), fixes(s, d), _scenes(s, d), 8.0, 7200.0))
 
 
 def response_plan(s, d):
@@ -150,7 +156,41 @@ def slick_triage(s, d):
     return rounded(found.select("scene", "component_id", "contrast_db", "elongation", "solidity", "area_km2", "target_km", "label", "oil_points", "lookalike_points", "ship_trail", F.round("triage_score", 3).alias("triage_score"), "triage_rank"), digits=5)
 
 
-QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states, control_residuals, resampled_scenes, tile_probabilities, ellipsoid_round_trip, radar_and_reports, response_plan, slick_triage)}
+def day_scan(s, d):
+    """A raw day-first file of the events, ingested by day and read again for a box and nine days."""
+    k, u = F.col("event_id"), F.col("user_id")
+    raw = table(s, d, "events").select(
+        F.when(u % 5 == 0, "Base Station").when(u % 2 == 0, "Class B").otherwise("Class A").alias("Type of mobile"), F.date_format("ts", "dd/MM/yyyy HH:mm:ss").alias("# Timestamp"),
+        F.when(u % 7 == 3, "no number").otherwise((F.lit(419000000) + u).cast("string")).alias("MMSI"), (17 + k % 400 / 100.0).cast("string").alias("Latitude"), (70 + k % 700 / 100.0).cast("string").alias("Longitude"), F.when(k % 9 == 0, "Unknown").otherwise("A").alias("Name"),
+    )
+    at = folder(s, "days")
+    ingest_day(raw, at)
+    found = scan_days(s, at, (71.0, 17.5, 74.5, 20.25), "2024-01-05 06:00:00", "2024-01-13 18:30:00")
+    return found.select("mmsi", F.unix_seconds("timestamp").alias("t"), "lat", "lon", "vessel_name")
+
+
+def voyages(s, d):
+    """Reports of a vessel without a pause of twelve hours."""
+    found = sessions(table(s, d, "events").select(F.col("user_id").cast("string").alias("mmsi"), F.col("ts").cast("timestamp").alias("timestamp")), 720)
+    return found.select("mmsi", F.unix_micros("start").alias("start_us"), "n")
+
+
+def monsoon_regimes(s, d):
+    return table(s, d, "orders").select("o_orderkey", domain.monsoon_regime(F.month("o_orderdate")).alias("regime"))
+
+
+def evidence_attached(s, d):
+    """Evidence with the link that was seen: a vessel matched with a radar target at the slick of the scene."""
+    met = sightings.compared(_radar(s, d), fixes(s, d), _scenes(s, d), 8.0, 7200.0).filter("status = 'matched'")
+    places = met.join(_radar(s, d), ["scene", "det_id"]).select("scene", "mmsi", (F.col("lon") - 71.7).alias("x"), (F.col("lat") - 18.6).alias("y"))
+    corner = lambda i: F.struct((0.5 * F.cos(i * F.pi() / 3 + F.col("s_suppkey") % 5)).alias("x"), (0.4 * F.sin(i * F.pi() / 3 + F.col("s_suppkey") % 5)).alias("y"))
+    slicks = table(s, d, "supplier").select(F.col("s_suppkey").alias("scene"), F.transform(F.sequence(F.lit(0), F.lit(5)), corner).alias("ring"))
+    seen = land.attached_vessels(slicks, places, 0.05).select("mmsi").distinct().withColumn("sar_attached", F.lit(True))
+    features = _features(s, d).drop("sar_attached").join(seen, "mmsi", "left")
+    return rounded(scoring.factor_scores(features).select("mmsi", "sar_attached", "score"), digits=5)
+
+
+QUERIES = {f.__name__: f for f in (spill_overlap, clipped_outlines, sea_anomaly, ray_landfall, extrapolated_landfall, land_pairs, stored_states, control_residuals, resampled_scenes, tile_probabilities, ellipsoid_round_trip, radar_and_reports, response_plan, slick_triage, day_scan, voyages, monsoon_regimes, evidence_attached)}
 
 CORNERS = """ob AS (SELECT o_orderkey AS id, 1704844800e0 + o_orderkey * 7200e0 AS t, 18e0 + (o_orderkey % 7) * 0.2e0 + (o_orderkey % 97) * 0.0013e0 AS lat, 71e0 + (o_orderkey % 5) * 0.3e0 + (o_orderkey % 89) * 0.0017e0 AS lon,
   0.05e0 + (o_orderkey % 3) * 0.05e0 AS half, 5 + o_orderkey % 4 AS n, CAST(o_totalprice AS DOUBLE) AS area FROM orders),
@@ -298,3 +338,13 @@ g0 AS (SELECT *, coalesce(tk <= 1 AND el >= 4 AND ek <= greatest(1e0, 0.15e0 * l
 g1 AS (SELECT *, 0.5e0 + CASE WHEN ship_trail THEN 2e0 ELSE 0e0 END + CASE WHEN el >= 4 THEN 1e0 ELSE 0e0 END + CASE WHEN co >= 2 THEN 1e0 ELSE 0e0 END AS o, CASE WHEN co < 1 THEN 1e0 ELSE 0e0 END + CASE WHEN so < 0.3 AND el < 3 THEN 1e0 ELSE 0e0 END + CASE WHEN ar > 50 AND el < 3 THEN 1e0 ELSE 0e0 END AS l FROM g0)
 SELECT scene, component_id, round(co, 5) AS contrast_db, round(el, 5) AS elongation, round(so, 5) AS solidity, round(ar, 5) AS area_km2, round(tk, 5) AS target_km, CASE WHEN o - l >= 1.5 THEN 'OIL_LIKELY' WHEN l - o >= 1.5 THEN 'LOOKALIKE_LIKELY' ELSE 'UNCERTAIN' END AS label,
   o AS oil_points, l AS lookalike_points, ship_trail, round(o - l + pb, 3) AS triage_score, CAST(row_number() OVER (PARTITION BY scene ORDER BY round(o - l + pb, 3) DESC, component_id) AS INT) AS triage_rank FROM g1"""
+_MATCHES = re.sub(r"\bsc\b", "rsc", ORACLES["radar_and_reports"].split(f"{RAW}, ", 1)[1].split("\nSELECT scene, det_id, mmsi", 1)[0])
+ORACLES |= {
+    "day_scan": """SELECT CAST(419000000 + user_id AS VARCHAR) AS mmsi, CAST(floor(epoch(ts)) AS BIGINT) AS t, 17 + event_id % 400 / 100e0 AS lat, 70 + event_id % 700 / 100e0 AS lon, CASE WHEN event_id % 9 <> 0 THEN 'A' END AS vessel_name FROM events
+WHERE user_id % 5 <> 0 AND user_id % 7 <> 3 AND 17 + event_id % 400 / 100e0 BETWEEN 17.5 AND 20.25 AND 70 + event_id % 700 / 100e0 BETWEEN 71 AND 74.5 AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-13 18:30:00'""",
+    "voyages": """WITH q AS (SELECT CAST(user_id AS VARCHAR) AS mmsi, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 43200000000, true) AS new FROM events), g AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY mmsi ORDER BY t) AS v FROM q)
+SELECT mmsi, min(t) AS start_us, count(*) AS n FROM g GROUP BY mmsi, v""",
+    "monsoon_regimes": "SELECT o_orderkey, CASE WHEN month(o_orderdate) BETWEEN 6 AND 9 THEN 'southwest' WHEN month(o_orderdate) IN (12, 1, 2) THEN 'northeast' ELSE 'transition' END AS regime FROM orders",
+    "evidence_attached": f"""WITH RECURSIVE {SCORED.replace("CAST(c.mmsi AS BIGINT) % 10 = 3 AS sar", "c.mmsi IN (SELECT mmsi FROM att) AS sar").replace("kn AS (SELECT mmsi, CASE", f"{_MATCHES}, ml AS (SELECT m.scene, m.mmsi, dt.lon - 71.7e0 AS x, dt.lat - 18.6e0 AS y FROM m JOIN dt USING (scene, det_id)), sk AS (SELECT s_suppkey AS k, i, 0.5e0 * cos(i * pi() / 3 + s_suppkey % 5) AS x, 0.4e0 * sin(i * pi() / 3 + s_suppkey % 5) AS y FROM supplier, range(6) q(i)), sl AS (SELECT p.k, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS b_y FROM sk p JOIN sk q ON p.k = q.k AND q.i = (p.i + 1) % 6), att AS (SELECT DISTINCT mmsi FROM (SELECT scene, mmsi, x, y, CASE WHEN count(*) FILTER ({CROSSED}) % 2 = 1 THEN 0e0 ELSE min({OFF}) END AS dd FROM (SELECT *, {T} FROM ml JOIN sl ON sl.k = ml.scene) GROUP BY ALL) WHERE dd <= 0.05), kn AS (SELECT mmsi, CASE")}
+SELECT mmsi, round(sar_attached, 5) AS sar_attached, round(score, 5) AS score FROM sc""",
+}

@@ -47,8 +47,9 @@ def read_positions(spark: SparkSession, path: str, headers: str | dict[str, str]
 
 def file_provenance(spark: SparkSession, path: str) -> DataFrame:
     """One row: the provenance of the files' first lines, LOCAL_FILE without one, MIXED if they differ."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name())
-    each = lines.groupBy("file").agg(F.max(F.regexp_extract("value", r"^# PROVENANCE: (\S+)", 1)).alias("found"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).filter("at = 0")
+    first = lines.withColumn("line", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "line").alias("value"))
+    each = first.select("file", F.regexp_extract("value", r"^# PROVENANCE: (\S+)", 1).alias("found"))
     named = each.select(F.when(F.col("found") == "", "LOCAL_FILE").otherwise(F.col("found")).alias("provenance"))
     return named.agg(F.when(F.count_distinct("provenance") > 1, "MIXED").otherwise(F.max("provenance")).alias("provenance"))
 
