@@ -105,7 +105,7 @@ def anchor_windows(items: DataFrame) -> DataFrame:
 
 
 def _alignments(texts: DataFrame, items: DataFrame, literal: bool) -> DataFrame:
-    """texts (doc_id, slots, template, low) -> a row or more for each alignment: doc_id, slots, hashes, shift and the item's columns."""
+    """texts (doc_id, name, slots, template, low) -> a row or more for each alignment: doc_id, name, slots, hashes, shift and the item's columns."""
     texts = with_window_hashes(texts, "template", "hashes")
     if literal:
         texts = with_window_hashes(texts, "low", "literals")
@@ -149,9 +149,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
     on either side gives an empty result. Extra columns are ignored.
     """
     every = materialize(benchmark_items(benchmark, item_col, item_text_col).filter(F.lit(True) if literal else ~F.col("literal")), "items")
-    texts = templates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    # documents that share an id are judged each by its own words
-    texts = texts.withColumns({"low": F.transform("words", lambda w: F.lower(w)), "name": F.xxhash64("words")})
+    # documents that share an id are told apart by a hash of the text
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("name", F.xxhash64("text"))
+    texts = templates(named).withColumn("low", F.transform("words", lambda w: F.lower(w)))
     # written: otherwise the nested functions below are put into each other again and again
     rows = materialize(_alignments(texts, every.filter(F.col("item_words") >= WINDOW), literal), "alignments")
     shift = F.col("shift")
