@@ -69,8 +69,7 @@ def family(r, n, flips):
     return out
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 4, 7])
-@pytest.mark.parametrize("dense", [2, 256])
+@pytest.mark.parametrize(("threshold", "dense"), [(1, 2), (2, 2), (4, 2), (4, 256), (7, 2)])
 def test_classes_equal_all_pairs(spark, threshold, dense):
     r = random.Random(threshold)
     values = {0, 2**64 - 1, *(r.getrandbits(64) for _ in range(100))}
