@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Blocks, blocks, judged_blocks, repeated_blocks
 from .relative_parse import OCCURRENCES, _documents, merge_ranges, named
-from .store import materialize
+from .store import drop, materialize
 from .text import signed, steps, trimmed
 
 GRAM = 28
@@ -46,17 +46,17 @@ def _once(got: Blocks) -> np.ndarray:
 
 
 def byte_occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row for each block of each document; a repeat within the document is left out (see `remove`)."""
+    """One row for each block of each document; `again` if it repeats an earlier block of the document whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, names = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "name"))
+            ids, names = batch.column("doc_id"), batch.column("name")
             for part in steps(batch.column("text")):
                 got = blocks(part.data, part.bounds, window, gram)
-                one = _once(got)
-                yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor[one]), "content": signed(got.content[one]), "doc_id": ids[part.first + got.text[one]].astype(np.int64), "name": names[part.first + got.text[one]].astype(np.int64), "start": got.start[one].astype(np.int32), "n": got.n[one].astype(np.int32)})
+                place = pa.array(part.first + got.text)
+                yield pa.RecordBatch.from_pydict({"anchor": signed(got.anchor), "content": signed(got.content), "doc_id": ids.take(place), "name": names.take(place), "start": got.start.astype(np.int32), "n": got.n.astype(np.int32), "again": ~_once(got)})
 
-    return docs.mapInArrow(trimmed(run), OCCURRENCES)
+    return docs.mapInArrow(trimmed(run), f"{OCCURRENCES}, again boolean")
 
 
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -204,16 +204,20 @@ def _compared(parts: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, window: int, gram: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, name, start, n): runs of n windows from byte `start` that also start in an earlier document."""
+    """(doc_id, name, start, n): runs of n windows from byte `start` that also start earlier, in a smaller document or
+    in the same one. Texts are cut into blocks once, and the blocks written."""
     spark = docs.sparkSession
-    rows = materialize(repeated_blocks(byte_occurrences(docs, window, gram)), "blocks")
+    every = materialize(byte_occurrences(docs, window, gram), "occurrences")
+    own = materialize(every.filter("again").select("doc_id", "name", "start", "n"), "own")
+    rows = materialize(repeated_blocks(every.filter("not again and doc_id is not null").drop("again")), "blocks")
+    drop(every)
     judged = materialize(judged_blocks(rows), "judged")
     found = judged.filter("doc_id > first").select("doc_id", "name", "start", "n")
     edges = judged.filter("doc_id = first and contents > 1").withColumn("hot", F.col("contents") > hot)
     parts = materialize(_block_texts(docs, edges, window), "parts")
     cold = _expanded(parts.filter("not hot"), window, int(spark.conf.get("spark.sql.shuffle.partitions")))
     windows = materialize(cold.unionByName(_compared(parts.filter("hot"), window)), "windows")
-    return found.unionByName(windows)
+    return own.unionByName(found).unionByName(windows)
 
 
 def remove(docs: DataFrame, window: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,24 +231,17 @@ def remove(docs: DataFrame, window: int = 100, gram: int = GRAM, id_col: str = "
     each with its own places. Rows with a null id are compared with none but themselves. Extra columns are ignored.
     """
     docs = named(_documents(docs, id_col, text_col))
-    ranges = repeated_ranges(docs.filter("doc_id is not null"), window, gram).groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    ranges = repeated_ranges(docs, window, gram).groupBy(F.col("doc_id").alias("known_id"), F.col("name").alias("known_name")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, column = batch.column("doc_id"), batch.column("at"), batch.column("text")
             for part in steps(column):
-                got = blocks(part.data, part.bounds, window, gram)
-                again = np.flatnonzero(~_once(got))
-                by = again[np.argsort(got.text[again], kind="stable")]
-                edges = np.searchsorted(got.text[by], np.arange(len(part) + 1))
                 out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256")}
                 for i in range(len(part)):
                     own = part.data[part.bounds[i] : part.bounds[i + 1]]
-                    mine = by[edges[i] : edges[i + 1]]
-                    start, n = got.start[mine], got.n[mine]
-                    if (listed := at[part.first + i]).is_valid:
-                        start = np.concatenate([start, listed.values.field(0).to_numpy(zero_copy_only=False)])
-                        n = np.concatenate([n, listed.values.field(1).to_numpy(zero_copy_only=False)])
+                    listed = at[part.first + i]
+                    start, n = (listed.values.field(k).to_numpy(zero_copy_only=False) if listed.is_valid else np.zeros(0, np.int32) for k in range(2))
                     start, end = merge_ranges(start.astype(np.int64), (start + n + (window - 1)).astype(np.int64))
                     marks = np.zeros(len(own), bool)
                     for a, b in zip(start, end, strict=True):
@@ -255,4 +252,6 @@ def remove(docs: DataFrame, window: int = 100, gram: int = GRAM, id_col: str = "
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(part)), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
 
-    return docs.join(ranges, ["doc_id", "name"], "left").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
+    # null ids too: these rows have repeats of their own
+    placed = docs.join(ranges, F.col("doc_id").eqNullSafe(F.col("known_id")) & (F.col("name") == F.col("known_name")), "left").select("doc_id", "text", "at")
+    return placed.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
