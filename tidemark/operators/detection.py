@@ -34,7 +34,7 @@ def nearest_targets(shapes: DataFrame, targets: DataFrame, link_km: float) -> Da
     for c in "xy":
         boxes = boxes.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell))))
     points = targets.select("scene", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    pairs = boxes.join(points, ["scene", "cx", "cy"]).filter("x between x0 and x1 and y between y0 and y1").select("scene", "component_id", "ring", "x", "y")
+    pairs = boxes.join(points.hint("merge"), ["scene", "cx", "cy"]).filter("x between x0 and x1 and y between y0 and y1").select("scene", "component_id", "ring", "x", "y")
     best = land.trail_ends(pairs).groupBy("scene", "component_id").agg(F.min(F.struct("slick_km", "x", "y", "end_km")).alias("n"))
     return best.select("scene", "component_id", F.col("n.slick_km").alias("target_km"), F.col("n.end_km").alias("end_km"))
 
@@ -49,9 +49,9 @@ def described_slicks(pixels: DataFrame, targets: DataFrame, pixel_km: float, db_
     contrast = outlines.band_contrast(labels, pixels, 3, 10, db_per_level).withColumnRenamed("label", "component_id")
     rings = written(outer_rings(labels, pixel_km), "rings")
     shapes = land.described(rings).select("scene", "component_id", "elongation", "solidity", "length_km", "area_km2")
-    sure = labels.join(pixels, ["scene", "r", "c"]).groupBy("scene", F.col("label").alias("component_id")).agg(F.count(F.lit(1)).alias("n_pixels"), F.avg("probability").alias("probability"))
+    sure = labels.join(pixels.hint("merge"), ["scene", "r", "c"]).groupBy("scene", F.col("label").alias("component_id")).agg(F.count(F.lit(1)).alias("n_pixels"), F.avg("probability").alias("probability"))
     keys = ["scene", "component_id"]
-    return shapes.join(contrast, keys).join(sure, keys).join(nearest_targets(rings, targets, link_km), keys, "left")
+    return shapes.join(contrast.hint("merge"), keys).join(sure.hint("merge"), keys).join(nearest_targets(rings, targets, link_km).hint("merge"), keys, "left")
 
 
 def triaged(pixels: DataFrame, targets: DataFrame, pixel_km: float, db_per_level: float, wind_ms: float | None, link_km: float = 1.0) -> DataFrame:

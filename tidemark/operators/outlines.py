@@ -1,4 +1,4 @@
-"""Outlines of pixel components and the bands around them, as joins of pixel tables."""
+"""Outlines of pixel components and the bands around them, as joins of pixel tables (merged: see raster)."""
 
 from __future__ import annotations
 
@@ -22,17 +22,17 @@ def band_contrast(labels: DataFrame, pixels: DataFrame, inner: int, outer: int,
     Pixels have `sea`; components with too few pixels, or too few in the band, get null.
     """
     keys = ["scene", "label"]
-    band = within_steps(labels, keys, outer).join(within_steps(labels, keys, inner), [*keys, "r", "c"], "left_anti")
-    around = band.join(pixels.filter("sea"), ["scene", "r", "c"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ring"), F.avg("v").alias("ring_v"))
-    own = labels.join(pixels, ["scene", "r", "c"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_own"), F.avg("v").alias("own_v"))
+    band = within_steps(labels, keys, outer).join(within_steps(labels, keys, inner).hint("merge"), [*keys, "r", "c"], "left_anti")
+    around = band.join(pixels.filter("sea").hint("merge"), ["scene", "r", "c"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ring"), F.avg("v").alias("ring_v"))
+    own = labels.join(pixels.hint("merge"), ["scene", "r", "c"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_own"), F.avg("v").alias("own_v"))
     enough = (F.col("n_ring") >= least_ring) & (F.col("n_own") >= least_own)
-    return own.join(around, keys, "left").select(*keys, F.when(enough, (F.col("ring_v") - F.col("own_v")) * per_level).alias("contrast_db"))
+    return own.join(around.hint("merge"), keys, "left").select(*keys, F.when(enough, (F.col("ring_v") - F.col("own_v")) * per_level).alias("contrast_db"))
 
 
 def at_sea(detections: DataFrame, pixels: DataFrame, steps: int) -> DataFrame:
     """Detections (scene, r, c) more than `steps` steps from any land pixel."""
     coast = within_steps(pixels.filter("not sea"), ["scene"], steps)
-    return detections.join(coast, ["scene", "r", "c"], "left_anti")
+    return detections.join(coast.hint("merge"), ["scene", "r", "c"], "left_anti")
 
 
 def traced(labels: DataFrame) -> DataFrame:
@@ -48,17 +48,17 @@ def traced(labels: DataFrame) -> DataFrame:
     four = F.explode(F.array(side(r, c, r, c + 1), side(r, c + 1, r + 1, c + 1), side(r + 1, c + 1, r + 1, c), side(r + 1, c, r, c)))
     sides = labels.select("scene", "label", F.struct("r", "c").alias("pixel"), four.alias("s"))
     back = sides.select("scene", "label", F.struct(F.col("s.r1").alias("r0"), F.col("s.c1").alias("c0"), F.col("s.r0").alias("r1"), F.col("s.c0").alias("c1")).alias("s"))
-    outer = written(sides.join(back, ["scene", "label", "s"], "left_anti"), "sides")
+    outer = written(sides.join(back.hint("merge"), ["scene", "label", "s"], "left_anti"), "sides")
     a = outer.select("scene", "label", "s", "pixel", F.struct(F.col("s.r1").alias("r"), F.col("s.c1").alias("c")).alias("at"))
     b = outer.select("scene", "label", F.col("s").alias("next"), F.col("pixel").alias("other"), F.struct(F.col("s.r0").alias("r"), F.col("s.c0").alias("c")).alias("at"))
-    step = a.join(b, ["scene", "label", "at"]).groupBy("scene", "label", "s").agg(F.min_by("next", F.col("pixel") != F.col("other")).alias("next"))
+    step = a.join(b.hint("merge"), ["scene", "label", "at"]).groupBy("scene", "label", "s").agg(F.min_by("next", F.col("pixel") != F.col("other")).alias("next"))
     # `low` is the smallest of the 2**k sides from s on, `far` the jumps to it; `next` lies 2**k sides ahead.
     # A round that changes nothing anywhere has seen every ring whole.
     rows, jump, changed = written(step.withColumns({"low": F.col("s"), "far": F.lit(0).cast("long")}), "outline"), 1, True
     while changed:
         ahead = rows.select("scene", "label", F.col("s").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"), F.col("far").alias("far2"))
         nearer = F.col("low2") < F.col("low")
-        joined = rows.join(ahead, ["scene", "label", "next"]).select(
+        joined = rows.join(ahead.hint("merge"), ["scene", "label", "next"]).select(
             "scene", "label", "s", F.col("next2").alias("next"), F.when(nearer, F.col("low2")).otherwise(F.col("low")).alias("low"),
             F.when(nearer, F.col("far2") + jump).otherwise(F.col("far")).alias("far"), nearer.alias("changed"),
         )
@@ -66,7 +66,7 @@ def traced(labels: DataFrame) -> DataFrame:
         changed = not rows.filter("changed").isEmpty()
     sizes = rows.groupBy("scene", "label", "low").agg(F.count(F.lit(1)).alias("n"))
     start = F.struct(F.col("low.r0").alias("r"), F.col("low.c0").alias("c")).alias("ring")
-    return rows.join(sizes, ["scene", "label", "low"]).select("scene", "label", start, F.pmod(F.col("n") - F.col("far"), F.col("n")).alias("seq"), F.col("s.r0").alias("r"), F.col("s.c0").alias("c"))
+    return rows.join(sizes.hint("merge"), ["scene", "label", "low"]).select("scene", "label", start, F.pmod(F.col("n") - F.col("far"), F.col("n")).alias("seq"), F.col("s.r0").alias("r"), F.col("s.c0").alias("c"))
 
 
 def stretched(pixels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:

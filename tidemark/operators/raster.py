@@ -1,4 +1,8 @@
-"""Raster operators on pixel tables (scene, r, c, v): windows over rows and columns, no arrays."""
+"""Raster operators on pixel tables (scene, r, c, v): windows over rows and columns, no arrays.
+
+Tables of pixels and labels are stored in a hundredth of their size in memory, from which the planner would take them for
+small and send them through the driver: joins of them ask for a merge.
+"""
 
 from __future__ import annotations
 
@@ -54,7 +58,7 @@ def cfar(pixels: DataFrame, guard: int, background: int, k: float, ceiling: floa
 def sized_components(labels: DataFrame, least: int, most: int) -> DataFrame:
     """Pixels of components of `least` to `most` pixels."""
     n = labels.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n_pixels")).filter(F.col("n_pixels").between(least, most))
-    return labels.join(n, ["scene", "label"])
+    return labels.join(n.hint("merge"), ["scene", "label"])
 
 
 def ring_contrast(labels: DataFrame, pixels: DataFrame, inner: int, outer: int) -> DataFrame:
@@ -69,11 +73,11 @@ def ring_contrast(labels: DataFrame, pixels: DataFrame, inner: int, outer: int)
         rows = rows.select("scene", "label", "r", "c").distinct().withColumn("j", F.explode(off)).withColumn("c", F.col("c") + F.col("j"))
         return rows.select(*columns).distinct()
 
-    ring = near(outer, ["scene", "label", "r", "c"]).join(near(inner, ["scene", "r", "c"]), ["scene", "r", "c"], "left_anti")
-    around = ring.join(pixels, ["scene", "r", "c"]).groupBy("scene", "label").agg(F.avg("v").alias("around"), F.stddev_pop("v").alias("deviation"))
-    own = labels.join(pixels, ["scene", "r", "c"]).groupBy("scene", "label").agg(F.avg("v").alias("inside"))
+    ring = near(outer, ["scene", "label", "r", "c"]).join(near(inner, ["scene", "r", "c"]).hint("merge"), ["scene", "r", "c"], "left_anti")
+    around = ring.join(pixels.hint("merge"), ["scene", "r", "c"]).groupBy("scene", "label").agg(F.avg("v").alias("around"), F.stddev_pop("v").alias("deviation"))
+    own = labels.join(pixels.hint("merge"), ["scene", "r", "c"]).groupBy("scene", "label").agg(F.avg("v").alias("inside"))
     contrast = F.col("around") - F.col("inside")
-    return own.join(around, ["scene", "label"]).select("scene", "label", contrast.alias("contrast"), (contrast / F.greatest("deviation", F.lit(1e-9))).alias("contrast_sigma"))
+    return own.join(around.hint("merge"), ["scene", "label"]).select("scene", "label", contrast.alias("contrast"), (contrast / F.greatest("deviation", F.lit(1e-9))).alias("contrast_sigma"))
 
 
 def eroded(mask: DataFrame, half: int) -> DataFrame:
@@ -109,7 +113,7 @@ def labelled(mask: DataFrame, eight: bool = True, rounds: int = 1000) -> DataFra
             steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 1) for j in (-1, 1))))
             near = spread.withColumn("s", steps).select("scene", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), F.col("least").alias("other"))
             near = near.groupBy("scene", "r", "c").agg(F.min("other").alias("other"))
-            spread = spread.join(near, ["scene", "r", "c"], "left").withColumn("least", F.least("least", "other")).drop("other")
+            spread = spread.join(near.hint("merge"), ["scene", "r", "c"], "left").withColumn("least", F.least("least", "other")).drop("other")
         spread = written(spread.withColumn("changed", F.col("least") < F.col("label")).drop("label").withColumnRenamed("least", "label"), "labels")
         rows = spread.drop("changed")
         if spread.filter("changed").isEmpty():
@@ -118,7 +122,7 @@ def labelled(mask: DataFrame, eight: bool = True, rounds: int = 1000) -> DataFra
 
 
 def component_statistics(labels: DataFrame, pixels: DataFrame) -> DataFrame:
-    rows = labels.join(pixels, ["scene", "r", "c"])
+    rows = labels.join(pixels.hint("merge"), ["scene", "r", "c"])
     return rows.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n_pixels"), F.avg("r").alias("row"), F.avg("c").alias("col"), F.max("v").alias("peak"), F.avg("v").alias("mean_v"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
 
 
