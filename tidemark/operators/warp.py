@@ -29,7 +29,7 @@ def fitted(points: DataFrame) -> DataFrame:
     """
     whole = points.filter("row is not null and col is not null and lon is not null and lat is not null")
     middle = whole.groupBy("scene").agg(F.avg("lon").alias("lon0"), F.avg("lat").alias("lat0"), F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"), F.lit(1e-9)).alias("span"))
-    rows = whole.join(middle, "scene").withColumns({"x": (F.col("lon") - F.col("lon0")) / F.col("span"), "y": (F.col("lat") - F.col("lat0")) / F.col("span")})
+    rows = whole.join(middle.hint("merge"), "scene").withColumns({"x": (F.col("lon") - F.col("lon0")) / F.col("span"), "y": (F.col("lat") - F.col("lat0")) / F.col("span")})
     rows = rows.select("scene", "lon0", "lat0", "span", "row", "col", *(t.alias(f"t{i}") for i, t in enumerate(_terms(F.col("x"), F.col("y")))))
     squares = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")) for i in range(TERMS) for j in range(TERMS)]
     sides = [F.sum(F.col(f"t{i}") * F.col(c)) for c in ("row", "col") for i in range(TERMS)]
@@ -58,7 +58,7 @@ def _placed(lon: Column, lat: Column) -> tuple[Column, Column]:
 def residuals(points: DataFrame, fits: DataFrame) -> DataFrame:
     """Points with their distance in pixels from where the fit puts them: row_off, col_off."""
     row, col = _placed(F.col("lon"), F.col("lat"))
-    return points.join(fits, "scene").withColumns({"row_off": row - F.col("row"), "col_off": col - F.col("col")}).select(*points.columns, "row_off", "col_off")
+    return points.join(fits.hint("merge"), "scene").withColumns({"row_off": row - F.col("row"), "col_off": col - F.col("col")}).select(*points.columns, "row_off", "col_off")
 
 
 def gridded(areas: DataFrame, pixel_m: float) -> DataFrame:
@@ -76,7 +76,7 @@ def resampled(pixels: DataFrame, fits: DataFrame, grids: DataFrame, nodata: floa
     For the centre of each pixel of a grid the fit gives a place in the scene, and the four pixels around it meet
     in a join; their mean is weighted by nearness. Missing pixels and `nodata` don't count; without any there is no row.
     """
-    rows = grids.filter("accepted").join(fits.filter("row_k is not null").drop("n"), "scene")  # n is a grid's north
+    rows = grids.filter("accepted").join(fits.filter("row_k is not null").drop("n").hint("merge"), "scene")  # n is a grid's north
     rows = rows.withColumn("gr", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1))).repartition("scene", "gr")
     rows = rows.withColumn("gc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)))
     lon = F.col("w") + (F.col("gc") + 0.5) * (F.col("e") - F.col("w")) / F.col("width")
@@ -89,7 +89,7 @@ def resampled(pixels: DataFrame, fits: DataFrame, grids: DataFrame, nodata: floa
     near = lambda p, i: F.when(F.col(i) == 1, F.col(p) - F.floor(p)).otherwise(1 - F.col(p) + F.floor(p))
     at = at.select("scene", "gr", "gc", "r", "c", (near("y", "k.i") * near("x", "k.j")).alias("weight")).filter("weight > 1e-9")
     there = pixels.select("scene", "r", "c", "v").filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") != nodata))
-    met = at.join(there, ["scene", "r", "c"]).groupBy("scene", "gr", "gc")
+    met = at.join(there.hint("merge"), ["scene", "r", "c"]).groupBy("scene", "gr", "gc")
     return met.agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("v"))
 
 
