@@ -5,7 +5,10 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import forcing, outlines, raster, state, warp
+from test_oracles import SF
+from tidemark import catalog
+from tidemark.operators import forcing, impact, land, outlines, raster, scenes, scoring, sightings, state, warp
+from tidemark.plans import queries
 
 
 def nodes(plan):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import spread
 from ..functions import polygon
 
 
@@ -60,7 +61,7 @@ def described(shapes: DataFrame) -> DataFrame:
     """Rings with centroid, area, perimeter, elongation, compactness, solidity, length and width."""
     box, (x, y) = F.col("box"), polygon.centroid(F.col("ring"))
     size = F.abs(polygon.area(F.col("ring")))
-    rows = shapes.withColumn("box", polygon.bounding_rectangle("ring"))
+    rows = spread(shapes).withColumn("box", polygon.bounding_rectangle("ring"))
     return rows.withColumns({
         "x": x, "y": y, "area_km2": size, "perimeter_km": polygon.perimeter(F.col("ring")), "length_km": box["length"], "width_km": box["width"],
         "elongation": box["length"] / F.greatest(box["width"], F.lit(1e-9)), "compactness": polygon.compactness(F.col("ring")), "solidity": size / F.greatest(box["hull_area"], F.lit(1e-9)),
@@ -69,7 +70,7 @@ def described(shapes: DataFrame) -> DataFrame:
 
 def trail_ends(pairs: DataFrame) -> DataFrame:
     """Pairs of a ring and a point (x, y) with the distance to the nearer end of the ring's long axis, and to the polygon."""
-    rows = pairs.withColumn("box", polygon.bounding_rectangle("ring"))
+    rows = spread(pairs).withColumn("box", polygon.bounding_rectangle("ring"))
     box, half = F.col("box"), F.col("box.length") / 2
     end = lambda sign: F.hypot(F.col("x") - box["cx"] - sign * half * box["ux"], F.col("y") - box["cy"] - sign * half * box["uy"])
     return rows.withColumns({"end_km": F.least(end(1), end(-1)), "slick_km": polygon.distance(F.col("ring"), F.col("x"), F.col("y"))}).drop("box")
