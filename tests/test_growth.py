@@ -107,3 +107,9 @@ def test_control_points_are_not_sent_through_the_driver(spark):
     areas = points.select("scene", F.lit(0.0).alias("w"), F.lit(0.0).alias("s"), F.lit(0.5).alias("e"), F.lit(0.5).alias("n")).distinct()
     for df in (warp.residuals(points, warp.fitted(points)), warp.warped(pixels, points, areas, 20000.0)):
         assert df.collect() and joins(df) == {"SortMergeJoinExec"}
+
+
+def test_f16_equal_boxes_and_targets_meet_once(spark):
+    boxes = spark.range(200).select(F.lit(0).alias("scene"), F.col("id").alias("component_id"), *(F.lit(v).alias(c) for c, v in (("x0", 1.0), ("y0", 1.0), ("x1", 2.0), ("y1", 2.0))))
+    got = scenes.with_nearest_target(boxes, spark.range(300).select(F.lit(0).alias("scene"), F.lit(3.0).alias("x"), F.lit(2.0).alias("y")))
+    assert [r["target_km"] for r in got.collect()] == [1.0] * 200 and rows_joined(got) == 200

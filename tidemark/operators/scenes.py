@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import spread
+
 
 def found_scenes(scenes: DataFrame, bbox: tuple[float, float, float, float], mode: str = "IW", polarisation: str = "VV") -> DataFrame:
     """Scenes (scene, t, mode, polarisations, w, s, e, n) that touch the box, newest first, with the share of it they cover."""
@@ -80,7 +82,7 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 def points_within(rings: DataFrame, per_ring: int) -> DataFrame:
     """Evenly spread points inside rings (ring, corners: array of x, y): a low-discrepancy sequence over each box, kept by ray parity."""
     box = lambda f, k: f(F.transform("corners", lambda p: p[k]))
-    rows = rings.withColumns({"x0": box(F.array_min, "x"), "x1": box(F.array_max, "x"), "y0": box(F.array_min, "y"), "y1": box(F.array_max, "y")})
+    rows = spread(rings).withColumns({"x0": box(F.array_min, "x"), "x1": box(F.array_max, "x"), "y0": box(F.array_min, "y"), "y1": box(F.array_max, "y")})
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(per_ring))))
     part = lambda k: F.col("i") * k - F.floor(F.col("i") * k)
     rows = rows.withColumns({"x": F.col("x0") + part(0.7548776662466927) * (F.col("x1") - F.col("x0")), "y": F.col("y0") + part(0.5698402909980532) * (F.col("y1") - F.col("y0"))})
@@ -92,14 +94,16 @@ def points_within(rings: DataFrame, per_ring: int) -> DataFrame:
 def with_nearest_target(components: DataFrame, targets: DataFrame, link_km: float = 1.0) -> DataFrame:
     """Nearest target (scene, x, y) of each component's box (scene, component_id, x0, y0, x1, y1) within three link distances.
 
-    Boxes and targets meet in cells of the padded size, then by exact distance to the box.
+    Boxes and targets meet in cells of the padded size, then by exact distance to the box; equal boxes, and equal targets,
+    meet once.
     """
     pad = 3 * link_km
     cell = 4 * pad
     span = lambda a, b: F.sequence(F.floor((F.col(a) - pad) / cell), F.floor((F.col(b) + pad) / cell))
-    boxes = components.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    points = targets.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    keys = ["scene", "x0", "y0", "x1", "y1"]
+    boxes = components.select(*keys).distinct().withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    points = targets.select("scene", "x", "y").distinct().withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
     away = lambda p, a, b: F.greatest(F.lit(0.0), F.col(a) - F.col(p), F.col(p) - F.col(b))
-    rows = boxes.join(points, ["scene", "cx", "cy"]).withColumn("target_km", F.sqrt(F.pow(away("x", "x0", "x1"), F.lit(2)) + F.pow(away("y", "y0", "y1"), F.lit(2))))
-    best = rows.filter(F.col("target_km") <= pad).groupBy("scene", "component_id").agg(F.min("target_km").alias("target_km"))
-    return components.select("scene", "component_id").join(best, ["scene", "component_id"], "left")
+    rows = boxes.join(points.hint("merge"), ["scene", "cx", "cy"]).withColumn("target_km", F.sqrt(F.pow(away("x", "x0", "x1"), F.lit(2)) + F.pow(away("y", "y0", "y1"), F.lit(2))))
+    best = rows.filter(F.col("target_km") <= pad).groupBy(*keys).agg(F.min("target_km").alias("target_km"))
+    return components.join(best.hint("merge"), keys, "left").select("scene", "component_id", "target_km")
