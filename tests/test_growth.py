@@ -109,6 +109,13 @@ def test_control_points_are_not_sent_through_the_driver(spark):
         assert df.collect() and joins(df) == {"SortMergeJoinExec"}
 
 
+def test_f14_vessels_are_dealt_out_before_they_meet_samples(spark):
+    factors = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("mmsi"), F.col("id").cast("int").alias("base_rank"), F.lit("a").alias("factor"), F.col("id").cast("double").alias("value"))
+    got = scoring.robustness(factors, spark.range(300).select(F.col("id").alias("sample"), F.lit("a").alias("factor"), F.lit(1.0).alias("weight")))
+    assert {r["p_first"] for r in got.filter("mmsi = '39'").collect()} == {1.0}
+    assert "hashpartitioning(mmsi" in got._jdf.queryExecution().toString() and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_f16_equal_boxes_and_targets_meet_once(spark):
     boxes = spark.range(200).select(F.lit(0).alias("scene"), F.col("id").alias("component_id"), *(F.lit(v).alias(c) for c, v in (("x0", 1.0), ("y0", 1.0), ("x1", 2.0), ("y1", 2.0))))
     got = scenes.with_nearest_target(boxes, spark.range(300).select(F.lit(0).alias("scene"), F.lit(3.0).alias("x"), F.lit(2.0).alias("y")))

@@ -90,11 +90,14 @@ def robustness(factors: DataFrame, weights: DataFrame) -> DataFrame:
     """Ranks of candidates under many weight vectors (sample, factor, weight).
 
     factors (mmsi, base_rank, factor, value). Returns per vessel: share of first and of top-three ranks,
-    5th and 95th percentile of the rank, and a verdict for the vessel that ranks first now.
+    5th and 95th percentile of the rank, and a verdict for the vessel that ranks first now. The weights are broadcast: their
+    number depends on the samples alone.
     """
     positive = weights.filter("weight > 0")
     total = positive.groupBy("sample").agg(F.sum("weight").alias("w"))
-    scores = factors.join(positive, "factor").groupBy("sample", "mmsi", "base_rank").agg(F.sum(F.col("value") * F.col("weight")).alias("s")).join(total, "sample")
+    n = int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by vessel first: each row meets every sample, and sums then stay where they are
+    scores = factors.repartition(n, "mmsi").join(F.broadcast(positive), "factor").groupBy("sample", "mmsi", "base_rank").agg(F.sum(F.col("value") * F.col("weight")).alias("s")).join(total, "sample")
     rank = F.row_number().over(Window.partitionBy("sample").orderBy(F.desc(F.round(F.col("s") / F.col("w"), 9)), "base_rank"))
     out = scores.withColumn("rank", rank).groupBy("mmsi", "base_rank").agg(F.avg((F.col("rank") == 1).cast("double")).alias("p_first"), F.avg((F.col("rank") <= 3).cast("double")).alias("p_top3"), F.floor(F.percentile("rank", 0.05)).cast("int").alias("rank_p05"), F.floor(F.percentile("rank", 0.95)).cast("int").alias("rank_p95"))
     verdict = F.when(F.col("p_first") >= 0.8, "ROBUST").when(F.col("p_first") >= 0.5, "LIKELY").otherwise("CONTESTED")
