@@ -109,6 +109,16 @@ def test_control_points_are_not_sent_through_the_driver(spark):
         assert df.collect() and joins(df) == {"SortMergeJoinExec"}
 
 
+def test_f15_f17_f19_f20_rows_of_one_file_are_dealt_out(spark):
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0))))
+    rows = spark.range(50).coalesce(1).select(F.col("id").alias("ring_id"), ring.alias("ring"), F.lit(9.0).alias("x"), F.lit(1.0).alias("y"))
+    spills = spark.range(50).coalesce(1).select(F.col("id").alias("spill_id"), *(F.lit(v).alias(c) for c, v in (("lat", 19.0), ("lon", 72.0), ("radius_km", 1.0), ("speed_kmh", 1.0), ("bearing_deg", 90.0))))
+    made = [land.described(rows.drop("x", "y")), land.trail_ends(rows), scenes.points_within(rows.select(F.col("ring_id").alias("ring"), F.col("ring").alias("corners")), 20)]
+    assert [df.rdd.getNumPartitions() for df in made] == [4, 4, 4]
+    threats = impact.threatened_sites(spills, spark.createDataFrame([("a", "port", 72.1, 19.0, 5.0, 6)], "site string, kind string, lon double, lat double, radius_km double, weight int"))
+    assert "RoundRobinPartitioning(4)" in threats._jdf.queryExecution().toString()
+
+
 def test_f14_vessels_are_dealt_out_before_they_meet_samples(spark):
     factors = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("mmsi"), F.col("id").cast("int").alias("base_rank"), F.lit("a").alias("factor"), F.col("id").cast("double").alias("value"))
     got = scoring.robustness(factors, spark.range(300).select(F.col("id").alias("sample"), F.lit("a").alias("factor"), F.lit(1.0).alias("weight")))

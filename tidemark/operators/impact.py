@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import spread
 from ..functions.domain import SEVERITY_WEIGHTS, basin, basins_connect, clamp, persistence, response_tier, severity_level, weighted
 from ..functions.geo import bearing_deg, haversine_km, plane_distance_bearing
 
@@ -75,7 +76,7 @@ def threatened_sites(spills: DataFrame, sites: DataFrame, keep: int = 12) -> Dat
     """
     s = listed(sites.select("site", "kind", "weight", F.col("radius_km").alias("site_km"), F.col("lat").alias("slat"), F.col("lon").alias("slon")))
     d, b = plane_distance_bearing(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))
-    rows = spills.select("*", F.inline(s)).withColumns({"centre_km": d, "to_deg": b})
+    rows = spread(spills).select("*", F.inline(s)).withColumns({"centre_km": d, "to_deg": b})
     rows = rows.withColumn("d_now_km", F.greatest(F.lit(0.0), F.col("centre_km") - F.col("radius_km") - F.col("site_km"))).filter("d_now_km <= 400")
     off = F.radians(F.col("to_deg") - F.col("bearing_deg"))
     reach = F.col("speed_kmh") * 240

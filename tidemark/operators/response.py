@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import written
 from ..functions.domain import rescue_centre
 
 # Agencies, deadlines (hours), thresholds and kinds of the plan.
@@ -78,8 +79,9 @@ def planned(spills: DataFrame, threats: DataFrame, suspects: DataFrame) -> DataF
     impact.threatened_sites with the sites' weight. suspects: spill_id, mmsi, name, rank, score, port. Unknown wind counts as
     fair, an unknown distance to the coast as near. A spill without threats or suspects has the rules of its own.
     """
+    threats = written(threats, "threats")  # counted and listed
     near = threats.groupBy("spill_id").agg(F.count_if("threatened").alias("n_threatened"), F.count_if((F.col("weight") >= 8) & (F.col("d_now_km") < 30)).alias("n_sensitive_near"))
-    rows = spills.join(near, "spill_id", "left").na.fill(0, ["n_threatened", "n_sensitive_near"])
+    rows = written(spills.join(near.hint("merge"), "spill_id", "left").na.fill(0, ["n_threatened", "n_sensitive_near"]), "spills")
     every = _of_spill(rows).unionByName(_of_sites(threats)).unionByName(_of_suspects(suspects))
     order = Window.partitionBy("spill_id").orderBy("priority", F.round("deadline_h", 9), "ord")
     ranked = every.withColumn("step", F.row_number().over(order)).filter(F.col("step") <= MOST)
