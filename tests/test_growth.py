@@ -130,3 +130,9 @@ def test_f16_equal_boxes_and_targets_meet_once(spark):
     boxes = spark.range(200).select(F.lit(0).alias("scene"), F.col("id").alias("component_id"), *(F.lit(v).alias(c) for c, v in (("x0", 1.0), ("y0", 1.0), ("x1", 2.0), ("y1", 2.0))))
     got = scenes.with_nearest_target(boxes, spark.range(300).select(F.lit(0).alias("scene"), F.lit(3.0).alias("x"), F.lit(2.0).alias("y")))
     assert [r["target_km"] for r in got.collect()] == [1.0] * 200 and rows_joined(got) == 200
+
+
+def test_f21_f22_f23_reports_are_read_once_for_all_features(spark):
+    assert not [f for f in catalog.QUERIES["temporal_feature"](spark, SF).inputFiles() if "events" in f]
+    # what is left is the one reading of types: reports and their repeats
+    assert queries._features(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id") <= 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoint import written
+from ..checkpoint import spread, written
 from ..functions import domain, geo
 from ..operators import corridor, impact, raster, scenes, scoring, state, surface, tracks
 from ..sources import tables
@@ -42,8 +42,8 @@ def searched(s: SparkSession, d: str) -> DataFrame:
     return fixes(s, d).filter(geo.inside_bbox(F.col("lat"), F.col("lon"), BBOX))
 
 
-def positions(s: SparkSession, d: str) -> DataFrame:
-    at = tracks.interpolated(searched(s, d), tables.time_grid(s), DAY)
+def positions(s: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    at = tracks.interpolated(searched(s, d) if rows is None else rows, tables.time_grid(s), DAY)
     return corridor.in_plane(at, ORIGIN_LAT, ORIGIN_LON)
 
 
@@ -131,8 +131,8 @@ def region_distance(s, d):
     return rounded(corridor.region_distances(positions(s, d), REGION))
 
 
-def _candidates(s, d):
-    at = written(positions(s, d), "positions")  # read by both joins
+def _candidates(s, d, at=None):
+    at = written(spread(positions(s, d)), "positions") if at is None else at  # read by both joins
     return corridor.candidates(corridor.nearest_particles(at, tables.particle_cloud(s), 10.0), corridor.region_distances(at, REGION))
 
 
@@ -140,12 +140,13 @@ def corridor_candidates(s, d):
     return rounded(_candidates(s, d))
 
 
-def _centres(s, d):
-    return _candidates(s, d).select("mmsi", F.coalesce("t_best_st", "t_best_region").alias("tc"), "min_d_st_km", "min_d_region_km", "candidate")
+def _centres(s, d, at=None):
+    return _candidates(s, d, at).select("mmsi", F.coalesce("t_best_st", "t_best_region").alias("tc"), "min_d_st_km", "min_d_region_km", "candidate")
 
 
 def temporal_feature(s, d):
-    at = positions(s, d).join(_centres(s, d).filter("min_d_st_km is not null").select("mmsi", F.col("tc").alias("tq")), ["mmsi", "tq"])
+    at = written(spread(positions(s, d)), "positions")
+    at = at.join(_centres(s, d, at).filter("min_d_st_km is not null").select("mmsi", F.col("tc").alias("tq")), ["mmsi", "tq"])
     return rounded(scoring.oil_time(at.select("mmsi", "x", "y"), tables.particle_cloud(s), 3.0), digits=4)
 
 
@@ -158,10 +159,12 @@ def continuity(s, d):
 
 
 def _features(s, d):
-    c = written(_centres(s, d), "centres")  # read by every feature
-    b = scoring.behaviour(searched(s, d), c.select("mmsi", "tc"), 24.0, 72.0).select("mmsi", "slowdown", "net_turn_deg", "slow_min")
-    g = scoring.continuity(searched(s, d), c.select("mmsi", "tc"), 720.0, 24.0).select("mmsi", F.col("max_relevant_gap_min").alias("gap_min"))
-    at = positions(s, d).join(c.filter("min_d_st_km is not null").select("mmsi", F.col("tc").alias("tq")), ["mmsi", "tq"])
+    seen = written(searched(s, d), "fixes")
+    at = written(spread(positions(s, d, seen)), "positions")
+    c = written(_centres(s, d, at), "centres")  # read by every feature
+    b = scoring.behaviour(seen, c.select("mmsi", "tc"), 24.0, 72.0).select("mmsi", "slowdown", "net_turn_deg", "slow_min")
+    g = scoring.continuity(seen, c.select("mmsi", "tc"), 720.0, 24.0).select("mmsi", F.col("max_relevant_gap_min").alias("gap_min"))
+    at = at.join(c.filter("min_d_st_km is not null").select("mmsi", F.col("tc").alias("tq")), ["mmsi", "tq"])
     o = scoring.oil_time(at.select("mmsi", "x", "y"), tables.particle_cloud(s), 3.0).select("mmsi", "t_oil")
     k = tracks.first_known(tracks.valid(raw(s, d)), "vessel_type").select("mmsi", domain.vessel_type(F.col("vessel_type")).alias("kind"))
     rows = c.filter("candidate").join(b, "mmsi", "left").join(g, "mmsi", "left").join(o, "mmsi", "left").join(k, "mmsi", "left")
