@@ -16,12 +16,21 @@ def _cell(lat: Column, lon: Column, size_km: float) -> list[Column]:
     return [F.floor(EARTH_KM * x / size_km).alias(c) for c, x in (("ux", F.cos(a) * F.cos(o)), ("uy", F.cos(a) * F.sin(o)), ("uz", F.sin(a)))]
 
 
+def _on_sphere(size_km: float) -> Column:
+    """Whether a cell holds a part of the sphere (or nearly, for rounding): the others have no points."""
+    radius = EARTH_KM / size_km
+    low, high = [[f(F.abs(F.col(c)), F.abs(F.col(c) + 1)) for c in ("ux", "uy", "uz")] for f in (F.least, F.greatest)]
+    # a cell lies on one side of zero, so its nearest and farthest corners bound its distances from the centre
+    far = lambda ends: F.sqrt(sum((x * x for x in ends[1:]), ends[0] * ends[0]))
+    return (far(low) <= radius + 1e-6 * radius) & (far(high) >= radius - 1e-6 * radius)
+
+
 def near_pairs(spills: DataFrame, max_kmh: float, horizon_h: float) -> DataFrame:
     """(id_a, id_b) of observations (id, t, lat, lon, far_km) at most the horizon apart in time whose centres are as
     near as the speed allows, or near enough for their outlines to meet.
 
     Pairs meet by time bucket and by cell; a cell is as wide as the farthest two can be apart, so an observation
-    is filed once and asks its own and the neighbouring cells.
+    is filed once and asks its own and the neighbouring cells, those that the sphere passes through.
     """
     far = spills.agg(F.max("far_km")).first()[0] or 0.0
     size = max(max_kmh * horizon_h, 2 * far, 1e-3)
@@ -31,6 +40,7 @@ def near_pairs(spills: DataFrame, max_kmh: float, horizon_h: float) -> DataFrame
     a = own.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "t", "lat", "lon", "far_km")), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), "ux", "uy", "uz")
     for c in ("ux", "uy", "uz"):
         a = a.withColumn("step", F.explode(near)).withColumn(c, F.col(c) + F.col("step")).drop("step")
+    a = a.filter(_on_sphere(size))
     rows = a.join(own, ["bucket", "ux", "uy", "uz"])
     hours = (F.col("t") - F.col("t_a")) / 3600
     d = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon"))
