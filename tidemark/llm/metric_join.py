@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .relative_parse import _documents, named
-from .store import arrow_batches, drop, materialize
+from .store import arrow_batches, drop, materialize, scope
 from .text import Texts, _mixed, grams, mix, signed, steps, trimmed, word_hashes, words
 
 #: Bits of a shingle's number in a run, below its number of 48 bits: documents of a run at most 2**PLACE_BITS.
@@ -412,20 +412,22 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     the cost beyond which a region is split further; it does not change the result.
     """
     docs = named(_documents(docs, id_col, text_col))
-    every = materialize(sized(docs, size), "sets")
-    sets = every.filter("n > 0 and doc_id is not null")
-    points = materialize(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "name")).alias("least")).select("set_id", "least.*"), "points")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART, 16)
-    answers = answered(sent(docs.filter("doc_id is not null"), size, 1 << (parts - 1).bit_length()))
-    # copies in several runs come several times
-    seeds = materialize(prefixes(answers, percent), "seeds")
-    common = seeds.groupBy("region").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a <> b").select("region")
-    members = materialize(seeds.join(common, "region", "left_semi").distinct(), "members")
-    drop(seeds)
-    found = linked(members, _texts(docs, points, members), size, percent, direct)
-    names = points.select("set_id", F.col("doc_id").alias("least")).join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    known_as = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_id", "component_id")
+    with scope() as keep:
+        every = keep(materialize(sized(docs, size), "sets"))
+        sets = every.filter("n > 0 and doc_id is not null")
+        points = materialize(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "name")).alias("least")).select("set_id", "least.*"), "points")
+        total = sets.agg(F.sum("n")).first()[0] or 0
+        parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART, 16)
+        answers = answered(sent(docs.filter("doc_id is not null"), size, 1 << (parts - 1).bit_length()))
+        # copies in several runs come several times
+        seeds = materialize(prefixes(answers, percent), "seeds")
+        common = seeds.groupBy("region").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a <> b").select("region")
+        members = materialize(seeds.join(common, "region", "left_semi").distinct(), "members")
+        drop(seeds)
+        found = linked(members, _texts(docs, points, members), size, percent, direct)
+        names = points.select("set_id", F.col("doc_id").alias("least")).join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        known_as = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("set_id", "component_id")
+        known_as = keep(materialize(known_as, "known-as"))
     known = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))
     out = every.select("doc_id", "n", known.alias("set_id")).join(known_as, "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
