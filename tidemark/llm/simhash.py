@@ -12,6 +12,9 @@ Classes are wanted, not all links, so a dense group isn't compared pair by pair:
 members with one of its own (its pivot), links give classes, and later only members of one key that are in
 different classes meet. A key whose members are in many classes is cut finer by a third segment of the chain.
 Equal fingerprints are one point throughout.
+
+Joins of keys are merged: an exploded table counts as large as what it was made from, a written one as its
+compressed file, and Spark would broadcast tables that the driver can't hold.
 """
 
 from __future__ import annotations
@@ -148,7 +151,7 @@ def _across(members: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of one key whose classes differ, the first under its own key."""
     a = members.filter("own").select(*on, F.col("f").alias("u"), F.col("c").alias("cu"))
     b = members.select(*on, F.col("f").alias("v"), F.col("c").alias("cv"))
-    return a.join(b, on).filter("cu <> cv").select("start", "u", "v")
+    return a.join(b.hint("merge"), on).filter("cu <> cv").select("start", "u", "v")
 
 
 def classes(points: DataFrame, threshold: int = 4, dense: int = DENSE) -> DataFrame:
@@ -158,13 +161,13 @@ def classes(points: DataFrame, threshold: int = 4, dense: int = DENSE) -> DataFr
     filed = _keys(points, ring)
     own = F.when(F.col("own"), F.col("f"))
     keys = filed.groupBy("start", "key").agg(F.min(own).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1 and pivot is not null")
-    shared = materialize(filed.join(keys, ["start", "key"]), "shared-keys")
+    shared = materialize(filed.join(keys.hint("merge"), ["start", "key"]), "shared-keys")
     first = shared.filter("f <> pivot").select("start", F.col("pivot").alias("u"), F.col("f").alias("v"))
     found = materialize(components(_linked(first, ring)), "classes")
-    classed = shared.join(found, F.col("f") == F.col("node"), "left").select("start", "key", "f", "own", "n", F.coalesce("component", "f").alias("c"))
+    classed = shared.join(found.hint("merge"), F.col("f") == F.col("node"), "left").select("start", "key", "f", "own", "n", F.coalesce("component", "f").alias("c"))
     classed = materialize(classed, "classed")
     split = classed.groupBy("start", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("start", "key")
-    left = materialize(classed.join(split, ["start", "key"]), "split-keys")
+    left = materialize(classed.join(split.hint("merge"), ["start", "key"]), "split-keys")
     drop(shared, classed)
     thin = _across(left.filter(F.col("n") <= dense), ["start", "key"])
     fine = _across(_finer(left.filter(F.col("n") > dense), ring), ["start", "key", "third"]) if ring.segments > 2 else _across(left.filter(F.col("n") > dense), ["start", "key"])
@@ -184,8 +187,8 @@ def near(docs: DataFrame, size: int = 4, threshold: int = 4, id_col: str = "doc_
     prints = materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
     points = materialize(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "points")
     found = classes(points.select("f"), threshold)
-    members = points.join(found, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("c"))
+    members = points.join(found.hint("merge"), F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("c"))
     least = members.groupBy("c").agg(F.min("least").alias("component_id"))
-    ids = materialize(members.join(least, "c").select("f", "component_id"), "components")
+    ids = materialize(members.join(least.hint("merge"), "c").select("f", "component_id"), "components")
     drop(points)
-    return prints.join(ids, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(ids.hint("merge"), "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
