@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..checkpoint import folder
+from ..checkpoint import folder, written
 from ..functions import domain, ellipsoid
 from ..operators import background, detection, impact, land, overlap, response, scoring, sightings, spatial, tiles, warp
 from ..sources.keyed import KeyedTable
@@ -181,8 +181,7 @@ def monsoon_regimes(s, d):
 
 def evidence_attached(s, d):
     """Evidence with the link that was seen: a vessel matched with a radar target at the slick of the scene."""
-    scenes = _scenes(s, d).join(_radar(s, d).select("scene").distinct(), "scene", "left_semi")  # others match nothing
-    met = sightings.compared(_radar(s, d), fixes(s, d), scenes, 8.0, 7200.0).filter("status = 'matched'")
+    met = written(sightings.matched(_radar(s, d), fixes(s, d), _scenes(s, d), 8.0, 7200.0), "matches")
     places = met.join(_radar(s, d), ["scene", "det_id"]).select("scene", "mmsi", (F.col("lon") - 71.7).alias("x"), (F.col("lat") - 18.6).alias("y"))
     corner = lambda i: F.struct((0.5 * F.cos(i * F.pi() / 3 + F.col("s_suppkey") % 5)).alias("x"), (0.4 * F.sin(i * F.pi() / 3 + F.col("s_suppkey") % 5)).alias("y"))
     slicks = table(s, d, "supplier").select(F.col("s_suppkey").alias("scene"), F.transform(F.sequence(F.lit(0), F.lit(5)), corner).alias("ring"))
